@@ -6,10 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folia.llm import encode
+from pyspark.sql import functions as F
+
+from folia.llm import encode, lookalike
+from folia.llm.encode import plain_name, plain_split
+from folia.llm.neardup import NearDuplicates
+from folia.llm.overlap import SplitOverlap
 from folia.session import cut_lineage, table
 
 
+def _p1(spark: SparkSession, d: str) -> NearDuplicates:
+    canon = table(spark, d, "canon_docs")
+    docs = canon.select(F.col("rec_id").alias("id"), plain_name(F.col("dataset_name")).alias("part"), "text")
+    return NearDuplicates(docs, threshold=0.6, width=3)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p1(spark, d).pairs()
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    groups = _p1(spark, d).groups()
+    return groups.select(F.col("id").alias("rec_id"), F.col("part").alias("dataset_name"), "class_id", "group_id", "n_links")
+
+
+def _p2(canon: DataFrame) -> SplitOverlap:
+    split = plain_split(F.col("split"))
+    docs = canon.select(F.col("rec_id").alias("id"), F.when(split == "train", False).when(split.isin("val", "test"), True).alias("is_eval"), "text")
+    return SplitOverlap(docs, threshold=0.75, width=3)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p2(table(spark, d, "canon_docs")).pairs()
+
+
+def p2_affected(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation records, and how many of them stand in a training record, for each split and source."""
+    canon = table(spark, d, "canon_docs")
+    split = plain_split(F.col("split"))
+    hit = _p2(canon).affected().distinct().withColumn("hit", F.lit(1))
+    rows = canon.select("rec_id", split.alias("split"), "source").where(F.col("split").isin("val", "test"))
+    rows = rows.join(hit.withColumnRenamed("id", "rec_id"), "rec_id", "left")
+    return rows.groupBy("split", "source").agg(F.count("*").alias("n_records"), F.count("hit").alias("n_affected"))
+
+
 def _p5_records(spark: SparkSession, d: str) -> DataFrame:
     return encode.subtokens(table(spark, d, "canon_docs"), table(spark, d, "ocr_tokens"))
 
@@ -30,8 +70,16 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.lookalikes(table(spark, d, "documents"))
+
+
+def p8_text(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.consistent_form(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_subtokens, p5_budget, p5_beside_summary, p6_ids)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_affected, p5_subtokens, p5_budget, p5_beside_summary, p6_ids, p8_found, p8_text)}
 
 
 def oracle_sql() -> dict[str, str]:
