@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from folia.llm import encode, lookalike
+from folia.llm import encode, leakage, lookalike, pieces
 from folia.llm.encode import plain_name, plain_split
 from folia.llm.neardup import NearDuplicates
 from folia.llm.overlap import SplitOverlap
@@ -54,6 +54,10 @@ def _p5_records(spark: SparkSession, d: str) -> DataFrame:
     return encode.subtokens(table(spark, d, "canon_docs"), table(spark, d, "ocr_tokens"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.pieces(table(spark, d, "ocr_tokens"), table(spark, d, "canon_docs"), table(spark, d, "run_configs"))
+
+
 def p5_subtokens(spark: SparkSession, d: str) -> DataFrame:
     return _p5_records(spark, d)
 
@@ -70,6 +74,15 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "heldout_items")
+    return leakage.leaked_items(items, leakage.leaks(table(spark, d, "documents"), items))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalikes(table(spark, d, "documents"))
 
@@ -79,7 +92,7 @@ def p8_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_affected, p5_subtokens, p5_budget, p5_beside_summary, p6_ids, p8_found, p8_text)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_affected, p4_found, p5_subtokens, p5_budget, p5_beside_summary, p6_ids, p7_found, p7_items, p8_found, p8_text)}
 
 
 def oracle_sql() -> dict[str, str]:
