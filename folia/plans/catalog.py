@@ -6,11 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folia.operators import shred
+from folia.session import table
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return shred.token_links(table(spark, d, "raw_exports"))
+
+
+def p3_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return shred.token_table(table(spark, d, "raw_exports"))
+
+
+def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return shred.block_table(table(spark, d, "raw_exports"))
+
+
+def p3_pages(spark: SparkSession, d: str) -> DataFrame:
+    return shred.page_table(table(spark, d, "raw_exports"))
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {f.__name__: f for f in (p3_found, p3_tokens, p3_blocks, p3_pages)}
 
 
 def oracle_sql() -> dict[str, str]:
