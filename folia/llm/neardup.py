@@ -95,8 +95,8 @@ class NearDuplicates:
 
     def links(self) -> DataFrame:
         """(a, b), a < b: verified pairs of class representatives (the least id of each class)."""
-        counted = compare(self.candidates(), self.texts.dropDuplicates(["id"]), self.width)
-        return counted.where(F.col("common") >= F.lit(self.threshold) * (F.col("n_a") + F.col("n_b") - F.col("common")) - 1e-9).select("a", "b")
+        counted = compare(self.candidates(), self.texts, self.width)
+        return counted.where(F.col("common") >= F.lit(self.threshold) * (F.col("n_a") + F.col("n_b") - F.col("common")) - 1e-9).select("a", "b").distinct()
 
     def membership(self) -> DataFrame:
         """(id, part, rep): the class of each record."""

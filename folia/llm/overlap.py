@@ -30,16 +30,17 @@ def _digests(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _grams(texts: DataFrame, width: int) -> DataFrame:
-    """texts (id, text) -> (id, n, gram): a row for each distinct shingle."""
+    """texts (id, evals, trains, text) -> (id, evals, trains, n, gram): a row for each distinct shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, points, offs in W.slices(batches, 1):
+        for batch, points, offs in W.slices(batches, 3):
             hashes, rows = W.distinct_shingles(points, offs, width)
             n = np.diff(rows)
             place = pa.array(np.repeat(np.arange(len(n)), n))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(place), pa.array(np.repeat(n, n)), pa.array(hashes.view(np.int64))], ["id", "n", "gram"])
+            kept = [batch.column(k).take(place) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.repeat(n, n).astype(np.int32)), pa.array(hashes.view(np.int64))], ["id", "evals", "trains", "n", "gram"])
 
-    return texts.mapInArrow(run, "id bigint, n bigint, gram bigint")
+    return texts.mapInArrow(run, "id bigint, evals boolean, trains boolean, n int, gram bigint")
 
 
 class SplitOverlap:
@@ -57,7 +58,7 @@ class SplitOverlap:
 
     def __init__(self, docs: DataFrame, threshold: float, width: int) -> None:
         docs = docs.where("id is not null and is_eval is not null and text is not null")
-        self.texts = docs.select("id", "text").dropDuplicates(["id"])
+        self.texts = docs.select("id", "text")
         digests = cut_lineage(_digests(docs, width)).distinct()
         keys = ["c1", "c2", "n"]
         classes = digests.groupBy(*keys).agg(F.min("id").alias("rep"), F.max("is_eval").alias("evals"), F.min("is_eval").alias("only_eval"))
@@ -68,15 +69,15 @@ class SplitOverlap:
     def class_pairs(self) -> DataFrame:
         """(a, b): an evaluation class and a training class, by representative; a = b where a class has both."""
         flags = self.classes.select(F.col("rep").alias("id"), "evals", "trains")
-        sets = _grams(self.texts.join(flags, "id", "left_semi"), self.width).join(flags, "id")
-        train = sets.where("trains").select("gram", F.col("id").alias("b"), F.col("n").alias("n_b"))
+        sets = _grams(self.texts.join(flags, "id").select("id", "evals", "trains", "text"), self.width)
+        train = sets.where("trains").select("gram", F.col("id").alias("b"))
         often = train.groupBy("gram").agg(F.count("*").alias("often"))
-        rare = sets.where("evals").join(often, "gram", "left").select("id", "n", F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram").alias("g"))
+        rare = sets.where("evals").select("id", "n", "gram").join(often, "gram", "left").select("id", "n", F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram").alias("g"))
         take = F.col("n") - F.ceil(F.col("n") * F.lit(self.threshold) - F.lit(1e-9)) + 1
-        few = rare.groupBy(F.col("id").alias("a"), "n").agg(F.sort_array(F.collect_list("g")).alias("gs")).select("a", "n", F.explode(F.slice("gs", F.lit(1), take.cast("int"))).alias("g"))
-        asked = few.where("g.often > 0").select("a", F.col("n").alias("n_a"), F.col("g.gram").alias("gram"))
-        hits = asked.join(train, "gram").where((F.col("a") != F.col("b")) & (F.col("n_b") >= F.col("n_a") * F.lit(self.threshold) - 1e-9)).select("a", "b").distinct()
-        found = compare(hits, self.texts, self.width).where(F.col("common") >= F.col("n_a") * F.lit(self.threshold) - 1e-9).select("a", "b")
+        few = rare.groupBy(F.col("id").alias("a"), "n").agg(F.sort_array(F.collect_set("g")).alias("gs")).select("a", F.explode(F.slice("gs", F.lit(1), take.cast("int"))).alias("g"))
+        asked = few.where("g.often > 0").select("a", F.col("g.gram").alias("gram"))
+        hits = asked.join(train, "gram").where("a <> b").select("a", "b").distinct()
+        found = compare(hits, self.texts, self.width).where(F.col("common") >= F.col("n_a") * F.lit(self.threshold) - 1e-9).select("a", "b").distinct()
         return found.union(flags.where("evals and trains").select(F.col("id").alias("a"), F.col("id").alias("b")))
 
     def pairs(self) -> DataFrame:
