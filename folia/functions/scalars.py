@@ -94,21 +94,17 @@ def without_ocr_suffix(c: Column) -> Column:
 
 def first_number(c: Column) -> Column:
     """The first thing like a number; in parentheses it is negative, and such come first. Null if none."""
-    digits = r"([0-9][0-9,]*(?:\.[0-9]+)?)"
-    paren = F.regexp_extract(c, r"\(\s*\$?\s*" + digits + r"\s*\)", 1)
-    plain = F.regexp_extract(c, r"[-+]?\$?\s*" + digits, 1)
-    sign = F.when(F.startswith(F.regexp_extract(c, r"[-+]?\$?\s*" + digits, 0), F.lit("-")), "-").otherwise("")
-    return F.when(F.length(paren) > 0, F.concat(F.lit("-"), paren)).when(F.length(plain) > 0, F.concat(sign, plain))
+    digits = r"[0-9][0-9,]*(?:\.[0-9]+)?"
+    bare = lambda pattern, drop: F.nullif(F.regexp_replace(F.regexp_extract(c, pattern, 0), drop, ""), F.lit(""))
+    paren = bare(r"\(\s*\$?\s*" + digits + r"\s*\)", r"[()$\s]")
+    return F.coalesce(F.concat(F.lit("-"), paren), bare(r"[-+]?\$?\s*" + digits, r"[+$\s]"))
 
 
 def money(c: Column, keep_commas: bool = False) -> Column:
     """A value of money as plain digits; a value without a number loses ``$`` and commas only."""
     text = without_ocr_suffix(squash(c))
-    number = first_number(text)
-    bare = F.replace(text, F.lit("$"), F.lit(""))
-    if not keep_commas:
-        number, bare = (F.replace(x, F.lit(","), F.lit("")) for x in (number, bare))
-    return F.coalesce(number, F.trim(F.regexp_replace(bare, r"(?i)p-\d+$", "")))
+    value = F.coalesce(first_number(text), F.trim(F.regexp_replace(F.replace(text, F.lit("$"), F.lit("")), r"(?i)p-\d+$", "")))
+    return value if keep_commas else F.replace(value, F.lit(","), F.lit(""))
 
 
 def decimal_text(c: Column) -> Column:
@@ -141,7 +137,11 @@ def extracted_form(label: Column, value: Column) -> Column:
 
 def loose_match(label: Column, gold: Column, token: Column) -> Column:
     """Whether one form holds the other; an empty one matches an empty one only."""
-    a, b = matching_form(label, gold), matching_form(label, token)
+    return forms_match(matching_form(label, gold), matching_form(label, token))
+
+
+def forms_match(a: Column, b: Column) -> Column:
+    """loose_match of two matching forms."""
     return F.when((F.length(a) == 0) | (F.length(b) == 0), a == b).otherwise(F.contains(a, b) | F.contains(b, a))
 
 

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from folia.functions import scalars as S
 
-_RATES = {"token_available_rate": F.col("n_tokens") > 0, "strict_match_rate": F.col("strict_match"), "loose_value_match_rate": F.col("loose_match")}
+_RATES = {"token_available_rate": "n_tokens > 0", "strict_match_rate": "strict_match", "loose_value_match_rate": "loose_match"}
 
 
 def _rates() -> list:
-    return [F.round(F.avg(c.cast("int")), 6).alias(k) for k, c in _RATES.items()]
+    return [F.round(F.avg(F.expr(c).cast("int")), 6).alias(k) for k, c in _RATES.items()]
 
 
 def by_document(docs: DataFrame, checked: DataFrame) -> DataFrame:

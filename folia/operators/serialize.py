@@ -44,8 +44,9 @@ def _emit(tokens: DataFrame, before: list[Column], after: list[Column]) -> DataF
     """Each token with items before and after it. Places are prefix sums of the numbers of items, so one sort is enough."""
     own = F.array(_item(F.col("text"), OCR, F.col("tok_idx")))
     rows = tokens.withColumn("items", F.concat(*before, own, *after))
-    base = F.sum(F.size("items")).over(_by_doc().rowsBetween(Window.unboundedPreceding, 0)) - F.size("items")
-    rows = rows.select("doc_id", base.alias("base"), F.posexplode("items").alias("k", "i"))
+    so_far = _by_doc().rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("base", F.sum(F.size("items")).over(so_far) - F.size("items"))
+    rows = rows.select("doc_id", "base", F.posexplode("items").alias("k", "i"))
     return rows.select("doc_id", (F.col("base") + F.col("k")).cast("int").alias("pos"), "i.text", "i.src", "i.role")
 
 

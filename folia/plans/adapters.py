@@ -43,3 +43,12 @@ def blocks(toks: DataFrame) -> DataFrame:
     """Blocks of twelve tokens of a page, so that tokens without block_id lie in one."""
     key = (F.col("tok_idx") / 12).cast("int")
     return toks.groupBy("doc_id", "page", key.alias("block_id")).agg(F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"))
+
+
+def predictions(labelled: DataFrame) -> DataFrame:
+    """Predicted labels for windows of 64 tokens that overlap by 16: gold, but for made errors."""
+    first = F.greatest(F.lit(0), F.floor((F.col("tok_idx") - 64) / 48) + 1).cast("int")
+    rows = labelled.select("doc_id", "tok_idx", "label", F.explode(F.sequence(first, F.floor(F.col("tok_idx") / 48).cast("int"))).alias("row_no"))
+    e = (F.col("doc_id") * 7919 + F.col("tok_idx") * 104729 + F.col("row_no") * 31) % 10
+    pred = F.when(e == 0, "O").when((e == 1) & F.startswith("label", F.lit("B-")), F.concat(F.lit("I-"), F.substring("label", 3, 100))).when((e == 2) & (F.col("label") == "O"), "B-agency").otherwise(F.col("label"))
+    return rows.select("doc_id", F.lit(0).alias("record"), "row_no", F.col("tok_idx").alias("position"), F.col("tok_idx").alias("src"), F.col("label").alias("gold"), pred.alias("pred"))
