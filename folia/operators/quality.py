@@ -85,5 +85,5 @@ def bio_label_map(labels: DataFrame) -> DataFrame:
 def split_pivot(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """docs (doc_id, dataset_name, split), counts (doc_id, n): documents and mean n of each data set, by split."""
     rows = docs.join(counts, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    out = rows.groupBy("dataset_name").pivot("split", ["train", "val", "test"]).agg(F.count("*").alias("docs"), F.round(F.avg("n"), 6).alias("mean"))
+    out = rows.groupBy("dataset_name").pivot("split", ["train", "val", "test"]).agg(F.count(F.lit(1)).alias("docs"), F.round(F.avg("n"), 6).alias("mean"))
     return out.na.fill(0, [c for c in out.columns if c.endswith("_docs")])

@@ -158,7 +158,9 @@ def fair_windows(items: DataFrame, labelled: DataFrame, max_length: int, special
     usable = max_length - specials
     if usable <= 0:
         raise ValueError("max_length leaves no room for content")
-    rows = items.join(labelled.select("doc_id", F.col("tok_idx").alias("src"), "label"), ["doc_id", "src"], "left").select("doc_id", "strategy", "pos", "src", "role", "pieces", "label")
+    n_tokens = labelled.groupBy("doc_id").agg(F.count("*").alias("n_tokens"))
+    rows = items.join(labelled.select("doc_id", F.col("tok_idx").alias("src"), "label"), ["doc_id", "src"], "left").join(n_tokens, "doc_id", "left")
+    rows = rows.select("doc_id", "strategy", "pos", "src", "role", "pieces", "label", "n_tokens")
 
     def work(key: tuple, g: dict[str, list]) -> list[tuple]:
         by: dict[str, list[int]] = {}
@@ -166,7 +168,7 @@ def fair_windows(items: DataFrame, labelled: DataFrame, max_length: int, special
             by.setdefault(s, []).append(k)
         views = {s: _View([g["src"][k] for k in ks], [g["role"][k] for k in ks], [g["pieces"][k] for k in ks]) for s, ks in by.items()}
         labels = {g["src"][k]: g["label"][k] or "O" for k in range(len(g["src"])) if g["src"][k] is not None}
-        n = len(labels)
+        n = g["n_tokens"][0] or 0
         if sorted(labels) != list(range(n)) or any(len(v.place) != n for v in views.values()):
             raise ValueError(f"document {key[0]}: incomplete OCR source coverage")
         out = []
