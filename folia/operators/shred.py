@@ -146,8 +146,9 @@ def _float(text: bytes) -> float:
         return np.nan
 
 
-def structural_index(flat: np.ndarray, offs: np.ndarray) -> Index:
-    """The values of the payloads flat[offs[k]:offs[k + 1]]."""
+def structural_index(flat: np.ndarray, offs: np.ndarray, plain: bool = False) -> Index:
+    """The values of the payloads flat[offs[k]:offs[k + 1]]. ``plain``: they are JSON as _readable writes it, in which
+    a key with an escaped character is never one of ours."""
     n_rows, n = len(offs) - 1, len(flat)
     row_of = np.repeat(np.arange(n_rows), np.diff(offs))
     bad, odd = np.zeros(n_rows, bool), np.zeros(n_rows, bool)
@@ -302,7 +303,7 @@ def structural_index(flat: np.ndarray, offs: np.ndarray) -> Index:
         for k, byte in enumerate(name.encode()):
             hit = hit[flat[k_start[hit] + k] == byte]
         key_id[key_at[hit]] = number_of
-    if len(key_at):
+    if len(key_at) and not plain:
         with_slash = np.concatenate([[0], np.cumsum(slash)])
         odd[row[key_at[with_slash[end[key_at]] > with_slash[start[key_at]]]]] = True
 
@@ -459,8 +460,8 @@ def _join(parts: list[Entries]) -> tuple[Entries, np.ndarray]:
     return Entries(*(f[order] for f in fields)), order
 
 
-def shred_chunk(flat: np.ndarray, offs: np.ndarray) -> Shredded:
-    ix = structural_index(flat, offs)
+def shred_chunk(flat: np.ndarray, offs: np.ndarray, plain: bool = False) -> Shredded:
+    ix = structural_index(flat, offs, plain)
     root = ix.root[ix.root >= 0]
     lists = root[ix.kind[root] == ARRAY]
     objects = root[ix.kind[root] == OBJECT]
@@ -502,16 +503,25 @@ def _payload_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, offs - offs[0]
 
 
+def _plain(value: object) -> object:
+    """A parsed payload as JSON can hold it: tuples as lists, numbers without end as null, keys as text."""
+    if isinstance(value, dict):
+        return {str(k): _plain(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [_plain(v) for v in value]
+    if isinstance(value, float) and not np.isfinite(value):
+        return None
+    return value if isinstance(value, (str, int, float)) else None
+
+
 def _readable(text: str) -> str | None:
     """An odd payload as JSON, None if it is neither JSON nor a Python literal."""
-    try:
-        return json.dumps(json.loads(text))
-    except (ValueError, RecursionError):
-        pass
-    try:
-        return json.dumps(ast.literal_eval(text.strip()))
-    except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
-        return None
+    for read in (json.loads, lambda t: ast.literal_eval(t.strip())):
+        try:
+            return json.dumps(_plain(read(text)), ensure_ascii=False)
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            continue
+    return None
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Shredded]]:
@@ -532,7 +542,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Shredd
                 fixed = [(k, t) for k in again.tolist() if (t := _readable(part[k].as_py())) is not None]
                 if fixed:
                     rows = pa.array([k for k, _ in fixed])
-                    yield part_ids.take(rows), shred_chunk(*_payload_bytes(pa.array([t for _, t in fixed], pa.string())))
+                    yield part_ids.take(rows), shred_chunk(*_payload_bytes(pa.array([t for _, t in fixed], pa.string())), plain=True)
             lo = hi
 
 

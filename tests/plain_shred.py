@@ -4,10 +4,16 @@ import ast
 import json
 
 
+def lists(v):
+    if isinstance(v, dict):
+        return {k: lists(x) for k, x in v.items()}
+    return [lists(x) for x in v] if isinstance(v, (list, tuple)) else v
+
+
 def parse(text):
     for read in (json.loads, lambda t: ast.literal_eval(t.strip())):
         try:
-            return read(text)
+            return lists(read(text))
         except (ValueError, SyntaxError, TypeError, MemoryError):
             pass
     return None
@@ -20,7 +26,7 @@ def number(v):
         v = float(v)
     except (TypeError, ValueError):
         return None
-    return v if v == v else None
+    return v if abs(v) < float("inf") else None
 
 
 def whole(v):
