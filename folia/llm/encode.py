@@ -39,7 +39,7 @@ def _pieces(column: pa.Array) -> tuple[list[str], np.ndarray]:
     points, offs, whole = code_points(column)
     starts = presplit.piece_starts(points, offs)
     places = starts.tolist()
-    pieces = [whole[a:b] for a, b in zip(places, [*places[1:], len(points)], strict=True)]
+    pieces = [whole[a:b] for a, b in zip(places, [*places[1:], len(points)], strict=True)] if places else []
     return pieces, np.searchsorted(starts, offs)
 
 

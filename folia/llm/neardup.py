@@ -13,10 +13,10 @@ from folia.llm import words as W
 from folia.llm.columns import chunks, code_points, mix64, string_array
 from folia.session import cut_lineage
 
-#: Small hash collections, and MinHash values in each. A table key joins two collections, so 14 * 2 hashes
-#: give 91 tables of 4 values: plain banding would need 364 hashes. At similarity 0.6 such a pair is
-#: found with probability 0.982, at 0.7 with 0.9991, at 0.8 with 0.999998.
-COLLECTIONS, EACH = 14, 2
+#: Small hash collections, and MinHash values in each. A table key joins two collections, so 16 * 2 hashes
+#: give 120 tables of 4 values: plain banding would need 480 hashes. At similarity 0.6 a pair is found
+#: with probability 0.992, at 0.7 with 0.9997, at 0.8 with 0.999998.
+COLLECTIONS, EACH = 16, 2
 
 
 def recall(similarity: float, collections: int = COLLECTIONS, each: int = EACH) -> float:
