@@ -1,0 +1,25 @@
+import os
+
+import duckdb
+import pytest
+
+from folia.llm import queries
+
+SQL = queries.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query(spark, data, name):
+    con = duckdb.connect()
+    for file in os.listdir(data):
+        con.execute(f"create view {file.removesuffix('.parquet')} as select * from '{data}/{file}'")
+    made = queries.queries()[name](spark, data)
+    want = con.execute(SQL[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(made.columns) == sorted(columns)
+    assert sorted(map(tuple, made.select(*columns).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+@pytest.mark.parametrize("name", ["p5_budget", "p5_beside_summary", "p7_items", "p8_text"])
+def test_query_without_statement(spark, data, name):
+    assert queries.queries()[name](spark, data).count() > 0
