@@ -122,7 +122,7 @@ def _cte() -> dict[str, tuple[str, ...] | str]:
         "fold3": "select f.*, strata, least_size, greatest(1, least(n - 1, round_even(n * 0.1::double, 0)::int)) as n_val from fold2 f join (select fold, count(distinct stratum) as strata, min(size) as least_size from fold2 group by 1) g on f.fold = g.fold",
         "fold4": "select *, strata > 1 and least_size >= 2 and n_val >= strata and n - n_val >= strata as can from fold3",
         "fold5": """select fold, doc_id, stratum, outr, can, case when row_number() over (partition by fold order by case when can then (r - 0.5) / size else 0.0 end, md5((42 + fold) || ':' || doc_id), doc_id) <= n_val then 'validation' else 'train' end as split from fold4""",
-        "folds": """select f.fold, doc_id, stratum, split, case when outr then 'stratified' else 'plain' end as outer_splitter, case when inner_can then 'stratified' else 'plain' end as inner_splitter
+        "folds": """select f.fold::int as fold, doc_id, stratum, split, case when outr then 'stratified' else 'plain' end as outer_splitter, case when inner_can then 'stratified' else 'plain' end as inner_splitter
             from (select * from fold5 union all select fold, doc_id, stratum, outr, null, 'test' from fold1 where fold = own) f join (select fold, bool_or(can) as inner_can from fold5 group by 1) g on f.fold = g.fold""",
         "pg": "select doc_id, tok_idx, text, page, label, fresh, sum(1 + fresh::int) over (partition by doc_id order by tok_idx) - 1 as pos from (select *, lag(page) over (partition by doc_id order by tok_idx) is distinct from page or lag(tok_idx) over (partition by doc_id order by tok_idx) is null as fresh from bio)",
         "pgi": "select doc_id, pos, text, tok_idx as src, 'ocr_token' as role, inst, entity from (select p.*, i.inst, i.entity from pg p join isl i on p.doc_id = i.doc_id and p.tok_idx = i.tok_idx) union all select doc_id, pos - 1, '[PAGE_' || page || ']', null, 'page', null, null from pg where fresh",
