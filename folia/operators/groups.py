@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from folia.session import map_arrow
+
 
 def map_groups(df: DataFrame, keys: list[str], order: list[str], work: Callable[[tuple, dict[str, list]], list[tuple]], schema: str) -> DataFrame:
     """``work(key, columns)`` gets one group's other columns as lists, in order, and returns rows; the result has the keys and the rows' columns.
@@ -49,7 +51,7 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], work: Callable[
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
     sorted_rows = df.select(*keys, *names).repartition(*keys).sortWithinPartitions(*keys, *order)
-    return sorted_rows.mapInArrow(run, out_schema)
+    return map_arrow(sorted_rows, run, out_schema)
 
 
 def _cuts(table: pa.Table, n_keys: int) -> list[int]:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folia.session import map_arrow
+
 CHUNK_BYTES = 1 << 20
 OBJECT, ARRAY, STRING, NUMBER, NULL, BOOL = 1, 3, 10, 11, 12, 13
 _OPEN_OBJECT, _CLOSE_OBJECT, _OPEN_ARRAY, _CLOSE_ARRAY, _COLON, _COMMA, _BLANK, _SCALAR, _OTHER = range(1, 10)
@@ -570,7 +572,7 @@ def token_links(exports: DataFrame) -> DataFrame:
             t = made.tokens
             yield _rows(ids, t.row, ["tok_no", "page_no", "block_id"], [t.number(), t.page, made.block_of])
 
-    return _payloads(exports).mapInArrow(run, _schema(exports, "tok_no bigint, page_no bigint, block_id bigint"))
+    return map_arrow(_payloads(exports), run, _schema(exports, "tok_no bigint, page_no bigint, block_id bigint"))
 
 
 def _schema(exports: DataFrame, rest: str) -> str:
@@ -585,7 +587,7 @@ def token_table(exports: DataFrame) -> DataFrame:
             t = made.tokens
             yield _rows(ids, t.row, ["tok_no", "page_no", "block_id", *_ENTRY], [t.number(), t.page, made.block_of, *_entry_columns(made.index, t)])
 
-    return _payloads(exports).mapInArrow(run, _schema(exports, f"tok_no bigint, page_no bigint, block_id bigint, {_ENTRY_SCHEMA}"))
+    return map_arrow(_payloads(exports), run, _schema(exports, f"tok_no bigint, page_no bigint, block_id bigint, {_ENTRY_SCHEMA}"))
 
 
 _ENTRY = ["text", "char_start", "char_end", "x0", "y0", "x1", "y1"]
@@ -606,7 +608,7 @@ def block_table(exports: DataFrame) -> DataFrame:
             b = made.blocks
             yield _rows(ids, b.row, ["block_id", "page_no", *_ENTRY], [b.number(), b.page, *_entry_columns(made.index, b)])
 
-    return _payloads(exports).mapInArrow(run, _schema(exports, f"block_id bigint, page_no bigint, {_ENTRY_SCHEMA}"))
+    return map_arrow(_payloads(exports), run, _schema(exports, f"block_id bigint, page_no bigint, {_ENTRY_SCHEMA}"))
 
 
 def page_table(exports: DataFrame) -> DataFrame:
@@ -617,4 +619,4 @@ def page_table(exports: DataFrame) -> DataFrame:
             row, no, width, height = made.pages
             yield _rows(ids, row, ["page_no", "page_width", "page_height"], [no, width, height])
 
-    return _payloads(exports).mapInArrow(run, _schema(exports, "page_no bigint, page_width double, page_height double"))
+    return map_arrow(_payloads(exports), run, _schema(exports, "page_no bigint, page_width double, page_height double"))

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CONF = {
@@ -51,3 +55,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data folder."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors, once for an application, so that it needn't be installed there."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir():  # not itself read from a zip file
+        folder = Path(tempfile.mkdtemp(prefix="folia-package-"))  # on the driver, which serves it
+        with zipfile.ZipFile(folder / "folia.zip", "w", zipfile.ZIP_DEFLATED) as file:
+            for path in sorted(root.rglob("*.py")):
+                file.write(path, path.relative_to(root.parent))
+        context.addPyFile(str(folder / "folia.zip"))
+    _SHIPPED.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow with the package on the executors."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(work, schema)
