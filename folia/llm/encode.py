@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from folia.llm import bpe, presplit
 from folia.llm.columns import chunks, code_points, string_array
+from folia.session import map_arrow
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -69,7 +70,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), ids], ["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return map_arrow(docs.select(id_col, text_col), run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 class PieceCounter:
@@ -117,7 +118,7 @@ def count_subtokens(rows: DataFrame, text_col: str, keep: list[str], name: str,
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(n_keep)), counts], [*(f"k{k}" for k in range(n_keep)), "n"])
 
     schema = ", ".join([*(f"k{k} {rows.schema[c].dataType.simpleString()}" for k, c in enumerate(keep)), "n bigint"])
-    return rows.select(*keep, text_col).mapInArrow(run, schema).toDF(*keep, name)
+    return map_arrow(rows.select(*keep, text_col), run, schema).toDF(*keep, name)
 
 
 def plain_name(column: Column) -> Column:

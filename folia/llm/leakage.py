@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from folia.llm import words as W
 from folia.llm.columns import span_hashes
 from folia.llm.lookalike import consistent
+from folia.session import map_arrow
 
 #: Words in a run that counts as a leak, and in the shingles whose least hash stands for a window of that many.
 RUN, SHINGLE = 12, 5
@@ -71,7 +72,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, run: int, shingle
             columns = [batch.column(0).take(pa.array(text)), pa.array(least.view(np.int64)), pa.array(exact.view(np.int64)), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["item_id", "least", "exact", "words"])
 
-    return items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint"), text_col).mapInArrow(work, "item_id bigint, least bigint, exact bigint, words string")
+    return map_arrow(items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint"), text_col), work, "item_id bigint, least bigint, exact bigint, words string")
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", run: int = RUN, shingle: int = SHINGLE, most_sent: int = MOST_SENT) -> DataFrame:
@@ -135,7 +136,7 @@ def _scan(docs: DataFrame, sent, run: int, shingle: int) -> DataFrame:
                 which = np.array(which)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(owner[which]), pa.array(exact[which])], ["id", "item_id", "exact"])
 
-    return docs.mapInArrow(work, f"id {kind}, item_id bigint, exact bigint")
+    return map_arrow(docs, work, f"id {kind}, item_id bigint, exact bigint")
 
 
 def _partitioned(docs: DataFrame, windows: DataFrame, run: int, shingle: int) -> DataFrame:
@@ -159,8 +160,8 @@ def _partitioned(docs: DataFrame, windows: DataFrame, run: int, shingle: int) ->
             yield pa.RecordBatch.from_arrays(columns, ["id", "least", "words"])
 
     asked = windows.select("least").distinct()
-    hit = docs.mapInArrow(sketch, f"id {kind}, least bigint").join(asked, "least", "left_semi").select("id").distinct()
-    spelled = docs.join(hit, "id", "left_semi").mapInArrow(spell, f"id {kind}, least bigint, words string")
+    hit = map_arrow(docs, sketch, f"id {kind}, least bigint").join(asked, "least", "left_semi").select("id").distinct()
+    spelled = map_arrow(docs.join(hit, "id", "left_semi"), spell, f"id {kind}, least bigint, words string")
     return spelled.join(windows, ["least", "words"]).select("id", "item_id", "exact")
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folia.llm.columns import chunks, code_points, string_array, strings
+from folia.session import map_arrow
 
 # Letters drawn like a Latin one, each above the Latin letter.
 CYRILLIC = "АВЕЅІЈКМНОРСТХҮԌԚԜаеѕіјорсухһԁԛԝӏ"
@@ -233,7 +234,7 @@ def consistent_form(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), made], ["id", "form"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, form string").toDF(id_col, text_col)
+    return map_arrow(docs.select(id_col, text_col), run, f"id {kind}, form string").toDF(id_col, text_col)
 
 
 def form_digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -255,7 +256,7 @@ def form_digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, *columns], ["id", "form", "exact"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, form binary, exact binary")
+    return map_arrow(docs.select(id_col, text_col), run, f"id {kind}, form binary, exact binary")
 
 
 def lookalikes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folia.llm import words as W
 from folia.llm.columns import chunks, code_points, mix64, string_array
-from folia.session import cut_lineage
+from folia.session import cut_lineage, map_arrow
 
 #: Small hash collections, and MinHash values in each. A table key joins two collections, so 16 * 2 hashes
 #: give 120 tables of 4 values: plain banding would need 480 hashes. At similarity 0.6 a pair is found
@@ -46,7 +46,7 @@ def signatures(docs: DataFrame, width: int, collections: int, each: int) -> Data
             kept = batch.take(pa.array(keep))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(c1[keep]), pa.array(c2[keep]), pa.array(n[keep]), lists], ["id", "part", "c1", "c2", "n", "groups"])
 
-    return docs.mapInArrow(run, "id bigint, part string, c1 bigint, c2 bigint, n bigint, groups array<bigint>")
+    return map_arrow(docs, run, "id bigint, part string, c1 bigint, c2 bigint, n bigint, groups array<bigint>")
 
 
 def compare(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -62,7 +62,7 @@ def compare(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
     sides = [texts.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a bigint, b bigint, common bigint, n_a bigint, n_b bigint")
+    return map_arrow(both, run, "a bigint, b bigint, common bigint, n_a bigint, n_b bigint")
 
 
 class NearDuplicates:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folia.llm import words as W
 from folia.llm.neardup import compare
-from folia.session import cut_lineage
+from folia.session import cut_lineage, map_arrow
 
 
 def _digests(docs: DataFrame, width: int) -> DataFrame:
@@ -26,7 +26,7 @@ def _digests(docs: DataFrame, width: int) -> DataFrame:
             kept = batch.take(pa.array(keep))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(c1[keep]), pa.array(c2[keep]), pa.array(n[keep])], ["id", "is_eval", "c1", "c2", "n"])
 
-    return docs.mapInArrow(run, "id bigint, is_eval boolean, c1 bigint, c2 bigint, n bigint")
+    return map_arrow(docs, run, "id bigint, is_eval boolean, c1 bigint, c2 bigint, n bigint")
 
 
 def _grams(texts: DataFrame, width: int) -> DataFrame:
@@ -40,7 +40,7 @@ def _grams(texts: DataFrame, width: int) -> DataFrame:
             kept = [batch.column(k).take(place) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(np.repeat(n, n).astype(np.int32)), pa.array(hashes.view(np.int64))], ["id", "evals", "trains", "n", "gram"])
 
-    return texts.mapInArrow(run, "id bigint, evals boolean, trains boolean, n int, gram bigint")
+    return map_arrow(texts, run, "id bigint, evals boolean, trains boolean, n int, gram bigint")
 
 
 class SplitOverlap:

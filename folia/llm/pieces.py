@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folia.llm.encode import plain_name
+from folia.session import map_arrow
 
 #: Token numbers in a bucket: the unit in which tokens are put in order, so no task needs a whole record.
 BUCKET = 8192
@@ -71,7 +72,7 @@ def boundary_runs(tokens: DataFrame, bucket: int = BUCKET) -> DataFrame:
         return pa.RecordBatch.from_arrays([*map(pa.array, flat), *lists, *map(pa.array, edge)], names)
 
     schema = "rec_id bigint, bucket bigint, n bigint, jump_at array<bigint>, jump_to array<bigint>, cut_at array<bigint>, page_first bigint, block_first bigint, page_last bigint, block_last bigint"
-    return rows.repartition("rec_id", "bucket").sortWithinPartitions(*order).mapInArrow(work, schema)
+    return map_arrow(rows.repartition("rec_id", "bucket").sortWithinPartitions(*order), work, schema)
 
 
 def cut_points(n: int, cuts: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int]]:
@@ -130,4 +131,4 @@ def pieces(tokens: DataFrame, records: DataFrame, configs: DataFrame, bucket: in
             columns = np.array(rows, np.int64).reshape(-1, 5).T
             yield pa.RecordBatch.from_arrays([pa.array(columns[k], pa.int64() if k < 2 else pa.int32()) for k in range(5)], ["config_id", "rec_id", "piece_no", "tok_from", "tok_to"])
 
-    return jobs.mapInArrow(work, "config_id bigint, rec_id bigint, piece_no int, tok_from int, tok_to int")
+    return map_arrow(jobs, work, "config_id bigint, rec_id bigint, piece_no int, tok_from int, tok_to int")
