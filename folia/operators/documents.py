@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 TOKEN_FIELDS = ["text", "char_start", "char_end", "page", "x0", "y0", "x1", "y1", "page_width", "page_height", "block_id"]
 
 
+def by_document(df: DataFrame) -> DataFrame:
+    """Rows partitioned by document, once: whatever groups, orders or joins by document and more then stays in place."""
+    df.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return df.repartition("doc_id")
+
+
 def clean_tokens(delivered: DataFrame, doc_col: str = "rec_id") -> DataFrame:
     """Each token once, as loaded last; sides in order; null text empty. Null document or place is left out."""
-    rows = delivered.where(F.col(doc_col).isNotNull() & F.col("tok_idx").isNotNull())
-    last = rows.groupBy(F.col(doc_col).alias("doc_id"), "tok_idx").agg(F.max_by(F.struct(*TOKEN_FIELDS), F.struct("loaded_at", *TOKEN_FIELDS)).alias("t"))
+    rows = delivered.where(F.col(doc_col).isNotNull() & F.col("tok_idx").isNotNull()).withColumnRenamed(doc_col, "doc_id")
+    last = by_document(rows).groupBy("doc_id", "tok_idx").agg(F.max_by(F.struct(*TOKEN_FIELDS), F.struct("loaded_at", *TOKEN_FIELDS)).alias("t"))
     side = {f"{a}{k}": f(f"t.{a}0", f"t.{a}1").alias(f"{a}{k}") for a in "xy" for k, f in ((0, F.least), (1, F.greatest))}
     fields = [side.get(f, F.coalesce("t.text", F.lit("")).alias("text") if f == "text" else F.col(f"t.{f}")) for f in TOKEN_FIELDS]
     return last.select("doc_id", "tok_idx", *fields)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folia.functions import scalars as S
+from folia.session import cut_lineage
 
 _TOKEN = ["doc_id", "record", "src"]
 
@@ -60,9 +61,11 @@ def _scores(correct: Column, predicted: Column, gold: Column) -> dict[str, Colum
 
 def entity_metrics(voted: DataFrame) -> DataFrame:
     """One row: micro precision, recall and F1 over exact spans, mean F1 of the entities in gold or prediction, and counts."""
-    key = ["doc_id", "record", "entity", "first", "last"]
-    both = entity_spans(voted, "gold").withColumn("g", F.lit(1)).join(entity_spans(voted, "pred").withColumn("p", F.lit(1)), key, "full")
-    each = both.groupBy("entity").agg(F.count("g").alias("n_gold"), F.count("p").alias("n_pred"), F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("n_correct"))
+    side = lambda name: F.struct(F.lit(name).alias("side"), F.col(name).alias("label"))
+    both = voted.select("doc_id", "record", "src", F.explode(F.array(side("gold"), side("pred"))).alias("s")).select("doc_id", "record", "src", "s.*")
+    found = entity_spans(both, "label", ("doc_id", "record", "side"))
+    found = found.groupBy("doc_id", "record", "entity", "first", "last").agg(*(F.max(F.when(F.col("side") == n, 1)).alias(n[0]) for n in ("gold", "pred")))
+    each = found.groupBy("entity").agg(F.count("g").alias("n_gold"), F.count("p").alias("n_pred"), F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("n_correct"))
     each = each.withColumn("f1", _scores(F.col("n_correct"), F.col("n_pred"), F.col("n_gold"))["f1"])
     sums = {c: F.coalesce(F.sum(c), F.lit(0)) for c in ("n_gold", "n_pred", "n_correct")}
     micro = _scores(sums["n_correct"], sums["n_pred"], sums["n_gold"])
@@ -75,8 +78,9 @@ def entity_metrics(voted: DataFrame) -> DataFrame:
 
 def by_label(voted: DataFrame) -> DataFrame:
     """(label, precision, recall, f1, support) of each label in gold or prediction; tokens count by their exact label."""
-    sides = voted.select(F.col("gold").alias("label"), F.lit(1).alias("g"), F.lit(0).alias("p"), (F.col("gold") == F.col("pred")).cast("int").alias("c"))
-    sides = sides.unionByName(voted.select(F.col("pred").alias("label"), F.lit(0).alias("g"), F.lit(1).alias("p"), F.lit(0).alias("c")))
+    side = lambda name, g, p, c: F.struct(F.col(name).alias("label"), F.lit(g).alias("g"), F.lit(p).alias("p"), c.alias("c"))
+    same = (F.col("gold") == F.col("pred")).cast("int")
+    sides = voted.select(F.explode(F.array(side("gold", 1, 0, same), side("pred", 0, 1, F.lit(0)))).alias("s")).select("s.*")
     sums = sides.groupBy("label").agg(F.sum("g").alias("support"), F.sum("p").alias("n_pred"), F.sum("c").alias("n_correct"))
     return sums.select("label", *(v.alias(k) for k, v in _scores(F.col("n_correct"), F.col("n_pred"), F.col("support")).items()), "support", "n_pred", "n_correct")
 
@@ -100,7 +104,7 @@ def token_metrics(voted: DataFrame) -> DataFrame:
 
 def label_report(voted: DataFrame) -> DataFrame:
     """by_label with rows for the macro and the weighted average."""
-    rows = by_label(voted).select("label", "precision", "recall", "f1", F.col("support").cast("bigint").alias("support"))
+    rows = cut_lineage(by_label(voted).select("label", "precision", "recall", "f1", F.col("support").cast("bigint").alias("support")))  # a row for a label
     n = F.sum("support")
     macro = rows.agg(F.lit("macro avg").alias("label"), *(F.avg(k).alias(k) for k in ("precision", "recall", "f1")), n.alias("support"))
     weighted = rows.agg(F.lit("weighted avg").alias("label"), *(_ratio(F.sum(F.col(k) * F.col("support")), n).alias(k) for k in ("precision", "recall", "f1")), n.alias("support"))

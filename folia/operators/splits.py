@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folia.functions import scalars as S
+from folia.session import cut_lineage
 
 
 def hash_order(seed: int | Column, key: str = "doc_id") -> Column:
@@ -46,6 +47,7 @@ def folds(stratified: DataFrame, k: int = 5, seed: int = 42, validation: float =
     dealt together. Of a fold's other documents, ``validation`` (rounded half to even, one at least) are its
     validation part, in even shares of the strata if each side can have all of them. Fewer than k documents fail.
     """
+    stratified = cut_lineage(stratified)  # one short row for a document, read several times
     sizes = stratified.groupBy("stratum").agg(F.count("*").alias("size"))
     facts = sizes.agg(F.count("*").alias("n_strata"), F.min("size").alias("least"), F.sum("size").alias("n"))
     rows = stratified.crossJoin(facts)

@@ -109,23 +109,32 @@ def plan_windows(views: dict[str, _View], labels: list[str], usable: int, window
 
     Each is as long as fits, and as ``window`` if that is set; an entity that the end would cut goes to the next
     window if it begins inside this one. Windows overlap by ``stride`` tokens, or by the tokens that take
-    ``piece_stride`` pieces. More tokens never take fewer pieces, so the longest fit is found by doubling and bisection.
+    ``piece_stride`` pieces. More tokens never take fewer pieces, so the longest fit is found by bisection.
     """
     n, start, out = len(labels), 0, []
-    fits = lambda a, b: all(v.cost(range(a, b)) <= usable for v in views.values())
+    heaviest = sorted(views.values(), key=lambda v: -sum(v.pieces))  # the first to overflow
+    fits = lambda a, b: all(v.cost(range(a, b)) <= usable for v in heaviest)
+    guess = 64
     while start < n:
         top = min(n, start + window) if window > 0 else n
-        low, step = start, 1
-        while low < top and fits(start, min(top, low + step)):
-            low = min(top, low + step)
+        # the longest fit lies near that of the window before: widen from there, then bisect
+        low, high, step = start, top + 1, max(1, guess // 8)
+        at = min(top, start + guess)
+        while low < at < high:
+            if fits(start, at):
+                low = at
+                at = min(top, at + step)
+            else:
+                high = at
+                at = max(start, at - step)
             step *= 2
-        high = min(top, low + step)
         while high - low > 1:
             mid = (low + high) // 2
             if fits(start, mid):
                 low = mid
             else:
                 high = mid
+        guess = max(1, low - start)
         end = low
         if end == start:
             raise ValueError(f"token {start} with its layout takes more than {usable} pieces")
