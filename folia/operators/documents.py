@@ -64,3 +64,14 @@ def with_running_offsets(boxes: DataFrame, key: str = "doc_id", order: tuple[str
 def doc_key(*candidates: Column) -> Column:
     """The first key that is neither null nor blank."""
     return F.coalesce(*(F.nullif(F.trim(c.cast("string")), F.lit("")) for c in candidates))
+
+
+def to_pixels(entries: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Boxes whose four sides all lie in 0 .. 1 as pixels of their page, of 1000 without known size, rounded half to even;
+    other boxes are rounded only. entries and sizes share raw_id and page_no; sizes go along."""
+    rows = entries.join(sizes, ["raw_id", "page_no"], "left")
+    sides = ["x0", "y0", "x1", "y1"]
+    unit = F.forall(F.array(*sides), lambda v: (v >= 0) & (v <= 1))
+    size = {"x": F.coalesce("page_width", F.lit(1000.0)), "y": F.coalesce("page_height", F.lit(1000.0))}
+    pixels = {s: F.rint(F.col(s) * F.when(F.col("__unit"), size[s[0]]).otherwise(1.0)).cast("int") for s in sides}
+    return rows.withColumn("__unit", unit).withColumns(pixels).drop("__unit")

@@ -452,7 +452,7 @@ class Shredded:
     tokens: Entries
     block_of: np.ndarray
     blocks: Entries
-    pages: list[np.ndarray]  # row, page_no, width, height
+    pages: list[np.ndarray]  # row, page_no, width, height, and the page's object or -1
 
 
 def _join(parts: list[Entries]) -> tuple[Entries, np.ndarray]:
@@ -487,14 +487,14 @@ def _pages(ix: Index, units: np.ndarray, pages: np.ndarray, page_no: np.ndarray,
     _, at, place = ix.elements(ix.get(units, "pages"))
     keep = ix.kind[at] == OBJECT
     at, place = at[keep], place[keep]
-    parts = [(ix.row[at], _whole_or(ix.numbers(ix.get(at, "page_num")), place), *(ix.numbers(ix.get(ix.only(ix.get(at, "size"), OBJECT), d)) for d in ("width", "height")))]
-    parts.append((ix.row[pages], page_no, *(ix.numbers(ix.get(ix.only(ix.get(pages, "dimension"), OBJECT), d)) for d in ("width", "height"))))
+    parts = [(ix.row[at], _whole_or(ix.numbers(ix.get(at, "page_num")), place), *(ix.numbers(ix.get(ix.only(ix.get(at, "size"), OBJECT), d)) for d in ("width", "height")), at)]
+    parts.append((ix.row[pages], page_no, *(ix.numbers(ix.get(ix.only(ix.get(pages, "dimension"), OBJECT), d)) for d in ("width", "height")), pages))
     rows, head = np.unique(boxes.row, return_index=True)
     if len(rows):
-        parts.append((rows, np.zeros(len(rows)), *(np.fmax.reduceat(boxes.box[:, k], head) for k in (2, 3))))
-    row, no, width, height = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.append((rows, np.zeros(len(rows)), *(np.fmax.reduceat(boxes.box[:, k], head) for k in (2, 3)), np.full(len(rows), -1)))
+    row, no, width, height, node = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(row, kind="stable")
-    return [row[order], no[order].astype(np.int64), width[order], height[order]]
+    return [row[order], no[order].astype(np.int64), width[order], height[order], node[order]]
 
 
 def _payload_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -612,11 +612,13 @@ def block_table(exports: DataFrame) -> DataFrame:
 
 
 def page_table(exports: DataFrame) -> DataFrame:
-    """(raw_id, page_no, page_width, page_height): a row for each page that a payload lists; sizes may be null."""
+    """(raw_id, page_no, page_width, page_height, text): a row for each page that a payload lists; sizes and text may be null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, made in _parts(batches):
-            row, no, width, height = made.pages
-            yield _rows(ids, row, ["page_no", "page_width", "page_height"], [no, width, height])
+            row, no, width, height, node = made.pages
+            at = made.index.only(made.index.get(node, "text"), STRING)
+            texts = pa.array([made.index.text(k) if k >= 0 else None for k in at.tolist()], pa.string())
+            yield _rows(ids, row, ["page_no", "page_width", "page_height", "text"], [no, width, height, texts])
 
-    return map_arrow(_payloads(exports), run, _schema(exports, "page_no bigint, page_width double, page_height double"))
+    return map_arrow(_payloads(exports), run, _schema(exports, "page_no bigint, page_width double, page_height double, text string"))

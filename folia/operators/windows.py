@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folia.functions import scalars as S
 from folia.operators.groups import map_groups
+from folia.operators.metrics import repair
 
 #: Roles whose marker holds for what follows it, in the order in which a window repeats them.
 LASTING = ("page", "block", "column", "xycut_region", "line")
@@ -168,7 +169,7 @@ def fair_windows(items: DataFrame, labelled: DataFrame, max_length: int, special
     if usable <= 0:
         raise ValueError("max_length leaves no room for content")
     n_tokens = labelled.groupBy("doc_id").agg(F.count("*").alias("n_tokens"))
-    rows = items.join(labelled.select("doc_id", F.col("tok_idx").alias("src"), "label"), ["doc_id", "src"], "left").join(n_tokens, "doc_id", "left")
+    rows = items.select("doc_id", "strategy", "pos", "src", "role", "pieces").join(labelled.select("doc_id", F.col("tok_idx").alias("src"), "label"), ["doc_id", "src"], "left").join(n_tokens, "doc_id", "left")
     rows = rows.select("doc_id", "strategy", "pos", "src", "role", "pieces", "label", "n_tokens")
 
     def work(key: tuple, g: dict[str, list]) -> list[tuple]:
@@ -209,3 +210,29 @@ def examples(windows: DataFrame, items: DataFrame, tokens: DataFrame, hide_layou
     sides = {f"n_{s}": F.when(valid, F.col(f"n_{s}")).otherwise(0) for s in box}
     rows = rows.withColumn("label", label).withColumns(sides | {"box_mask": valid.cast("int"), "page": F.when(hidden, -1).otherwise(F.coalesce("page", F.lit(-1)))})
     return rows.withColumn("src", F.coalesce("src", F.lit(-1)))
+
+
+def chunk_summary(windows: DataFrame) -> DataFrame:
+    """One row: chunks, documents, and the mean and largest number of words of a chunk."""
+    words = F.col("word_end") - F.col("word_start")
+    return windows.agg(F.count("*").alias("n_base_word_chunks"), F.countDistinct("doc_id").alias("n_docs"), F.round(F.coalesce(F.avg(words), F.lit(0.0)), 6).alias("mean_base_chunk_words"), F.coalesce(F.max(words), F.lit(0)).alias("max_base_chunk_words"))
+
+
+def with_pieces(rows: DataFrame, keys: list[str], max_length: int, specials_before: int = 1, specials_after: int = 1) -> DataFrame:
+    """Words as a model's positions: rows (keys, k, pieces, label, src, ...) -> a row for each piece with ``position`` from
+    ``specials_before`` on. The first piece carries label and src, the rest null and -1; what doesn't fit ``max_length`` is cut."""
+    by = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.coalesce(F.sum("pieces").over(by), F.lit(0)) + specials_before
+    each = rows.withColumn("base", base).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    first = F.col("piece") == 0
+    each = each.withColumns({"position": (F.col("base") + F.col("piece")).cast("int"), "label": F.when(first, F.col("label")), "src": F.when(first, F.col("src")).otherwise(-1)})
+    return each.where(F.col("position") < max_length - specials_after).drop("base", "pieces")
+
+
+def canonical_labels(items: DataFrame) -> DataFrame:
+    """(doc_id, tok_idx, label) from written items: labels by token, valid BIO in canonical order; tokens that aren't there are O."""
+    real = items.where("src is not null and label is not null").groupBy("doc_id", F.col("src").alias("tok_idx")).agg(F.max_by("label", "pos").alias("label"))
+    last = items.groupBy("doc_id").agg(F.max("src").alias("m")).where("m is not null")
+    every = last.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("m"))).alias("tok_idx"))
+    rows = every.join(real, ["doc_id", "tok_idx"], "left").withColumn("label", F.coalesce("label", F.lit("O")))
+    return repair(rows, "label", ("doc_id",), "tok_idx")

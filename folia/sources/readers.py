@@ -21,11 +21,15 @@ DATASETS = {"fcc_invoices": "fcc_invoices", "ndas": "nda", "charity_reports": "c
 LABEL_MAPS: dict[str, dict[str, str]] = {}
 
 
-def first_present(df: DataFrame, kind: str, names: dict[str, list[str]] | None = None) -> Column:
-    """The first of a kind's columns that the table has and that isn't missing in the row; NaN and blanks are missing."""
-    have = dict.fromkeys(df.columns)
-    found = [c for c in (names or COLUMNS)[kind] if c in have]
-    values = [F.when(F.col(f"`{c}`").cast("string").isin("", "NaN", "nan"), None).otherwise(F.col(f"`{c}`").cast("string")) for c in found]
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with columns named by number, and their names before: they may differ in case only (OCR and ocr)."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))), {c: f"c{k}" for k, c in enumerate(df.columns)}
+
+
+def first_present(columns: dict[str, str], kind: str, names: dict[str, list[str]] | None = None) -> Column:
+    """The first of a kind's columns that the table has (see numbered) and that isn't missing in the row; NaN and empty texts are missing."""
+    found = [columns[c] for c in (names or COLUMNS)[kind] if c in columns]
+    values = [F.when(~F.col(c).cast("string").isin("", "NaN", "nan"), F.col(c).cast("string")) for c in found]
     return F.coalesce(*values) if values else F.lit(None).cast("string")
 
 

@@ -106,7 +106,7 @@ def test_tables(spark):
     assert (token.text, token.char_start, token.char_end, token.x0, token.y1) == ("Zél", 0, 3, 0.1, 0.4)
     block = shred.block_table(exports).where("raw_id = 1").first()
     assert (block.block_id, block.page_no, block.text, block.char_end) == (0, 4, "Zél x", 5)
-    assert [tuple(r) for r in shred.page_table(exports).where("raw_id in (1, 3)").collect()] == [(1, 4, 10.0, 20.0)]
+    assert [tuple(r) for r in shred.page_table(exports).where("raw_id in (1, 3)").collect()] == [(1, 4, 10.0, 20.0, None)]
     assert shred.page_table(exports).where("raw_id = 2").first().page_width == 5.0
     for f in (shred.token_links, shred.token_table, shred.block_table, shred.page_table):
         assert f(exports.limit(0)).count() == 0

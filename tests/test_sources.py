@@ -37,8 +37,9 @@ def test_json_readers(spark, tmp_path):
 
 def test_first_present(spark):
     rows = spark.createDataFrame([(None, "x", "NaN"), ("", "y", "z")], "id string, filename string, doc_id string")
-    assert [r[0] for r in rows.select(R.first_present(rows, "doc_id")).collect()] == ["x", "z"]
-    assert rows.select(R.first_present(rows, "labels")).first()[0] is None
+    rows, columns = R.numbered(rows)
+    assert [r[0] for r in rows.select(R.first_present(columns, "doc_id")).collect()] == ["x", "z"]
+    assert rows.select(R.first_present(columns, "labels")).first()[0] is None
 
 
 def test_parse_json_like():
