@@ -31,6 +31,12 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
     return align.bio_labels(*_gold(spark, d))
 
 
+def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Tokens, and tokens with labels: strategies need the first only."""
+    toks, anns = _gold(spark, d)
+    return toks, align.bio_labels(toks, anns)
+
+
 # tokens
 
 
@@ -272,14 +278,14 @@ def _layout_items(toks: DataFrame) -> DataFrame:
 
 @query
 def relabelled(spark: SparkSession, d: str) -> DataFrame:
-    labelled = _labelled(spark, d)
-    return records.relabel(_layout_items(labelled), labelled).select("doc_id", "pos", "src", "label")
+    toks, labelled = _both(spark, d)
+    return records.relabel(_layout_items(toks), labelled).select("doc_id", "pos", "src", "label")
 
 
 @query
 def collapsed(spark: SparkSession, d: str) -> DataFrame:
-    labelled = _labelled(spark, d)
-    return records.collapse(records.relabel(serialize.page_aware(labelled), labelled))
+    toks, labelled = _both(spark, d)
+    return records.collapse(records.relabel(serialize.page_aware(toks), labelled))
 
 
 @query
@@ -290,14 +296,14 @@ def length_multiplier(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def item_problems(spark: SparkSession, d: str) -> DataFrame:
-    labelled = _labelled(spark, d)
-    return records.problems(records.relabel(serialize.line_aware(labelled), labelled), labelled)
+    toks, labelled = _both(spark, d)
+    return records.problems(records.relabel(serialize.line_aware(toks), labelled), toks)
 
 
 @query
 def assembled(spark: SparkSession, d: str) -> DataFrame:
-    labelled = _labelled(spark, d)
-    made = records.assemble(records.relabel(serialize.page_aware(labelled), labelled), labelled, adapters.docs(spark, d), "page_aware")
+    toks, labelled = _both(spark, d)
+    made = records.assemble(records.relabel(serialize.page_aware(toks), labelled), toks, adapters.docs(spark, d), "page_aware")
     text = lambda c: F.concat_ws(" ", F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit("-"))))
     return made.select("id", "dataset", "serializer", "original_token_count", "serialized_token_count", text(F.col("tokens")).alias("tokens"), text(F.col("labels")).alias("labels"), text(F.col("source_token_indices")).alias("sources"), text(F.col("pages")).alias("pages"))
 
@@ -328,27 +334,27 @@ def training_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def word_windows(spark: SparkSession, d: str) -> DataFrame:
-    labelled = _labelled(spark, d)
-    return windows.word_windows(records.relabel(serialize.page_aware(labelled), labelled), 64, 16)
+    toks, labelled = _both(spark, d)
+    return windows.word_windows(records.relabel(serialize.page_aware(toks), labelled), 64, 16)
 
 
-def _fair(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
-    items = windows.training_text(_several(labelled, ("plain_text", "page_aware", "rowcol_bucket", "line_aware")))
+def _fair(toks: DataFrame, labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    items = windows.training_text(_several(toks, ("plain_text", "page_aware", "rowcol_bucket", "line_aware")))
     items = items.withColumn("pieces", windows.piece_count(F.col("text")))
     return items, windows.fair_windows(items, labelled, 512, piece_stride=32)
 
 
 @query
 def fair_windows(spark: SparkSession, d: str) -> DataFrame:
-    return _fair(_labelled(spark, d))[1].select("doc_id", "strategy", "chunk_index", "word_start", "word_end", "n_pieces")
+    return _fair(*_both(spark, d))[1].select("doc_id", "strategy", "chunk_index", "word_start", "word_end", "n_pieces")
 
 
 @query
 def window_examples(spark: SparkSession, d: str) -> DataFrame:
-    labelled = _labelled(spark, d)
-    items, made = _fair(labelled)
+    toks, labelled = _both(spark, d)
+    items, made = _fair(toks, labelled)
     parts = [records.relabel(items.where(F.col("strategy") == s).drop("strategy", "pieces"), labelled).withColumn("strategy", F.lit(s)) for s in ("plain_text", "page_aware")]
-    rows = windows.examples(made.where(F.col("strategy").isin("plain_text", "page_aware")), parts[0].unionByName(parts[1]), labelled)
+    rows = windows.examples(made.where(F.col("strategy").isin("plain_text", "page_aware")), parts[0].unionByName(parts[1]), toks)
     return rows.groupBy("doc_id", "strategy", "chunk_index").agg(F.count("*").alias("n"), F.count("label").alias("n_labelled"), F.sum("box_mask").alias("n_boxes"), F.sum("page").alias("pages"))
 
 
@@ -371,8 +377,8 @@ def sampled_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _strata(spark: SparkSession, d: str) -> DataFrame:
-    labelled = _labelled(spark, d)
-    items = records.relabel(serialize.plain_text(labelled), labelled).withColumn("strategy", F.lit("plain_text"))
+    toks, labelled = _both(spark, d)
+    items = records.relabel(serialize.plain_text(toks), labelled).withColumn("strategy", F.lit("plain_text"))
     return splits.strata(adapters.docs(spark, d), items)
 
 
@@ -506,7 +512,7 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled tokens under two strategies: their length multipliers and labelled items by data set."""
-    labelled = _labelled(spark, sf_dir)
-    items = records.relabel(serialize.page_aware(labelled), labelled)
+    toks, labelled = _both(spark, sf_dir)
+    items = records.relabel(serialize.page_aware(toks), labelled)
     rows = items.join(adapters.docs(spark, sf_dir), "doc_id")
     return rows.groupBy("dataset_name").agg(F.count("*").alias("n_items"), F.count("src").alias("n_tokens"), F.count_if(F.col("label").isNotNull() & (F.col("label") != "O")).alias("n_labelled"))
