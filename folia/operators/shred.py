@@ -88,6 +88,10 @@ class Index:
     def only(self, at: np.ndarray, kind: int) -> np.ndarray:
         return np.where((at >= 0) & (self.kind[at] == kind), at, -1)
 
+    def texts(self, at: np.ndarray) -> np.ndarray:
+        """Values that read as text: strings and numbers; -1 for others."""
+        return np.where((at >= 0) & np.isin(self.kind[at], (STRING, NUMBER)), at, -1)
+
     def count(self, at: np.ndarray) -> np.ndarray:
         """Number of elements of each array, 0 for no array."""
         ok = (at >= 0) & (self.kind[at] == ARRAY)
@@ -384,9 +388,9 @@ def _form_entries(ix: Index, pages: np.ndarray, page_no: np.ndarray, fields: lis
         parts.append((at[keep], owner[keep], np.full(int(keep.sum()), k)))
     at, owner, rank = (np.concatenate(x) for x in zip(*parts, strict=True))
     pair = ix.element(ix.get(at, "segments"), 0)
-    pair = np.where(ix.count(pair) >= 2, pair, -1)
+    pair = np.where(ix.count(pair) == 2, pair, -1)
     alone = ix.get(at, "segment")
-    pair = np.where(pair >= 0, pair, np.where(ix.count(alone) >= 2, alone, -1))
+    pair = np.where(pair >= 0, pair, np.where(ix.count(alone) == 2, alone, -1))
     from_doc = _offsets(ix, at)
     start, end = (np.where(pair >= 0, ix.numbers(ix.element(pair, k)), from_doc[k]) for k in (0, 1))
     bbox = ix.get(at, "bbox")
@@ -403,7 +407,7 @@ def _box_entries(ix: Index, payloads: np.ndarray) -> Entries:
     at = at[ix.kind[at] == OBJECT]
     points = ix.get(at, "points")
     at, points = at[ix.count(points) >= 4], points[ix.count(points) >= 4]
-    text = ix.only(ix.get(at, "text"), STRING)
+    text = ix.texts(ix.get(at, "text"))
     shown = np.array([bool(t >= 0 and ix.text(t).strip()) for t in text], bool)
     at, points = at[shown], points[shown]
     owner, point, _ = ix.elements(points)
@@ -580,7 +584,7 @@ def _schema(exports: DataFrame, rest: str) -> str:
 
 
 def token_table(exports: DataFrame) -> DataFrame:
-    """token_links with text, range and box; a box entry has no range. Text is null where it isn't a string."""
+    """token_links with text, range and box; a box entry has no range. Text is null where it is neither a string nor a number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, made in _parts(batches):
@@ -595,7 +599,7 @@ _ENTRY_SCHEMA = "text string, char_start bigint, char_end bigint, x0 double, y0
 
 
 def _entry_columns(ix: Index, e: Entries) -> list:
-    at = ix.only(ix.get(e.node, "text"), STRING)
+    at = ix.texts(ix.get(e.node, "text"))
     texts = pa.array([ix.text(k) if k >= 0 else None for k in at.tolist()], pa.string())
     return [texts, e.start, e.end, *(e.box[:, k] for k in range(4))]
 

@@ -52,7 +52,7 @@ def unit_entry(e):
 
 def form_entry(e, page):
     segments, segment, doc = get(e, "segments"), get(e, "segment"), get(e, "doc_offset")
-    pair = lambda v: isinstance(v, list) and len(v) >= 2
+    pair = lambda v: isinstance(v, list) and len(v) == 2
     if isinstance(segments, list) and segments and pair(segments[0]):
         rng = segments[0][:2]
     elif pair(segment):
@@ -71,7 +71,7 @@ def token_links(text):
     v = parse(text) if text is not None else None
     tokens, blocks = [], []
     if isinstance(v, dict) and get(v, "ocr_boxes") is not None:
-        ok = [b for b in items(v["ocr_boxes"]) if isinstance(b.get("text"), str) and b["text"].strip() and isinstance(b.get("points"), list) and len(b["points"]) >= 4]
+        ok = [b for b in items(v["ocr_boxes"]) if isinstance(b.get("text"), (str, int, float)) and not isinstance(b["text"], bool) and str(b["text"]).strip() and isinstance(b.get("points"), list) and len(b["points"]) >= 4]
         return [(k, 0, k) for k in range(len(ok))]
     if isinstance(v, list) or (isinstance(v, dict) and (get(v, "tokens") is not None or get(v, "blocks") is not None)):
         for unit in items(v) if isinstance(v, list) else [v]:

@@ -40,7 +40,7 @@ form_entry = st.fixed_dictionaries({"bbox": box}, optional={"text": word, "segme
 entries = lambda e: st.one_of(st.none(), st.lists(st.one_of(e, extra), max_size=4))
 unit = st.fixed_dictionaries({}, optional={"pages": entries(extra), "tokens": entries(unit_entry), "blocks": entries(unit_entry)})
 form = st.fixed_dictionaries({"pages": st.lists(st.one_of(extra, st.fixed_dictionaries({}, optional={"page_id": number, "page_num": number, "tokens": entries(form_entry), "lines": entries(form_entry), "paragraphs": entries(form_entry)})), max_size=3)})
-boxes = st.fixed_dictionaries({"ocr_boxes": entries(st.fixed_dictionaries({}, optional={"text": st.one_of(word, st.none()), "points": st.one_of(st.none(), st.lists(st.lists(st.integers(0, 9), min_size=2, max_size=2), max_size=6))}))})
+boxes = st.fixed_dictionaries({"ocr_boxes": entries(st.fixed_dictionaries({}, optional={"text": st.one_of(word, st.none(), st.integers(0, 9), st.booleans()), "points": st.one_of(st.none(), st.lists(st.lists(st.integers(0, 9), min_size=2, max_size=2), max_size=6))}))})
 payload = st.one_of(unit, st.lists(unit, max_size=3), form, boxes, extra)
 
 
