@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folia.llm import words as W
@@ -72,10 +72,11 @@ class SplitOverlap:
         sets = _grams(self.texts.join(flags, "id").select("id", "evals", "trains", "text"), self.width)
         train = sets.where("trains").select("gram", F.col("id").alias("b"))
         often = train.groupBy("gram").agg(F.count("*").alias("often"))
-        rare = sets.where("evals").select("id", "n", "gram").join(often, "gram", "left").select("id", "n", F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram").alias("g"))
+        rare = sets.where("evals").select(F.col("id").alias("a"), "n", "gram").join(often, "gram", "left").withColumn("often", F.coalesce("often", F.lit(0)))
+        # a dense rank, so that rows repeated with the same id take no place
+        rank = F.dense_rank().over(Window.partitionBy("a").orderBy("often", "gram"))
         take = F.col("n") - F.ceil(F.col("n") * F.lit(self.threshold) - F.lit(1e-9)) + 1
-        few = rare.groupBy(F.col("id").alias("a"), "n").agg(F.sort_array(F.collect_set("g")).alias("gs")).select("a", F.explode(F.slice("gs", F.lit(1), take.cast("int"))).alias("g"))
-        asked = few.where("g.often > 0").select("a", F.col("g.gram").alias("gram"))
+        asked = rare.withColumn("rank", rank).where((F.col("rank") <= take) & (F.col("often") > 0)).select("a", "gram").distinct()
         hits = asked.join(train, "gram").where("a <> b").select("a", "b").distinct()
         found = compare(hits, self.texts, self.width).where(F.col("common") >= F.col("n_a") * F.lit(self.threshold) - 1e-9).select("a", "b").distinct()
         return found.union(flags.where("evals and trains").select(F.col("id").alias("a"), F.col("id").alias("b")))
