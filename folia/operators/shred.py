@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ast
 import json
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -522,11 +523,13 @@ def _plain(value: object) -> object:
 
 def _readable(text: str) -> str | None:
     """An odd payload as JSON, None if it is neither JSON nor a Python literal."""
-    for read in (json.loads, lambda t: ast.literal_eval(t.strip())):
-        try:
-            return json.dumps(_plain(read(text)), ensure_ascii=False)
-        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
-            continue
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", SyntaxWarning)
+        for read in (json.loads, lambda t: ast.literal_eval(t.strip())):
+            try:
+                return json.dumps(_plain(read(text)), ensure_ascii=False)
+            except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+                continue
     return None
 
 

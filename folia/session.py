@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -67,7 +68,11 @@ def ship_package(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parent
     if root.is_dir():  # not itself read from a zip file
-        folder = Path(tempfile.mkdtemp(prefix="folia-package-"))  # on the driver, which serves it
+        shared = urlparse(spark.conf.get("spark.checkpoint.dir", None) or "")
+        base = Path(shared.path) / "packages" if shared.path and shared.scheme in ("", "file") else None
+        if base is not None:
+            base.mkdir(parents=True, exist_ok=True)
+        folder = Path(tempfile.mkdtemp(prefix="folia-", dir=base))  # the driver reads it from there and serves it
         with zipfile.ZipFile(folder / "folia.zip", "w", zipfile.ZIP_DEFLATED) as file:
             for path in sorted(root.rglob("*.py")):
                 file.write(path, path.relative_to(root.parent))
