@@ -6,17 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folia.llm import words as W
-from folia.llm.columns import chunks, code_points, mix64, string_array
+from folia.llm.columns import code_points, mix64, raw_bytes, string_array
+from folia.llm.filters import filter_of, passing
 from folia.session import cut_lineage, map_arrow
 
 #: Small hash collections, and MinHash values in each. A table key joins two collections, so 16 * 2 hashes
 #: give 120 tables of 4 values: plain banding would need 480 hashes. At similarity 0.6 a pair is found
 #: with probability 0.992, at 0.7 with 0.9997, at 0.8 with 0.999998.
 COLLECTIONS, EACH = 16, 2
+#: Rows of a table key that are paired with as many others in one task.
+RUN = 1024
 
 
 def recall(similarity: float, collections: int = COLLECTIONS, each: int = EACH) -> float:
@@ -49,18 +52,34 @@ def signatures(docs: DataFrame, width: int, collections: int, each: int) -> Data
     return map_arrow(docs, run, "id bigint, part string, c1 bigint, c2 bigint, n bigint, groups array<bigint>")
 
 
+def both_chunks(left: pa.Array, right: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``limit`` bytes of text on both sides together; a larger pair is a range of its own."""
+    ends = raw_bytes(left)[1] + raw_bytes(right)[1]
+    lo, n = 0, len(left)
+    while lo < n:
+        hi = min(n, max(lo + 1, int(np.searchsorted(ends, ends[lo] + limit, "right")) - 1))
+        yield lo, hi
+        lo = hi
+
+
 def compare(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """pairs (a, b) with texts (id, text) -> (a, b, common, n_a, n_b), counted over distinct shingles of the whole texts."""
+    """pairs (a, b) with texts (id, text) -> (a, b, common, n_a, n_b), counted over distinct shingles of the whole texts.
+
+    Only texts that a pair names are moved: the scan drops the others by a filter of the ids.
+    """
+    pairs = cut_lineage(pairs)
+    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    some = passing(texts, "id", filter_of(named, 2 * pairs.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = (string_array(batch.column(k)) for k in (2, 3))
-            for lo, hi in chunks(left, 1 << 18):
+            for lo, hi in both_chunks(left, right):
                 a, b = (W.distinct_shingles(*code_points(x.slice(lo, hi - lo))[:2], width) for x in (left, right))
                 columns = [W.common_counts(a, b), np.diff(a[1]), np.diff(b[1])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *map(pa.array, columns)], ["a", "b", "common", "n_a", "n_b"])
 
-    sides = [texts.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab"]
+    sides = [some.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")
     return map_arrow(both, run, "a bigint, b bigint, common bigint, n_a bigint, n_b bigint")
 
@@ -78,20 +97,37 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, threshold: float, width: int, collections: int = COLLECTIONS, each: int = EACH) -> None:
         docs = docs.where("id is not null and part is not null and text is not null")
+        docs = docs.select(F.col("id").cast("bigint").alias("id"), "part", "text")
         self.texts = docs.select("id", "text")
         self.members = cut_lineage(signatures(docs, width, collections, each))
         self.classes = self.members.groupBy("part", "c1", "c2", "n").agg(F.min("id").alias("rep"), F.first("groups").alias("groups"))
         self.threshold, self.width, self.collections = threshold, width, collections
 
     def candidates(self) -> DataFrame:
-        """(a, b), a < b: classes that share a table key."""
+        """(a, b), a < b: classes that share a table key.
+
+        The rows of a key are sorted once; rows alone with their key, which most are, end there. The others are cut into
+        runs of ``RUN`` rows, and each pair of runs is a key of its own for pairing: what a hot key has is spread over
+        as many tasks as it has pairs of runs, and no task pairs more than two runs.
+        """
         first = [i for i in range(self.collections) for _ in range(i + 1, self.collections)]
         other = [j for i in range(self.collections) for j in range(i + 1, self.collections)]
         at = lambda places, t: F.element_at(F.array(*map(F.lit, places)), t)
-        key = lambda t: F.xxhash64("part", t, F.element_at("groups", at(first, t) + 1), F.element_at("groups", at(other, t) + 1))
+        # the table's number above 41 bits of hash: zero bytes above them cost nothing in a shuffle
+        key = lambda t: F.shiftleft(t.cast("bigint"), 41).bitwiseOR(F.shiftrightunsigned(F.xxhash64("part", F.element_at("groups", at(first, t) + 1), F.element_at("groups", at(other, t) + 1)), 23))
         tables = self.classes.select("rep", F.explode(F.transform(F.sequence(F.lit(1), F.lit(len(first))), key)).alias("key"))
-        left, right = tables.select("key", F.col("rep").alias("a")), tables.select("key", F.col("rep").alias("b"))
-        return left.join(right, "key").where("a < b").select("a", "b").distinct()
+        by = Window.partitionBy("key").orderBy("rep")
+        rows = tables.select("key", "rep", F.row_number().over(by).alias("no"), F.lead("rep").over(by).alias("next"))
+        rows = rows.where("no > 1 or next is not null")
+        runs = rows.select("key", "rep", F.floor((F.col("no") - 1) / RUN).cast("int").alias("run"))
+        several = runs.groupBy("key").agg(F.max("run").alias("last")).where("last > 0")
+        runs = cut_lineage(runs)
+        blocks = runs.join(several, "key", "left").select("key", "rep", "run", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("to"))
+        blocks = blocks.select("key", "rep", "run", F.least("run", "to").alias("lo"), F.greatest("run", "to").alias("hi"))
+        left = blocks.where("run = lo").select("key", "lo", "hi", F.col("rep").alias("x"))
+        right = blocks.where("run = hi").select("key", "lo", "hi", F.col("rep").alias("y"))
+        # within a key rows are sorted by representative, so a lower run has lower ones
+        return left.join(right, ["key", "lo", "hi"]).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
     def links(self) -> DataFrame:
         """(a, b), a < b: verified pairs of class representatives (the least id of each class)."""
@@ -129,7 +165,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """links (a, b) -> (node, root): the least node of each connected component.
 
     Alternating large and small stars: each round replaces links by links to the least neighbour; the number
-    of rounds grows with the logarithm of the size. Only counts come to the driver.
+    of rounds grows with the logarithm of the size. Only counts come to the driver. After ``most_rounds``, far
+    beyond what any real size takes, the query fails; it never gives unsettled groups.
     """
     edges = cut_lineage(links.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo <> hi").distinct())
     seen = None

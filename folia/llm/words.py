@@ -71,7 +71,8 @@ def distinct_shingles(points: np.ndarray, offs: np.ndarray, width: int) -> tuple
     """(hash, offsets by text) of the distinct shingles of each text, sorted within it."""
     words, rows = word_hashes(points, offs, "word")
     hashes, text = shingles(words, rows, width)
-    order = np.lexsort((hashes, text))
+    order = np.argsort(hashes)
+    order = order[by_group(text[order], len(offs))]
     hashes, text = hashes[order], text[order]
     new = np.ones(len(hashes), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
@@ -79,6 +80,32 @@ def distinct_shingles(points: np.ndarray, offs: np.ndarray, width: int) -> tuple
     return hashes, np.searchsorted(text, np.arange(len(offs)))
 
 
+def by_group(group: np.ndarray, n: int) -> np.ndarray:
+    """A stable order by numbers below n; of 16 bits they are sorted by radix."""
+    return np.argsort(group.astype(np.uint16) if n <= 1 << 16 else group, kind="stable")
+
+
+def first_of_class(c1: np.ndarray, c2: np.ndarray, seen: set, most: int = 500_000) -> np.ndarray:
+    """Places of sets, by their digests, that ``seen`` lacks, each once; it then has them. It is emptied when full: later
+    copies then come again, which costs work and changes nothing."""
+    if len(seen) > most:
+        seen.clear()
+    out = []
+    for k, key in enumerate(zip(c1.tolist(), c2.tolist(), strict=True)):
+        if key not in seen:
+            seen.add(key)
+            out.append(k)
+    return np.array(out, np.int64)
+
+
+def take_sets(hashes: np.ndarray, offs: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place in ``keep``) of the sets at these places."""
+    n = offs[keep + 1] - offs[keep]
+    ends = np.cumsum(n)
+    at = np.repeat(offs[keep] - (ends - n), n) + np.arange(int(ends[-1]) if len(n) else 0)
+    return hashes[at], np.repeat(np.arange(len(keep)), n)
+
+
 def set_digests(hashes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit digests of each set: equal sets have equal ones."""
     out = []
