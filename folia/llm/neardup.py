@@ -119,9 +119,8 @@ class NearDuplicates:
         by = Window.partitionBy("key").orderBy("rep")
         rows = tables.select("key", "rep", F.row_number().over(by).alias("no"), F.lead("rep").over(by).alias("next"))
         rows = rows.where("no > 1 or next is not null")
-        runs = rows.select("key", "rep", F.floor((F.col("no") - 1) / RUN).cast("int").alias("run"))
+        runs = cut_lineage(rows.select("key", "rep", F.floor((F.col("no") - 1) / RUN).cast("int").alias("run")))
         several = runs.groupBy("key").agg(F.max("run").alias("last")).where("last > 0")
-        runs = cut_lineage(runs)
         blocks = runs.join(several, "key", "left").select("key", "rep", "run", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("to"))
         blocks = blocks.select("key", "rep", "run", F.least("run", "to").alias("lo"), F.greatest("run", "to").alias("hi"))
         left = blocks.where("run = lo").select("key", "lo", "hi", F.col("rep").alias("x"))
