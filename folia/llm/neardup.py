@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folia.llm import words as W
@@ -84,6 +84,27 @@ def compare(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return map_arrow(both, run, "a bigint, b bigint, common bigint, n_a bigint, n_b bigint")
 
 
+def _number_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (key, rep) -> (key, rep, run) without rows that are alone with their key. One row is carried from batch to batch."""
+    key, rep, no = (np.zeros(0, np.int64) for _ in range(3))
+    names = ["key", "rep", "run"]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, rep = (np.append(x, batch.column(k).to_numpy(zero_copy_only=False)) for k, x in enumerate((key, rep)))
+        place = np.arange(len(key))
+        begins = np.ones(len(key), bool)
+        begins[1:] = key[1:] != key[:-1]
+        before = no[0] if len(no) else 0
+        no = place - np.maximum.accumulate(np.where(begins, place, 0))
+        no[np.cumsum(begins) == 1] += before
+        out = np.flatnonzero((no[:-1] > 0) | ~begins[1:])
+        yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(rep[out]), pa.array((no[out] // RUN).astype(np.int32))], names)
+        key, rep, no = key[-1:], rep[-1:], no[-1:]
+    if len(no) and no[0] > 0:
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rep), pa.array((no // RUN).astype(np.int32))], names)
+
+
 class NearDuplicates:
     """Records of one part (data set) whose shingle sets have at least a Jaccard similarity of ``threshold``.
 
@@ -116,10 +137,7 @@ class NearDuplicates:
         # the table's number above 41 bits of hash: zero bytes above them cost nothing in a shuffle
         key = lambda t: F.shiftleft(t.cast("bigint"), 41).bitwiseOR(F.shiftrightunsigned(F.xxhash64("part", F.element_at("groups", at(first, t) + 1), F.element_at("groups", at(other, t) + 1)), 23))
         tables = self.classes.select("rep", F.explode(F.transform(F.sequence(F.lit(1), F.lit(len(first))), key)).alias("key"))
-        by = Window.partitionBy("key").orderBy("rep")
-        rows = tables.select("key", "rep", F.row_number().over(by).alias("no"), F.lead("rep").over(by).alias("next"))
-        rows = rows.where("no > 1 or next is not null")
-        runs = cut_lineage(rows.select("key", "rep", F.floor((F.col("no") - 1) / RUN).cast("int").alias("run")))
+        runs = cut_lineage(map_arrow(tables.select("key", "rep").repartition("key").sortWithinPartitions("key", "rep"), _number_runs, "key bigint, rep bigint, run int"))
         several = runs.groupBy("key").agg(F.max("run").alias("last")).where("last > 0")
         blocks = runs.join(several, "key", "left").select("key", "rep", "run", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("to"))
         blocks = blocks.select("key", "rep", "run", F.least("run", "to").alias("lo"), F.greatest("run", "to").alias("hi"))
