@@ -67,6 +67,12 @@ def strings(points: np.ndarray, offs: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(offs) - 1, pa.py_buffer(offs.astype(np.int32).tobytes()), pa.py_buffer(data))
 
 
+def characters() -> Iterator[int]:
+    """Code points that may be characters with properties of their own: all but the planes that are empty or for private use."""
+    yield from range(0x40000)
+    yield from range(0xE0000, 0xF0000)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers (the splitmix64 finisher)."""
     x = x.astype(np.uint64, copy=True)
@@ -93,9 +99,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[start:end] for all spans at once, by prefix sums of a polynomial."""
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 1) -> np.ndarray:
+    """64-bit hashes of values[start:end] for all spans at once, by prefix sums of a polynomial; another ``salt`` gives other hashes."""
     up, down = _powers(len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(mix64(values + np.uint64(1)) * up[:-1], out=sums[1:])
+    np.cumsum(mix64(values + np.uint64(salt)) * up[:-1], out=sums[1:])
     return mix64((sums[ends] - sums[starts]) * down[starts])

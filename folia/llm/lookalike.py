@@ -7,7 +7,6 @@ like a Latin one. Everything else stays: other letters, case, punctuation, the n
 
 from __future__ import annotations
 
-import hashlib
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -19,14 +18,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm.columns import chunks, code_points, string_array, strings
-from folia.session import map_arrow
+from folia.llm.columns import characters, chunks, code_points, span_hashes, string_array, strings
+from folia.llm.filters import filter_of, passing
+from folia.session import cut_lineage, map_arrow
 
-# Letters drawn like a Latin one, each above the Latin letter.
-CYRILLIC = "АВЕЅІЈКМНОРСТХҮԌԚԜаеѕіјорсухһԁԛԝӏ"
-CYR_LATIN = "ABESIJKMHOPCTXYGQWaesijopcyxhdqwl"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳͿαιοϲνρυ"
-GRE_LATIN = "ABEZHIKMNOPTYXCjJaiocvpu"
+# Letters of one case drawn like a Latin letter of that case, each above the Latin letter. Those that are only near to one
+# (У and Y, г and r, Ь and b, ѡ and w, ҽ and e; γ and y, σ and o, η and n, ω and w) are other letters to a reader and stay.
+CYRILLIC = "АВЕЅІӀЈКМНОРСТѴХҮԌԚԜаеһіӏјорԛѕсѵԝхуүԁ"
+CYR_LATIN = "ABESIIJKMHOPCTVXYGQWaehiljopqscvwxyyd"
+GREEK = "ΑΒϹΕϜΗΙͿΚΜϺΝΟΡΤΧΥΖαϲιϳονρυ"
+GRE_LATIN = "ABCEFHIJKMMNOPTXYZacijovpu"
 # Blanks that differ from U+0020 in not breaking the line only.
 NO_BREAK = [0xA0, 0x2007, 0x202F]
 # Forms of compatibility decompositions that leave the looks, but for width, joining or design.
@@ -51,6 +52,7 @@ class Tables:
     pairs: np.ndarray  # sorted letter << 21 | mark
     composed: np.ndarray
     busy: np.ndarray  # code point -> whether it changes or can join
+    blank: np.ndarray  # code point -> whether it shows as blank
 
 
 _TABLES: list[Tables] = []
@@ -73,14 +75,16 @@ def tables() -> Tables:
         return _TABLES[0]
     top = sys.maxunicode + 1
     like = dict(zip(CYRILLIC + GREEK, CYR_LATIN + GRE_LATIN, strict=True))
+    blank = np.zeros(top, bool)
     size, first = np.ones(top, np.int8), np.arange(top, dtype=np.uint32)
     mark, second = np.zeros(top, np.uint8), np.zeros(top, bool)
     longer: list[int] = []
     pairs: dict[int, int] = {}
     seen = dict(like)
-    for cp in range(top):
+    for cp in characters():
         ch = chr(cp)
         kind = unicodedata.category(ch)
+        blank[cp] = ch.isspace()
         if kind == "Mn" or kind == "Mc" or kind == "Me":
             mark[cp] = unicodedata.combining(ch)
         if (kind == "Cf" and cp not in SHOWN_FORMATS) or (kind == "Cc" and cp not in BREAKS):
@@ -109,7 +113,7 @@ def tables() -> Tables:
     keys = np.fromiter(pairs, np.int64, len(pairs))
     order = np.argsort(keys)
     busy = (size != 1) | (first != np.arange(top)) | (mark > 0) | second
-    _TABLES.append(Tables(size, first, np.array(longer, np.uint32), mark, second, keys[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order], busy))
+    _TABLES.append(Tables(size, first, np.array(longer, np.uint32), mark, second, keys[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order], busy, blank))
     return _TABLES[0]
 
 
@@ -237,41 +241,70 @@ def consistent_form(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return map_arrow(docs.select(id_col, text_col), run, f"id {kind}, form string").toDF(id_col, text_col)
 
 
-def form_digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, form, exact): 128-bit digests of each text's consistent form and of the text itself; texts of
-    nothing but blanks, or of characters that show nothing, are left out."""
+def _two_hashes(points: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+    """128 bits for each text, from its code points."""
+    return [span_hashes(points.astype(np.uint64), offs[:-1], offs[1:], salt).view(np.int64) for salt in (1, 0x2545F4914F6CDD1D)]
+
+
+def form_digests(docs: DataFrame, with_form: bool = False) -> DataFrame:
+    """docs (id, text) -> (id, f1, f2, e1, e2): 128-bit digests of each text's consistent form and of the text itself, hashed as code
+    points, and the form if it is asked for; texts of nothing but blanks, or of characters that show nothing, are left out."""
+    names = ["id", "f1", "f2", "e1", "e2", "shown"][: 5 + with_form]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = lambda data: hashlib.blake2b(data, digest_size=16).digest()
         for batch in batches:
             texts = string_array(batch.column(1))
             for lo, hi in chunks(texts):
-                part = texts.slice(lo, hi - lo)
-                points, offs, _ = code_points(part)
-                forms = strings(*consistent(points, offs)).to_pylist()
-                keep = np.flatnonzero([bool(f) and not f.isspace() for f in forms])
-                exact = part.to_pylist()
-                ids = batch.column(0).slice(lo, hi - lo).take(pa.array(keep))
-                columns = [pa.array([digest(x[k].encode("utf-8")) for k in keep], pa.binary()) for x in (forms, exact)]
-                yield pa.RecordBatch.from_arrays([ids, *columns], ["id", "form", "exact"])
+                points, offs, _ = code_points(texts.slice(lo, hi - lo))
+                form, ends = consistent(points, offs)
+                visible = np.zeros(len(form) + 1, np.int64)
+                np.cumsum(~tables().blank[form], out=visible[1:])
+                keep = pa.array(np.flatnonzero(visible[ends[1:]] > visible[ends[:-1]]))
+                exact = _two_hashes(points, offs)
+                columns = [pa.array(x) for x in (*(exact if form is points else _two_hashes(form, ends)), *exact)]
+                columns = [batch.column(0).slice(lo, hi - lo), *columns, *([strings(form, ends)] if with_form else [])]
+                yield pa.RecordBatch.from_arrays([c.take(keep) for c in columns], names)
+
+    return map_arrow(docs, run, "id bigint, f1 bigint, f2 bigint, e1 bigint, e2 bigint" + (", shown string" if with_form else ""))
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(docs.select(id_col, text_col), run, f"id {kind}, form binary, exact binary")
 
+class Lookalikes:
+    """Documents whose texts differ but have the same consistent form.
 
-def lookalikes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_a, doc_b), doc_a < doc_b: documents whose texts differ but have the same consistent form.
+    The corpus is scanned once for digests, which are written. Equal texts are one class; only forms with two classes
+    or more go on, and the forms of a text of each of those classes are compared as such, so that no pair rests on a hash of
+    forms. A text that a third of all rows share is one class and is never compared with itself. Texts that
+    differ are told apart by 128 bits.
 
-    Equal texts are one class; only forms with two classes or more go on, classes of one form are paired, and
-    members are joined last, so a text that a third of all rows share is never compared with itself. Null
-    ids and null, empty or blank texts give no pair; rows that repeat with id and text count once.
+    Null ids and null, empty or blank texts are in no class; rows that repeat with id and text count once; an
+    empty table gives empty results; other columns are ignored, whatever their names.
     """
-    rows = form_digests(docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()), id_col, text_col)
-    classes = rows.select("form", "exact").distinct()
-    several = classes.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
-    members = rows.join(several, "form", "left_semi").distinct()
-    kinds = members.select("form", "exact").distinct()
-    pairs = kinds.alias("a").join(kinds.alias("b"), (F.col("a.form") == F.col("b.form")) & (F.col("a.exact") < F.col("b.exact"))).select("a.form", F.col("a.exact").alias("left"), F.col("b.exact").alias("right"))
-    sides = [members.select(F.col("form"), F.col("exact").alias(side), F.col("id").alias(f"{side}_id")) for side in ("left", "right")]
-    both = pairs.join(sides[0], ["form", "left"]).join(sides[1], ["form", "right"]).where("left_id <> right_id")
-    return both.select(F.least("left_id", "right_id").alias("doc_a"), F.greatest("left_id", "right_id").alias("doc_b")).distinct()
+
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
+        docs = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+        form, exact = F.struct("f1", "f2").alias("form"), F.struct("e1", "e2").alias("exact")
+        rows = cut_lineage(form_digests(docs)).select("id", form, exact)
+        several = rows.groupBy("form").agg(F.min("exact").alias("least"), F.max("exact").alias("most")).where("least <> most").select("form")
+        classes = cut_lineage(rows.join(several, "form", "left_semi").groupBy("form", "exact").agg(F.min("id").alias("class_id")))
+        some = passing(docs, "id", filter_of(classes.select("class_id"), classes.count()))
+        shown = form_digests(some, with_form=True).select(F.col("id").alias("class_id"), form, exact, "shown").distinct()
+        each = classes.join(shown, ["class_id", "form", "exact"])
+        same = each.groupBy("form", "shown").agg(F.min("class_id").alias("form_id"))
+        self.classes = cut_lineage(each.join(same, ["form", "shown"]).select("form", "form_id", "exact", "class_id"))
+        self.members = rows.join(self.classes, ["form", "exact"]).distinct()
+
+    def pairs(self) -> DataFrame:
+        """(doc_a, doc_b), doc_a < doc_b: every two documents of one form whose texts differ."""
+        sides = [self.classes.select("form", "form_id", F.col("exact").alias(side)) for side in "ab"]
+        both = sides[0].join(sides[1], ["form", "form_id"]).where("a < b").select("form", "a", "b")
+        for side in "ab":
+            both = both.join(self.members.select("form", F.col("exact").alias(side), F.col("id").alias(f"id_{side}")), ["form", side])
+        return both.where("id_a <> id_b").select(F.least("id_a", "id_b").alias("doc_a"), F.greatest("id_a", "id_b").alias("doc_b")).distinct()
+
+    def groups(self) -> DataFrame:
+        """One row for each document that has a partner: (doc_id, form_id, class_id, n_links): the least document of its form and
+        of those with the very same text, and how many documents it looks like without being equal. No pairs are made."""
+        by_class = self.members.groupBy("form", "form_id", "exact").agg(F.count_distinct("id").alias("own"))
+        by_form = by_class.groupBy("form", "form_id").agg(F.sum("own").alias("all"))
+        size = by_class.join(by_form, ["form", "form_id"]).select("form", "exact", (F.col("all") - F.col("own")).alias("n_links"))
+        return self.members.join(size, ["form", "exact"]).select(F.col("id").alias("doc_id"), "form_id", "class_id", "n_links")

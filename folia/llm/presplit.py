@@ -12,6 +12,8 @@ import unicodedata
 
 import numpy as np
 
+from folia.llm.columns import characters
+
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
 # What the pattern's \s matches, and the short endings that are pieces of their own.
@@ -26,7 +28,7 @@ def char_classes() -> np.ndarray:
     if not _CLASSES:
         table = np.zeros(sys.maxunicode + 1, np.uint8)
         kinds = {"L": LETTER, "N": NUMBER}
-        for cp in range(sys.maxunicode + 1):
+        for cp in characters():
             kind = kinds.get(unicodedata.category(chr(cp))[0])
             if kind:
                 table[cp] = kind

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from folia.llm.columns import mix64, span_hashes
+from folia.llm.columns import characters, chunks, code_points, mix64, span_hashes, string_array
 
 # Blanks, tabs and line breaks that separate words.
 SEPARATORS = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]
@@ -23,7 +23,7 @@ def _table(name: str) -> np.ndarray:
         top = sys.maxunicode + 1
         lower = np.arange(top, dtype=np.uint32)
         alnum = np.zeros(top, bool)
-        for cp in range(top):
+        for cp in characters():
             ch = chr(cp)
             if unicodedata.category(ch)[0] in "LN":
                 alnum[cp] = True
@@ -134,8 +134,6 @@ def as_lists(values: np.ndarray, offs: np.ndarray) -> pa.Array:
 
 def slices(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of the batches with the code points and row offsets of their text column."""
-    from folia.llm.columns import chunks, code_points, string_array
-
     for batch in batches:
         texts = string_array(batch.column(text_at))
         for lo, hi in chunks(texts):

@@ -30,6 +30,14 @@ def test_every_character():
     assert many(rows) == [plain(t) for t in rows]
 
 
+def test_every_cyrillic_and_greek_letter():
+    """The letters that become a Latin one are those listed, and none that only comes near."""
+    letters = [chr(c) for lo, hi in ((0x370, 0x400), (0x400, 0x530)) for c in range(lo, hi) if unicodedata.category(chr(c))[0] == "L" and (chr(c) in LIKE or not unicodedata.decomposition(chr(c)))]
+    latin = {x: f for x, f in zip(letters, many(letters), strict=True) if f.isascii()}
+    assert latin == LIKE and all(x.isupper() == y.isupper() or x == "ӏ" for x, y in LIKE.items())
+    assert not set("УгЬѡҽҺγσηωкмнтвΓΔΛΠΣΦΨΩ") & set(latin)
+
+
 marks = st.sampled_from([chr(c) for c in range(0x300, 0x370)] + ["゙", "़", "ְ", "ֱ"])
 busy = st.sampled_from([chr(c) for c in range(0x30000) if T.busy[c]])
 hangul = st.sampled_from([chr(c) for c in (0x1100, 0x1112, 0x1161, 0x1175, 0x11A8, 0x11C2, 0xAC00, 0xAC01, 0xD7A3)])
@@ -60,17 +68,19 @@ def frame(spark, rows):
 def test_pairs(spark):
     rows = [(1, "Total"), (2, "Tоtal"), (3, "Total"), (4, "Ｔotal"), (5, "total"), (6, None), (7, ""), (8, "​"), (9, " "), (10, " "), (11, "x"), (11, "x"), (None, "Total​"), (12, "​​")]
     docs = frame(spark, [(k, t, "z", 0) for k, t in rows])
-    pairs = lookalike.lookalikes(docs).collect()
+    pairs = lookalike.Lookalikes(docs).pairs().collect()
     assert len(pairs) == len(set(pairs)) and set(map(tuple, pairs)) == {(1, 2), (1, 4), (2, 3), (2, 4), (3, 4)}
     texts = {r.doc_id: r.text for r in lookalike.consistent_form(docs.where("doc_id is not null")).collect()}
     assert texts[2] == "Total" and texts[6] is None and texts[7] == "" and texts[8] == ""
-    assert lookalike.lookalikes(docs.limit(0)).count() == 0 and lookalike.consistent_form(docs.limit(0)).count() == 0
+    assert lookalike.Lookalikes(docs.limit(0)).pairs().count() == 0 and lookalike.Lookalikes(docs.limit(0)).groups().count() == 0 and lookalike.consistent_form(docs.limit(0)).count() == 0
 
 
 def test_hot_form(spark):
     """Many copies of one text and one text like it: pairs are those of the one."""
     docs = frame(spark, [(k, "Total due", "", 0) for k in range(3000)] + [(9999, "Total due", "", 0)])
-    assert lookalike.lookalikes(docs).count() == 3000
+    assert lookalike.Lookalikes(docs).pairs().count() == 3000
+    groups = {r.doc_id: (r.form_id, r.class_id, r.n_links) for r in lookalike.Lookalikes(docs).groups().collect()}
+    assert len(groups) == 3001 and groups[5] == (0, 0, 1) and groups[9999] == (0, 9999, 3000)
 
 
 def test_whole_table(spark, data):
@@ -80,7 +90,12 @@ def test_whole_table(spark, data):
         if t.strip() and plain(t).strip():
             forms.setdefault(plain(t), []).append((k, t))
     want = {(min(a, b), max(a, b)) for group in forms.values() for a, x in group for b, y in group if x != y}
-    assert {tuple(r) for r in lookalike.lookalikes(spark.read.parquet(f"{data}/documents.parquet")).collect()} == want
+    assert {tuple(r) for r in lookalike.Lookalikes(spark.read.parquet(f"{data}/documents.parquet")).pairs().collect()} == want
+    links = dict.fromkeys((k for p in want for k in p), 0)
+    for p in want:
+        for k in p:
+            links[k] += 1
+    assert {r.doc_id: r.n_links for r in lookalike.Lookalikes(spark.read.parquet(f"{data}/documents.parquet")).groups().collect()} == links
 
 
 def test_very_long_text(spark):
