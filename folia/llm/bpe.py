@@ -13,8 +13,9 @@ from dataclasses import dataclass, field
 import numpy as np
 
 NONE = np.int64(-1)
-#: Pieces of more bytes are merged one by one in O(n log n), as padding to their length would cost more.
-LONG = 48
+NEVER = np.int64(1) << 40
+#: Bytes that greedy tokens are proposed for at a time; a longer piece is proposed in parts of so many, side by side.
+PART = 64
 
 
 def _byte_letters() -> dict[str, int]:
@@ -37,11 +38,13 @@ class Vocabulary:
     edges: np.ndarray = field(init=False)  # sorted node << 8 | byte of the tree of all symbols
     child: np.ndarray = field(init=False)
     accepts: np.ndarray = field(init=False)  # node -> symbol or -1
+    lengths: np.ndarray = field(init=False)  # symbol -> bytes
 
     def __post_init__(self) -> None:
         keys = self.left.astype(np.int64) << 32 | self.right
         order = np.argsort(keys, kind="stable")
         self.keys, self.made = keys[order], order.astype(np.int64) + 256
+        self.lengths = np.array([len(t) for t in self.texts], np.int64)
         nodes: dict[tuple[int, int], int] = {}
         accepts = [-1]
         for symbol, text in enumerate(self.texts):
@@ -57,6 +60,13 @@ class Vocabulary:
         order = np.argsort(edges)
         self.edges, self.child = edges[order], np.fromiter(nodes.values(), np.int64, len(nodes))[order]
         self.accepts = np.array(accepts, np.int64)
+        # symbols that exact merging never gives, not even for their own text, are never proposed
+        left, right = self.left.astype(np.int64), self.right.astype(np.int64)
+        alone = compatible(self, left, right, np.arange(len(left)) + 256)
+        whole = np.append(np.ones(256, bool), alone)
+        while not np.array_equal(whole[256:], now := alone & whole[left] & whole[right]):
+            whole[256:] = now
+        self.accepts[(self.accepts >= 0) & ~whole[self.accepts]] = -1
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The symbol that each pair makes, -1 if none."""
@@ -99,106 +109,79 @@ def _last_merge(token: bytes, ids: dict[bytes, int]) -> tuple[bytes, bytes]:
     return parts[0], parts[1]
 
 
-def _flatten(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def flatten(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     flat = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
     offs = np.zeros(len(pieces) + 1, np.int64)
     np.cumsum([len(p) for p in pieces], out=offs[1:])
     return flat, offs
 
 
-def merge_in_step(vocab: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, offsets): all pieces merged exactly, their lowest-ranked pairs first.
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... counts[0] of them, then those of starts[1] and so on."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
 
-    The pieces lie as rows of symbols in a matrix. In each step the adjacent pairs are joined with
-    the merges, and each row applies the leftmost pair of its lowest rank, until no row has any.
+
+def merge_in_step(vocab: Vocabulary, flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, number of them for each piece): pieces of any length, laid end to end, merged exactly, all in step.
+
+    In each step the adjacent pairs are joined with the merges, and each piece applies its lowest-ranked one
+    wherever it stands, from the left. Pieces without any more are done and leave; only pairs beside a new symbol are joined anew.
     """
-    out: list[np.ndarray | None] = [None] * len(pieces)
-    size = np.array([len(p) for p in pieces], np.int64)
-    for k in np.flatnonzero(size > LONG):
-        out[k] = _merge_long(vocab, pieces[k])
-    lo = 0
-    for hi in (4, 8, 16, 32, LONG):
-        rows = np.flatnonzero((size > lo) & (size <= hi))
-        lo = hi
-        for part in np.array_split(rows, max(1, len(rows) // 20_000)):
-            if len(part):
-                _merge_matrix(vocab, [pieces[k] for k in part], part, out)
-    counts = np.array([0 if x is None else len(x) for x in out], np.int64)
-    offs = np.zeros(len(pieces) + 1, np.int64)
-    np.cumsum(counts, out=offs[1:])
-    return (np.concatenate([x for x in out if x is not None]) if counts.any() else np.zeros(0, np.int64)), offs
-
-
-def _merge_matrix(vocab: Vocabulary, pieces: list[bytes], rows: np.ndarray, out: list) -> None:
-    flat, offs = _flatten(pieces)
-    size = np.diff(offs)
-    width = int(size.max())
-    cells = np.full((len(pieces), width), -1, np.int64)
-    cells[np.arange(width)[None, :] < size[:, None]] = flat
-    never = np.int64(1) << 40
-    made = vocab.merged(cells[:, :-1], cells[:, 1:]) if width > 1 else np.full((len(pieces), 0), NONE)
-    made[made < 0] = never
-    live = np.arange(len(pieces))
-    while made.shape[1] and len(live):
-        best = made[live].argmin(axis=1)
-        value = made[live, best]
-        on = value < never
-        live, best, value = live[on], best[on], value[on]
-        if not len(live):
-            break
-        cells[live, best] = value
-        # close the gap behind the merged pair
-        for column in range(int(best.min()) + 1, width):
-            moved = live[best < column]
-            cells[moved, column] = cells[moved, column + 1] if column + 1 < width else -1
-        for column in range(int(best.min()) + 1, width - 1):
-            moved = live[best < column]
-            made[moved, column] = made[moved, column + 1] if column + 2 < width else never
-        for shift in (-1, 0):
-            at = best + shift
-            ok = (at >= 0) & (at + 1 < width)
-            r, c = live[ok], at[ok]
-            new = vocab.merged(cells[r, c], cells[r, c + 1])
-            made[r, c] = np.where(new < 0, never, new)
-    for k, row in zip(rows, cells, strict=True):
-        out[k] = row[row >= 0]
-
-
-def _merge_long(vocab: Vocabulary, piece: bytes) -> np.ndarray:
-    """One long piece, by a heap of pairs over a linked list of symbols."""
-    import heapq
-
-    pairs = {(int(k >> 32), int(k & 0xFFFFFFFF)): int(m) for k, m in zip(vocab.keys, vocab.made, strict=True)} if not hasattr(vocab, "_pairs") else vocab._pairs
-    vocab._pairs = pairs
-    symbols: list[int] = list(piece)
-    n = len(symbols)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(m, k, symbols[k], symbols[k + 1]) for k in range(n - 1) if (m := pairs.get((symbols[k], symbols[k + 1]))) is not None]
-    heapq.heapify(heap)
-    while heap:
-        made, k, a, b = heapq.heappop(heap)
-        nxt = after[k]
-        if symbols[k] != a or nxt >= n or symbols[nxt] != b:
-            continue
-        symbols[k], symbols[nxt] = made, -1
-        after[k] = after[nxt]
-        if after[k] < n:
-            before[after[k]] = k
-        for left in (before[k], k):
-            if left >= 0 and (right := after[left]) < n and (m := pairs.get((symbols[left], symbols[right]))) is not None:
-                heapq.heappush(heap, (m, left, symbols[left], symbols[right]))
-    return np.array([s for s in symbols if s >= 0], np.int64)
-
-
-def greedy(vocab: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, piece of each): the longest symbol that fits, again and again, for all pieces in step."""
-    flat, offs = _flatten(pieces)
+    n_pieces = len(counts)
+    symbols, piece = flat.astype(np.int64), np.repeat(np.arange(n_pieces), counts)
+    out_symbols, out_piece = [], []
+    inner = piece[1:] == piece[:-1] if len(piece) else np.zeros(0, bool)
+    made = np.full(len(symbols), NEVER)
+    pair = np.flatnonzero(inner)
+    new = vocab.merged(symbols[pair], symbols[pair + 1])
+    made[pair] = np.where(new < 0, NEVER, new)
+    while len(symbols):
+        head = np.ones(len(piece), bool)
+        head[1:] = piece[1:] != piece[:-1]
+        starts = np.flatnonzero(head)
+        lowest = np.minimum.reduceat(made, starts)
+        size = np.diff(np.append(starts, len(piece)))
+        if (lowest == NEVER).any():
+            done = np.repeat(lowest == NEVER, size)
+            out_symbols.append(symbols[done])
+            out_piece.append(piece[done])
+            symbols, piece, made = symbols[~done], piece[~done], made[~done]
+            size, lowest = size[lowest < NEVER], lowest[lowest < NEVER]
+            if not len(symbols):
+                break
+        hit = made == np.repeat(lowest, size)
+        # where a symbol could go with either neighbour, pairs are taken from the left: every second of a run
+        at = np.flatnonzero(hit)
+        run = np.maximum.accumulate(np.where(np.append(True, at[1:] != at[:-1] + 1), np.arange(len(at)), 0))
+        at = at[(np.arange(len(at)) - run) % 2 == 0]
+        symbols[at] = made[at]
+        keep = np.ones(len(symbols), bool)
+        keep[at + 1] = False
+        touched = np.zeros(len(symbols), bool)
+        touched[at] = True
+        symbols, piece, made, touched = symbols[keep], piece[keep], made[keep], touched[keep]
+        touched[:-1] |= touched[1:].copy()
+        pair = np.flatnonzero(touched)
+        made[pair] = NEVER
+        pair = pair[pair + 1 < len(symbols)]
+        pair = pair[piece[pair] == piece[pair + 1]]
+        new = vocab.merged(symbols[pair], symbols[pair + 1])
+        made[pair] = np.where(new < 0, NEVER, new)
+    if not out_symbols:
+        return np.zeros(0, np.int64), np.zeros(n_pieces, np.int64)
+    symbols, piece = np.concatenate(out_symbols), np.concatenate(out_piece)
+    return symbols[np.argsort(piece, kind="stable")], np.bincount(piece, minlength=n_pieces)
+
+
+def greedy(vocab: Vocabulary, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, place in flat at which each ends), in order of places: in each range the longest symbol that fits, again
+    and again, for all ranges in step."""
     flat = np.append(flat, 256)  # no edge has this
-    who = np.flatnonzero(np.diff(offs))
-    at, end = offs[who], offs[who + 1]
+    at, end = starts.copy(), ends
     node, best, best_end = np.zeros_like(at), np.full_like(at, -1), at.copy()
-    whose, symbols, places = [], [], []
-    while len(who):
+    symbols, places = [], []
+    while len(at):
         byte = np.where(at < end, flat[np.minimum(at, len(flat) - 1)], 256)
         key = node << 8 | byte
         place = np.minimum(np.searchsorted(vocab.edges, key), len(vocab.edges) - 1)
@@ -210,30 +193,30 @@ def greedy(vocab: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarr
         best, best_end = np.where(hit, sym, best), np.where(hit, at, best_end)
         stop = ~go
         if stop.any():
-            whose.append(who[stop])
             symbols.append(best[stop])
             places.append(best_end[stop])
             at = np.where(stop, best_end, at)
             best = np.where(stop, NONE, best)
             keep = ~(stop & (at >= end))
-            who, at, end, node, best, best_end = (x[keep] for x in (who, at, end, node, best, best_end))
-    if not whose:
+            at, end, node, best, best_end = (x[keep] for x in (at, end, node, best, best_end))
+    if not symbols:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    w, s, p = (np.concatenate(x) for x in (whose, symbols, places))
-    order = np.argsort(p, kind="stable")  # ends are places in the one flat array, so this is the order of the text
-    return s[order], w[order]
+    symbol, place = np.concatenate(symbols), np.concatenate(places)
+    order = np.argsort(place)
+    return symbol[order], place[order]
 
 
-def compatible(vocab: Vocabulary, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def compatible(vocab: Vocabulary, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
     """Whether exact merging leaves the symbols a, b of each pair side by side.
 
     The merges that made the two are undone from the latest: if at some time the parts that touch
-    would have merged across the border before the merge that was undone last, the pair can't stay.
+    would have merged across the border before the merge that was undone last, the pair can't stay. ``limit``: merges
+    across the border count from the first only if they are earlier than these.
     """
     ok = np.ones(len(a), bool)
     live = np.arange(len(a))
     a, b = a.copy(), b.copy()
-    limit = np.full(len(a), np.int64(1) << 40)
+    limit = np.full(len(a), NEVER) if limit is None else limit.astype(np.int64)
     while len(live):
         made = vocab.merged(a, b)
         bad = (made >= 0) & (made < limit)
@@ -257,7 +240,7 @@ class Encoder:
 
     def __init__(self, vocab: Vocabulary, keep: int = 300_000) -> None:
         self.vocab, self.keep = vocab, keep
-        self.tried = self.failed = 0
+        self.tokens = self.redone = 0
         self.forget()
 
     def forget(self) -> None:
@@ -266,33 +249,62 @@ class Encoder:
         self.offs = np.zeros(1 << 14, np.int64)
         self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
 
+    def _stay(self, keys: np.ndarray) -> np.ndarray:
+        """Whether pairs of symbols stay side by side; each different pair is worked out once."""
+        new = np.setdiff1d(keys, self.pair_keys)
+        if len(new):
+            ok = compatible(self.vocab, new >> 32, new & 0xFFFFFFFF)
+            keys_all, ok_all = np.append(self.pair_keys, new), np.append(self.pair_ok, ok)
+            order = np.argsort(keys_all)
+            self.pair_keys, self.pair_ok = keys_all[order], ok_all[order]
+        return self.pair_ok[np.searchsorted(self.pair_keys, keys)]
+
     def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and offsets of new pieces: greedy tokens, every adjacent pair checked, only failing pieces merged exactly."""
-        long = np.array([len(p) > LONG for p in pieces], bool)
-        symbols, who = greedy(self.vocab, [b"" if x else p for p, x in zip(pieces, long, strict=True)])
-        good = ~long
-        pair = np.flatnonzero(who[1:] == who[:-1])
-        if len(pair):
-            keys = symbols[pair] << 32 | symbols[pair + 1]
-            new = np.setdiff1d(keys, self.pair_keys)
-            if len(new):
-                ok = compatible(self.vocab, new >> 32, new & 0xFFFFFFFF)
-                keys_all, ok_all = np.append(self.pair_keys, new), np.append(self.pair_ok, ok)
-                order = np.argsort(keys_all)
-                self.pair_keys, self.pair_ok = keys_all[order], ok_all[order]
-            good[who[pair[~self.pair_ok[np.searchsorted(self.pair_keys, keys)]]]] = False
-        self.tried += len(pieces)
-        self.failed += int((~good).sum())
-        use = good[who]
-        counts = np.bincount(who[use], minlength=len(pieces))
-        redo = np.flatnonzero(~good)
-        exact, exact_offs = merge_in_step(self.vocab, [pieces[k] for k in redo])
-        counts[redo] = np.diff(exact_offs)
-        offs = np.zeros(len(pieces) + 1, np.int64)
-        np.cumsum(counts, out=offs[1:])
-        whose = np.concatenate([who[use], np.repeat(redo, np.diff(exact_offs))])
-        order = np.argsort(whose, kind="stable")
-        return self.vocab.ids[np.concatenate([symbols[use], exact])[order]], offs
+        """Ids and offsets of new pieces of any length.
+
+        Greedy tokens are proposed for all, and every adjacent pair is checked. Tokens whose adjacent pairs all can stay
+        are what exact merging gives, so only around a pair that can't is a stretch of tokens merged exactly,
+        and its borders are checked again, with twice the tokens around what fails again, until nothing fails.
+        """
+        flat, offs = flatten(pieces)
+        parts = -(-np.diff(offs) // PART)
+        starts = np.repeat(offs[:-1], parts) + ranges(np.zeros(len(parts), np.int64), parts) * PART
+        symbols, ends = greedy(self.vocab, flat, starts, np.minimum(starts + PART, np.repeat(offs[1:], parts)))
+        border = np.zeros(len(flat) + 1, bool)
+        border[offs] = True
+        pair = np.flatnonzero(~border[ends[:-1]])
+        self.tokens += len(symbols)
+        around = 1
+        while len(pair):
+            bad = pair[~self._stay(symbols[pair] << 32 | symbols[pair + 1])]
+            if not len(bad):
+                break
+            # stretches of tokens around failing pairs, within their pieces; those that share tokens are one
+            piece = np.searchsorted(offs, ends[bad], "right") - 1
+            first, last = np.searchsorted(ends, offs[piece], "right"), np.searchsorted(ends, offs[piece + 1], "left")
+            lo, hi = np.maximum(bad + 1 - around, first), np.minimum(bad + around, last) + 1
+            new = np.append(True, lo[1:] >= np.maximum.accumulate(hi)[:-1])
+            lo, hi = lo[new], np.maximum.reduceat(hi, np.flatnonzero(new))
+            self.redone += int((hi - lo).sum())
+            begin = np.where(lo > 0, ends[lo - 1], 0)
+            size = ends[hi - 1] - begin
+            merged, counts = merge_in_step(self.vocab, flat[ranges(begin, size)], size)
+            length = self.vocab.lengths[merged]
+            inner = np.cumsum(length) - np.repeat(np.cumsum(size) - size, counts) + np.repeat(begin, counts)
+            old = np.ones(len(symbols), bool)
+            old[ranges(lo, hi - lo)] = False
+            fresh = np.append(np.zeros(int(old.sum()), bool), np.ones(len(merged), bool))
+            symbols, ends = np.append(symbols[old], merged), np.append(ends[old], inner)
+            order = np.argsort(ends)
+            symbols, ends, fresh = symbols[order], ends[order], fresh[order]
+            # what was merged exactly is right within; only the pairs at its borders are open
+            pair = np.flatnonzero((fresh[1:] != fresh[:-1]) | (np.isin(ends[:-1], begin) & fresh[1:]))
+            pair = pair[~border[ends[pair]]]
+            around *= 2
+        counts = np.diff(np.searchsorted(ends, offs, "right"))
+        ends_of = np.zeros(len(pieces) + 1, np.int64)
+        np.cumsum(counts, out=ends_of[1:])
+        return self.vocab.ids[symbols], ends_of
 
     def indices(self, pieces: list[str]) -> np.ndarray:
         """Places of the pieces in what is known; new ones are encoded first."""

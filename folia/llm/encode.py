@@ -87,8 +87,8 @@ class PieceCounter:
             if len(self.known) + len(new) > self.keep and self.known:
                 self.known = {}
                 return self.counts(pieces)
-            _, offs = bpe.merge_in_step(self.vocab, [p.encode("utf-8") for p in new])
-            self.known.update(zip(new, np.diff(offs).tolist(), strict=True))
+            flat, offs = bpe.flatten([p.encode("utf-8") for p in new])
+            self.known.update(zip(new, bpe.merge_in_step(self.vocab, flat, np.diff(offs))[1].tolist(), strict=True))
             found = list(map(self.known.__getitem__, pieces))
         return np.array(found, np.int64)
 
@@ -110,12 +110,16 @@ def count_subtokens(rows: DataFrame, text_col: str, keep: list[str], name: str,
             texts = string_array(batch.column(n_keep))
             if as_words:
                 texts = string_array(pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise("", texts, " ")))
-            for lo, hi in chunks(texts):
-                pieces, row = _pieces(texts.slice(lo, hi - lo))
+            # equal texts of a batch are cut and counted once
+            coded = texts.dictionary_encode()
+            once, parts = coded.dictionary, []
+            for lo, hi in chunks(once):
+                pieces, row = _pieces(once.slice(lo, hi - lo))
                 ends = np.zeros(len(pieces) + 1, np.int64)
                 np.cumsum(counter.counts(pieces), out=ends[1:])
-                counts = pa.array(np.diff(ends[row]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(n_keep)), counts], [*(f"k{k}" for k in range(n_keep)), "n"])
+                parts.append(np.diff(ends[row]))
+            counts = np.concatenate(parts)[coded.indices.to_numpy()] if parts else np.zeros(len(texts), np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], pa.array(counts)], [*(f"k{k}" for k in range(n_keep)), "n"])
 
     schema = ", ".join([*(f"k{k} {rows.schema[c].dataType.simpleString()}" for k, c in enumerate(keep)), "n bigint"])
     return map_arrow(rows.select(*keep, text_col), run, schema).toDF(*keep, name)

@@ -90,16 +90,62 @@ def test_pairs_and_exact_merging(vocab):
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 3000, 4000), rng.integers(0, 3000, 4000)
     ok = bpe.compatible(vocab, a, b)
-    symbols, offs = bpe.merge_in_step(vocab, [vocab.texts[x] + vocab.texts[y] for x, y in zip(a, b, strict=True)])
+    symbols, offs = merged(vocab, [vocab.texts[x] + vocab.texts[y] for x, y in zip(a, b, strict=True)])
     want = [symbols[offs[k] : offs[k + 1]].tolist() == [x, y] for k, (x, y) in enumerate(zip(a, b, strict=True))]
     assert ok.tolist() == want and 0 < sum(want) < len(want)
 
 
-def test_long_pieces_merge_alike(vocab):
-    words = [b"abcd" * 9, b"x" * 40, "žluťoučký".encode() * 3]
-    symbols, offs = bpe.merge_in_step(vocab, words)
+def merged(vocab, pieces):
+    flat, offs = bpe.flatten(pieces)
+    symbols, counts = bpe.merge_in_step(vocab, flat, np.diff(offs))
+    return symbols, np.concatenate([[0], np.cumsum(counts)])
+
+
+def one_by_one(vocab, piece):
+    """The lowest-ranked pair, the leftmost of equal ones, merged again and again."""
+    symbols = list(piece)
+    while len(symbols) > 1:
+        made = vocab.merged(np.array(symbols[:-1]), np.array(symbols[1:]))
+        made[made < 0] = bpe.NEVER
+        k = int(made.argmin())
+        if made[k] == bpe.NEVER:
+            break
+        symbols[k : k + 2] = [int(made[k])]
+    return symbols
+
+
+def test_merging_in_step(vocab):
+    words = [b"abcd" * 9, b"x" * 41, b"", "žluťoučký".encode() * 3, b"aaaa" * 100, "請求書番号".encode() * 60, b"q"]
+    symbols, offs = merged(vocab, words)
     for k, w in enumerate(words):
-        assert bpe._merge_long(vocab, w).tolist() == symbols[offs[k] : offs[k + 1]].tolist()
+        assert symbols[offs[k] : offs[k + 1]].tolist() == one_by_one(vocab, w)
+    assert merged(vocab, [])[1].tolist() == [0] and merged(vocab, [b"", b""])[1].tolist() == [0, 0, 0]
+
+
+def test_every_symbol_is_proposed_for_its_own_text(vocab):
+    """Symbols that exact merging never gives aren't in the tree; all others are their own text's encoding."""
+    proposed = set(vocab.accepts[vocab.accepts >= 0].tolist())
+    symbols, offs = merged(vocab, vocab.texts)
+    assert proposed == {k for k in range(len(vocab.texts)) if symbols[offs[k] : offs[k + 1]].tolist() == [k]}
+
+
+def test_long_pieces_are_proposed_and_checked_too(vocab, public, monkeypatch):
+    """Pieces of many parts: proposed whole, and merged exactly only around pairs that fail."""
+    rng = np.random.default_rng(8)
+    rows = ["請求書番号合計金額" * 40, "ab" * 700, "a" * 1999, "長" * 100 + "い" * 100, "".join(rng.choice(list("abcdeftinors"), 3000)), "".join(chr(c) for c in rng.integers(0x4E00, 0x9FA5, 500)), "Donaudampfschifffahrtsgesellschaft" * 30]
+    proposed = []
+    greedy = bpe.greedy
+    monkeypatch.setattr(bpe, "greedy", lambda v, flat, starts, ends: proposed.append(int((ends - starts).sum())) or greedy(v, flat, starts, ends))
+    encoder = bpe.Encoder(vocab)
+    assert ids(encoder, rows) == public(rows)
+    assert sum(proposed) == sum(len(t.encode()) for t in rows)
+    assert 0 < encoder.redone < encoder.tokens
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aabcdetionrs請求書é"), min_size=30, max_size=400), min_size=1, max_size=4))
+def test_long_pieces(vocab, public, rows):
+    assert ids(bpe.Encoder(vocab), rows) == public(rows)
 
 
 def test_chunks():
