@@ -1,9 +1,10 @@
-"""Held-out passages that stand in corpus documents: MinHash over windows of words, verified word by word."""
+"""Held-out passages that stand in corpus documents: MinHash containment search over windows of words, verified word by word."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +13,12 @@ from pyspark.sql import functions as F
 
 from folia.llm import words as W
 from folia.llm.columns import span_hashes
+from folia.llm.filters import among, filter_of
 from folia.llm.lookalike import consistent
-from folia.session import map_arrow
+from folia.session import cut_lineage, map_arrow
 
 #: Words in a run that counts as a leak, and in the shingles whose least hash stands for a window of that many.
 RUN, SHINGLE = 12, 5
-#: Item windows that are sent to every executor at most (about 120 bytes each); beyond it both sides are partitioned.
-MOST_SENT = 200_000
 
 
 @dataclass
@@ -31,9 +31,11 @@ class Chunk:
     rows: np.ndarray
     hashes: np.ndarray
 
-    def text(self, place: int, n: int) -> str:
-        """The n words from a place, with one blank between."""
-        return " ".join("".join(map(chr, self.low[self.starts[k] : self.ends[k]])) for k in range(place, place + n))
+    def texts(self, places: np.ndarray, n: int) -> pa.Array:
+        """The n words from each place, with one blank between."""
+        whole = self.low.astype("<u4", copy=False).tobytes().decode("utf-32-le", "replace")
+        starts, ends = self.starts.tolist(), self.ends.tolist()
+        return pa.array([" ".join([whole[starts[j] : ends[j]] for j in range(k, k + n)]) for k in places.tolist()], pa.string())
 
 
 def _words(points: np.ndarray, offs: np.ndarray) -> Chunk:
@@ -60,117 +62,99 @@ def _windows(chunk: Chunk, run: int, shingle: int) -> tuple[np.ndarray, np.ndarr
     return place, text, least[place]
 
 
-def item_windows(items: DataFrame, id_col: str, text_col: str, run: int, shingle: int) -> DataFrame:
-    """(item_id, least, exact, words): every window of every item. Items of fewer than ``run`` words have none."""
+def item_windows(items: DataFrame, run: int = RUN, shingle: int = SHINGLE, containment: float = 0.0) -> DataFrame:
+    """items (item_id, text) -> (item_id, part, asked, least, exact, words): every different window of every item, its MinHash and its
+    words. Items of fewer than ``run`` words have none.
+
+    ``part``: items are partitioned by their number of windows, 1, 2-3, 4-7 and so on; ``asked``: whether the window is in the
+    item's sketch. Of n windows, a document that holds the part ``containment`` (one at least) holds one of any n - m + 1, where m
+    is what that part comes to for the smallest items of the partition, so the sketch is the windows with the least hashes, so many.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, points, offs in W.slices(batches, 1):
             chunk = _words(points, offs)
             place, text, least = _windows(chunk, run, shingle)
             exact = span_hashes(chunk.hashes, place, place + run)
-            texts = [chunk.text(k, run) for k in place.tolist()]
-            columns = [batch.column(0).take(pa.array(text)), pa.array(least.view(np.int64)), pa.array(exact.view(np.int64)), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["item_id", "least", "exact", "words"])
-
-    return map_arrow(items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint"), text_col), work, "item_id bigint, least bigint, exact bigint, words string")
-
-
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", run: int = RUN, shingle: int = SHINGLE, most_sent: int = MOST_SENT) -> DataFrame:
-    """(doc_id, item_id, n_windows): documents that share a run of ``run`` words or more with an item, and how
-    many distinct windows of the item they hold.
-
-    Words are runs of letters and digits in lower case of the consistent form. Every run of 12 words has a
-    MinHash, the least hash of its shingles; equal runs have equal ones, so a document's windows are looked up
-    among the items' by MinHash, where neighbouring windows mostly share one and are looked up once. Hits are
-    verified by the words themselves. As all windows have one size, the method's partitions by item size
-    are one; an item is contained as far as its windows are found.
-
-    Up to ``most_sent`` item windows are counted first and then sent to the executors, so the corpus is scanned once
-    without shuffle; beyond that, both sides are partitioned by MinHash. Null ids, null and empty texts and
-    texts of fewer than ``run`` words are in no pair; rows repeated with the same ids count once; other columns are ignored.
+            order = np.lexsort((exact, least, text))
+            new = np.append(True, (exact[order][1:] != exact[order][:-1]) | (text[order][1:] != text[order][:-1]))[: len(order)]
+            order = order[new]
+            text = text[order]
+            n = np.bincount(text, minlength=batch.num_rows)
+            part = np.floor(np.log2(np.maximum(n, 1))).astype(np.int32)
+            sketch = n - np.maximum(1, np.ceil(containment * (1 << part) - 1e-9)).astype(np.int64) + 1
+            rank = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
+            columns = [batch.column(0).take(pa.array(text)), pa.array(part[text]), pa.array(rank < sketch[text]), pa.array(least[order].view(np.int64)), pa.array(exact[order].view(np.int64)), chunk.texts(place[order], run)]
+            yield pa.RecordBatch.from_arrays(columns, ["item_id", "part", "asked", "least", "exact", "words"])
+
+    return map_arrow(items, work, "item_id bigint, part int, asked boolean, least bigint, exact bigint, words string")
+
+
+class Leaks:
+    """Documents that share a run of ``run`` words or more with an item.
+
+    Words are runs of letters and digits in lower case of the consistent form. The MinHash of a run is the least hash of its
+    shingles; equal runs have equal ones, and neighbouring runs mostly share one. Items are partitioned by size and sketched
+    (``item_windows``); a document with a MinHash of a sketch is a candidate, and those of its windows that any item has
+    by hash leave the scan with their words, to meet the items' windows in a join on the words themselves. The corpus is
+    scanned once whatever the number of items: sketches and windows go to all as filters of bounded size (``filters``), which
+    only let more through when there are more items than they are made for.
+
+    ``containment``: the least part of an item's windows that a document must hold, at least one window.
+
+    docs (doc_id, text), items (item_id, text, split): null ids, null and empty texts and texts of fewer than ``run`` words are in
+    no pair; rows repeated with the same ids count once; other columns are ignored; empty tables give empty results.
     """
-    docs = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    windows = item_windows(items, item_id, text, run, shingle)
-    if windows.limit(most_sent + 1).count() <= most_sent:
-        found = _scan(docs, windows.distinct().toPandas(), run, shingle)
-    else:
-        found = _partitioned(docs, windows, run, shingle)
-    return found.groupBy("id", "item_id").agg(F.countDistinct("exact").alias("n_windows")).withColumnRenamed("id", doc_id)
-
-
-def _scan(docs: DataFrame, sent, run: int, shingle: int) -> DataFrame:
-    """(id, item_id, exact) with the item windows in the closure."""
-    sent = sent.sort_values(["exact", "item_id"], kind="stable")
-    exact = sent["exact"].to_numpy(np.int64)
-    owner, texts = sent["item_id"].to_numpy(np.int64), sent["words"].to_list()
-    least = np.unique(sent["least"].to_numpy(np.int64).view(np.uint64))
-    shipped = docs.sparkSession.sparkContext.broadcast((exact, owner, texts, least))
-    kind = docs.schema["id"].dataType.simpleString()
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        exact, owner, texts, least = shipped.value
-        if not len(least):
-            return
-        for batch, points, offs in W.slices(batches, 1):
-            chunk = _words(points, offs)
-            place, text, mine = _windows(chunk, run, shingle)
-            if not len(mine):
-                continue
-            new = np.ones(len(mine), bool)
-            new[1:] = mine[1:] != mine[:-1]
-            heads = mine[new]
-            hit = least[np.minimum(np.searchsorted(least, heads), len(least) - 1)] == heads
-            at = np.flatnonzero(hit[np.cumsum(new) - 1])
-            if not len(at):
-                continue
-            own = span_hashes(chunk.hashes, place[at], place[at] + run).view(np.int64)
-            lo, hi = np.searchsorted(exact, own, "left"), np.searchsorted(exact, own, "right")
-            rows, which = [], []
-            for k in np.flatnonzero(hi > lo).tolist():
-                words = chunk.text(int(place[at[k]]), run)
-                for j in range(lo[k], hi[k]):
-                    if texts[j] == words:
-                        rows.append(int(text[at[k]]))
-                        which.append(j)
-            if rows:
-                which = np.array(which)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(owner[which]), pa.array(exact[which])], ["id", "item_id", "exact"])
-
-    return map_arrow(docs, work, f"id {kind}, item_id bigint, exact bigint")
-
-
-def _partitioned(docs: DataFrame, windows: DataFrame, run: int, shingle: int) -> DataFrame:
-    """(id, item_id, exact) by a join on the MinHash, then on the words of the documents that were hit."""
-    kind = docs.schema["id"].dataType.simpleString()
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, points, offs in W.slices(batches, 1):
-            _, text, mine = _windows(_words(points, offs), run, shingle)
-            order = np.lexsort((mine, text))
-            text, mine = text[order], mine[order]
-            new = np.ones(len(mine), bool)
-            new[1:] = (mine[1:] != mine[:-1]) | (text[1:] != text[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[new])), pa.array(mine[new].view(np.int64))], ["id", "least"])
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, points, offs in W.slices(batches, 1):
-            chunk = _words(points, offs)
-            place, text, mine = _windows(chunk, run, shingle)
-            columns = [batch.column(0).take(pa.array(text)), pa.array(mine.view(np.int64)), pa.array([chunk.text(k, run) for k in place.tolist()], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "least", "words"])
-
-    asked = windows.select("least").distinct()
-    hit = map_arrow(docs, sketch, f"id {kind}, least bigint").join(asked, "least", "left_semi").select("id").distinct()
-    spelled = map_arrow(docs.join(hit, "id", "left_semi"), spell, f"id {kind}, least bigint, words string")
-    return spelled.join(windows, ["least", "words"]).select("id", "item_id", "exact")
-
-
-def leaked_items(items: DataFrame, found: DataFrame, item_id: str = "item_id", text: str = "text", run: int = RUN, shingle: int = SHINGLE) -> DataFrame:
-    """One row per item: (item_id, split, n_windows, n_docs, most_windows, containment): its distinct windows, the documents
-    that hold any, and the largest number and share of its windows that one document holds. Items with
-    null text or fewer than ``run`` words have 0 windows and null containment."""
-    have = item_windows(items, item_id, text, run, shingle).groupBy("item_id").agg(F.countDistinct("exact").alias("n_windows"))
-    hits = found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("n_windows").alias("most_windows"))
-    rows = items.select(F.col(item_id).alias("item_id"), F.lower(F.trim("split")).alias("split")).join(have, "item_id", "left").join(hits, "item_id", "left")
-    zero = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("n_windows", "n_docs", "most_windows")}
-    return rows.withColumns(zero).withColumn("containment", F.round(F.try_divide("most_windows", "n_windows"), 6))
+    def __init__(self, docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", run: int = RUN, shingle: int = SHINGLE, containment: float = 0.0) -> None:
+        self.docs = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+        self.items = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).alias("text"), *(["split"] if "split" in items.columns else []))
+        self.doc_id, self.run, self.shingle, self.containment = doc_id, run, shingle, containment
+
+    @cached_property
+    def windows(self) -> DataFrame:
+        some = self.items.where("item_id is not null and text is not null").select("item_id", "text")
+        return cut_lineage(item_windows(some, self.run, self.shingle, self.containment).distinct())
+
+    def hits(self) -> DataFrame:
+        """(id, exact, words): the windows of candidate documents that any item has by hash."""
+        n = self.windows.count()
+        sketch, known = filter_of(self.windows.where("asked").select("least").distinct(), n), filter_of(self.windows.select("exact"), n)
+        run, shingle = self.run, self.shingle
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, points, offs in W.slices(batches, 1):
+                chunk = _words(points, offs)
+                place, text, mine = _windows(chunk, run, shingle)
+                if not len(mine):
+                    continue
+                new = np.append(True, (mine[1:] != mine[:-1]) | (text[1:] != text[:-1]))
+                candidate = np.zeros(batch.num_rows, bool)
+                candidate[text[new][among(sketch.value, mine[new])]] = True
+                at = np.flatnonzero(candidate[text])
+                exact = span_hashes(chunk.hashes, place[at], place[at] + run)
+                hit = np.flatnonzero(among(known.value, exact))
+                if len(hit):
+                    at, exact = at[hit], exact[hit]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[at])), pa.array(exact.view(np.int64)), chunk.texts(place[at], run)], ["id", "exact", "words"])
+
+        return map_arrow(self.docs, work, f"id {self.docs.schema['id'].dataType.simpleString()}, exact bigint, words string")
+
+    def found(self) -> DataFrame:
+        """(doc_id, item_id, n_windows): a row for each document and item, with the different windows of the item that it holds."""
+        both = self.hits().join(self.windows.select("item_id", "exact", "words"), ["exact", "words"])
+        rows = both.groupBy("id", "item_id").agg(F.count_distinct("words").alias("n_windows"))
+        if self.containment > 0:
+            size = self.windows.groupBy("item_id").agg(F.count_distinct("words").alias("size"))
+            rows = rows.join(size, "item_id").where(F.col("n_windows") >= F.col("size") * F.lit(self.containment) - 1e-9).select("id", "item_id", "n_windows")
+        return rows.withColumnRenamed("id", self.doc_id)
+
+    def by_item(self) -> DataFrame:
+        """One row per item: (item_id, split, n_windows, n_docs, most_windows, containment): its different windows, the documents
+        that hold any, and the largest number and share of its windows that one document holds. Items with
+        null text or fewer than ``run`` words have 0 windows and null containment."""
+        have = self.windows.groupBy("item_id").agg(F.count_distinct("words").alias("n_windows"))
+        hits = self.found().groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("n_windows").alias("most_windows"))
+        rows = self.items.select("item_id", F.lower(F.trim("split")).alias("split")).join(have, "item_id", "left").join(hits, "item_id", "left")
+        zero = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("n_windows", "n_docs", "most_windows")}
+        return rows.withColumns(zero).withColumn("containment", F.round(F.try_divide("most_windows", "n_windows"), 6))

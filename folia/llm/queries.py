@@ -74,13 +74,16 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"))
 
 
+def _p7(spark: SparkSession, d: str) -> leakage.Leaks:
+    return leakage.Leaks(table(spark, d, "documents"), table(spark, d, "heldout_items"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id")
+    return _p7(spark, d).found().select("doc_id", "item_id")
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "heldout_items")
-    return leakage.leaked_items(items, leakage.leaks(table(spark, d, "documents"), items))
+    return _p7(spark, d).by_item()
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -106,13 +106,30 @@ def test_leaks(spark):
     docs += [(90, None), (91, ""), (92, "TO BE! " * 30), (0, docs[0][1]), (None, items[1][1])]
     frames = spark.createDataFrame([(k, t, "x") for k, t in docs], "doc_id bigint, text string, item_id string"), spark.createDataFrame([(k, t, "val", "x") for k, t in items], "item_id bigint, text string, split string, words string")
     want = plain_leaks([d for d in docs if d[0] is not None], items)
-    for most in (10_000, 0):
-        got = leakage.leaks(*frames, most_sent=most)
-        assert {(r.doc_id, r.item_id): r.n_windows for r in got.collect()} == want
-    report = {r.item_id: r for r in leakage.leaked_items(frames[1], leakage.leaks(*frames)).collect()}
+    got = [tuple(r) for r in leakage.Leaks(*frames).found().collect()]
+    assert len(got) == len(want) and {(d, i): n for d, i, n in got} == want
+    size = {k: len({tuple(words(t)[j : j + 12]) for j in range(len(words(t)) - 11)}) for k, t in items}
+    for part in (0.3, 0.8, 1.0):
+        got = {(r.doc_id, r.item_id): r.n_windows for r in leakage.Leaks(*frames, containment=part).found().collect()}
+        assert got == {k: n for k, n in want.items() if n >= part * size[k[1]] - 1e-9}
+    report = {r.item_id: r for r in leakage.Leaks(*frames).by_item().collect()}
     assert report[41].n_windows == 0 and report[41].containment is None and report[43].n_docs == 1 and report[43].containment == 1.0
     assert report[40].n_docs == report[0].n_docs
-    assert leakage.leaks(frames[0].limit(0), frames[1]).count() == 0 and leakage.leaks(frames[0], frames[1].limit(0)).count() == 0
+    assert leakage.Leaks(frames[0].limit(0), frames[1]).found().count() == 0 and leakage.Leaks(frames[0], frames[1].limit(0)).found().count() == 0
+
+
+def test_filters_too_small_for_the_items_change_nothing(spark, monkeypatch):
+    """More windows than the filters are made for: nearly all of the corpus goes to the join, and the pairs stay."""
+    from folia.llm import filters
+
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(40)) for _ in range(80)]
+    items = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "item_id bigint, text string")
+    docs = [(k, " ".join(rng.choice(texts).split()[5:25] + [f"w{rng.randrange(60)}" for _ in range(20)])) for k in range(100)]
+    want = plain_leaks(docs, list(enumerate(texts)))
+    monkeypatch.setattr(leakage, "filter_of", lambda keys, n: filters.filter_of(keys, n, most=8))
+    got = {(r.doc_id, r.item_id): r.n_windows for r in leakage.Leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), items).found().collect()}
+    assert got == want
 
 
 def test_leaks_whole_table(spark, data):
