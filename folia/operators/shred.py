@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,9 +132,8 @@ class Index:
         return out
 
     def text(self, at: int) -> str:
+        """A text with escaped characters."""
         raw = self.flat[self.start[at] : self.end[at]].tobytes().decode("utf-8", "replace")
-        if "\\" not in raw:
-            return raw
         quote = chr(self.flat[self.start[at] - 1])
         if quote == '"':
             try:
@@ -145,6 +145,23 @@ class Index:
         except (ValueError, SyntaxError):
             return raw
 
+    def strings(self, at: np.ndarray) -> pa.Array:
+        """The texts at these places, null for -1, cut from the payloads by offsets; only texts with a backslash are read one by one."""
+        known = at >= 0
+        start, end = (np.where(known, x[at] if len(x) else 0, 0) for x in (self.start, self.end))
+        size = end - start
+        flat = self.flat[_ranges(start, size)]
+        offs = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(size, out=offs[1:])
+        slashes = np.zeros(len(flat) + 1, np.int64)
+        np.cumsum(flat == 92, out=slashes[1:])
+        valid = pa.array(known).buffers()[1]
+        made = pa.StringArray.from_buffers(len(at), pa.py_buffer(offs.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes()), valid)
+        escaped = (slashes[offs[1:]] > slashes[offs[:-1]]) & (self.kind[at] == STRING if len(self.kind) else False)
+        if escaped.any():
+            made = pc.replace_with_mask(made, pa.array(escaped), pa.array([self.text(k) for k in at[escaped].tolist()], pa.string()))
+        return made
+
 
 def _float(text: bytes) -> float:
     try:
@@ -153,6 +170,29 @@ def _float(text: bytes) -> float:
         return np.nan
 
 
+def _string_quotes(double: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which of the quotes of rows begin or end a string, where both kinds do: a quote does so outside of strings, and inside
+    of one that its own kind began.
+
+    States are outside, in double and in single quotes. Each quote is a map of states; their compositions from
+    the begin of the row come by doubling, for all rows at once.
+    """
+    n = len(double)
+    maps = np.where(double[:, None], np.array([1, 0, 2], np.int8), np.array([2, 1, 0], np.int8))
+    head = np.searchsorted(row, row)
+    step = 1
+    while step < n:
+        at = np.flatnonzero(np.arange(n) - step >= head)
+        if not len(at):
+            break
+        maps[at] = np.take_along_axis(maps[at], maps[at - step].astype(np.int64), axis=1)
+        step *= 2
+    before = np.zeros(n, np.int8)
+    inner = np.arange(n) > head
+    before[inner] = maps[np.flatnonzero(inner) - 1, 0]
+    return (before == 0) | (before == np.where(double, 1, 2))
+
+
 def structural_index(flat: np.ndarray, offs: np.ndarray, plain: bool = False) -> Index:
     """The values of the payloads flat[offs[k]:offs[k + 1]]. ``plain``: they are JSON as _readable writes it, in which
     a key with an escaped character is never one of ours."""
@@ -175,13 +215,11 @@ def structural_index(flat: np.ndarray, offs: np.ndarray, plain: bool = False) ->
     real = flat[quotes] == main[q_row]
     before = np.cumsum(real) - real
     rank = before - before[begin[q_row]] if len(quotes) else before
-    mixed = np.unique(q_row[~real & (rank % 2 == 0)])
-    for row in mixed:  # strings in both kinds of quotes: walk over the quotes
-        inside = 0
-        for k in range(begin[row], begin[row] + int((q_row == row).sum())):
-            real[k] = not inside or flat[quotes[k]] == inside
-            if real[k]:
-                inside = 0 if inside else flat[quotes[k]]
+    mixed = np.zeros(n_rows, bool)
+    mixed[q_row[~real & (rank % 2 == 0)]] = True
+    if mixed.any():  # strings in both kinds of quotes
+        some = np.flatnonzero(mixed[q_row])
+        real[some] = _string_quotes(flat[quotes[some]] == 34, q_row[some])
     quotes, q_row = quotes[real], q_row[real]
     per_row = np.bincount(q_row, minlength=n_rows)
     bad |= per_row % 2 == 1
@@ -409,7 +447,7 @@ def _box_entries(ix: Index, payloads: np.ndarray) -> Entries:
     points = ix.get(at, "points")
     at, points = at[ix.count(points) >= 4], points[ix.count(points) >= 4]
     text = ix.texts(ix.get(at, "text"))
-    shown = np.array([bool(t >= 0 and ix.text(t).strip()) for t in text], bool)
+    shown = pc.greater(pc.binary_length(pc.utf8_trim_whitespace(ix.strings(text))), 0).fill_null(False).to_numpy(zero_copy_only=False)
     at, points = at[shown], points[shown]
     owner, point, _ = ix.elements(points)
     box = np.full((len(at), 4), np.nan)
@@ -423,30 +461,57 @@ def _box_entries(ix: Index, payloads: np.ndarray) -> Entries:
     return Entries(row, zero, zero, zero, box, at)
 
 
-def _enclosing(tokens: Entries, blocks: Entries, most: int = 2_000_000) -> np.ndarray:
-    """The lowest-numbered block of each token's page whose range encloses the token's, else -1."""
+def _enclosing(tokens: Entries, blocks: Entries) -> np.ndarray:
+    """The lowest-numbered block of each token's page whose range encloses the token's, else -1.
+
+    Blocks are sorted by page and begin, so those of a page that begin early enough are one stretch. Stretches are
+    covered by blocks' groups of 1, 2, 4 ... neighbours, two groups of each size at most; a group sorted by end, with the
+    least number from each place on, gives its answer by binary search. Each size is done for all tokens at once.
+    """
     out = np.full(len(tokens.row), -1)
-    if not len(blocks.row) or not len(tokens.row):
+    n = len(blocks.row)
+    if not n or not len(out):
         return out
     number = blocks.number()
-    order = np.lexsort((number, blocks.page, blocks.row))
-    # row and page as one number
+    # row and page as one number, ends as ranks
     _, page = np.unique(np.concatenate([blocks.page, tokens.page]), return_inverse=True)
     width = int(page.max()) + 1
-    b_key = (blocks.row * width + page[: len(blocks.row)])[order]
-    t_key = tokens.row * width + page[len(blocks.row) :]
-    lo, hi = np.searchsorted(b_key, t_key, "left"), np.searchsorted(b_key, t_key, "right")
-    pairs = np.concatenate([[0], np.cumsum(hi - lo)])
-    begin = 0
-    while begin < len(out):
-        stop = max(begin + 1, int(np.searchsorted(pairs, pairs[begin] + most, "right")) - 1)
-        who = np.repeat(np.arange(begin, stop), (hi - lo)[begin:stop])
-        block = order[_ranges(lo[begin:stop], (hi - lo)[begin:stop])]
-        inside = (blocks.start[block] <= tokens.start[who]) & (tokens.end[who] <= blocks.end[block])
-        who, block = who[inside][::-1], block[inside][::-1]
-        out[who] = number[block]  # reversed, so the lowest number is set last
-        begin = stop
-    return out
+    b_key, t_key = blocks.row * width + page[:n], tokens.row * width + page[n:]
+    order = np.lexsort((blocks.start, b_key))
+    b_key, b_start, b_end, number = b_key[order], blocks.start[order], blocks.end[order], number[order]
+    ends = np.unique(b_end)
+    rank, t_rank = np.searchsorted(ends, b_end), np.searchsorted(ends, tokens.end)
+    lo = np.searchsorted(b_key, t_key, "left")
+    # places of (page, begin) pairs: tokens are sorted in among the blocks, after those that begin where they do
+    both = np.lexsort((np.append(np.zeros(n), np.ones(len(out))), np.append(b_start, tokens.start), np.append(b_key, t_key)))
+    hi = np.empty(len(out), np.int64)
+    is_token = both >= n
+    hi[both[is_token] - n] = np.cumsum(~is_token)[is_token]
+    never = np.iinfo(np.int64).max
+    best = np.full(len(out), never)
+    size, place = len(ends) + 1, np.arange(n)
+    while (open_ := np.flatnonzero(lo < hi)).size:
+        # groups of this size, sorted by end; the least number of those that end no earlier
+        by_end = np.lexsort((rank, place))
+        key = place[by_end] * size + rank[by_end]
+        last = np.append(place[by_end][1:] != place[by_end][:-1], True)
+        least = _least_to_group_end(number[by_end], last)
+        for at, side in ((open_[lo[open_] % 2 == 1], lo), (open_[hi[open_] % 2 == 1], hi - 1)):
+            group = side[at]
+            found = np.searchsorted(key, group * size + t_rank[at])
+            ok = (found < n) & (place[by_end[np.minimum(found, n - 1)]] == group)
+            best[at[ok]] = np.minimum(best[at[ok]], least[found[ok]])
+        lo, hi = (lo + 1) // 2, hi // 2
+        place = place // 2
+    return np.where(best < never, best, -1)
+
+
+def _least_to_group_end(values: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The least of each value and those after it up to the end of its group."""
+    # groups get falling offsets, so that a running minimum from the back never reaches over a border
+    group = np.cumsum(last[::-1]) * (int(values.max()) + 1)
+    back = values[::-1] - group
+    return (np.minimum.accumulate(back) + group)[::-1]
 
 
 @dataclass
@@ -603,8 +668,7 @@ _ENTRY_SCHEMA = "text string, char_start bigint, char_end bigint, x0 double, y0
 
 def _entry_columns(ix: Index, e: Entries) -> list:
     at = ix.texts(ix.get(e.node, "text"))
-    texts = pa.array([ix.text(k) if k >= 0 else None for k in at.tolist()], pa.string())
-    return [texts, e.start, e.end, *(e.box[:, k] for k in range(4))]
+    return [ix.strings(at), e.start, e.end, *(e.box[:, k] for k in range(4))]
 
 
 def block_table(exports: DataFrame) -> DataFrame:
@@ -625,7 +689,6 @@ def page_table(exports: DataFrame) -> DataFrame:
         for ids, made in _parts(batches):
             row, no, width, height, node = made.pages
             at = made.index.only(made.index.get(node, "text"), STRING)
-            texts = pa.array([made.index.text(k) if k >= 0 else None for k in at.tolist()], pa.string())
-            yield _rows(ids, row, ["page_no", "page_width", "page_height", "text"], [no, width, height, texts])
+            yield _rows(ids, row, ["page_no", "page_width", "page_height", "text"], [no, width, height, made.index.strings(at)])
 
     return map_arrow(_payloads(exports), run, _schema(exports, "page_no bigint, page_width double, page_height double, text string"))

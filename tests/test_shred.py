@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import numpy as np
 import plain_shred
@@ -127,3 +128,47 @@ def test_ranges():
     assert shred._ranges(np.array([3, 7]), np.array([2, 0])).tolist() == [3, 4]
     with pytest.raises(ValueError):
         json.loads("{")
+
+
+def entries(rng, n, pages, width, reach):
+    row = np.sort(rng.integers(0, 3, n))
+    start = rng.integers(0, width, n)
+    return shred.Entries(row, rng.integers(0, pages, n), start, start + rng.integers(0, reach, n), np.zeros((n, 4)), np.arange(n))
+
+
+def test_enclosing_blocks_against_all_pairs():
+    rng = np.random.default_rng(6)
+    for n, m in ((0, 5), (5, 0), (1, 1), (200, 60), (300, 300)):
+        tokens, blocks = entries(rng, n, 3, 100, 8), entries(rng, m, 3, 100, 40)
+        number = blocks.number()
+        want = [min((int(number[b]) for b in range(m) if blocks.row[b] == tokens.row[t] and blocks.page[b] == tokens.page[t] and blocks.start[b] <= tokens.start[t] and tokens.end[t] <= blocks.end[b]), default=-1) for t in range(n)]
+        assert shred._enclosing(tokens, blocks).tolist() == want
+
+
+def test_a_large_page():
+    """100,000 tokens and 25,000 blocks on one page, blocks around blocks."""
+    n, m = 100_000, 25_000
+    zero = lambda k: np.zeros(k, np.int64)
+    start = np.arange(n) * 4
+    tokens = shred.Entries(zero(n), zero(n), start, start + 3, np.zeros((n, 4)), np.arange(n))
+    b_start = np.arange(m) * 16
+    blocks = shred.Entries(zero(m), zero(m), b_start, np.where(np.arange(m) % 100 == 99, n * 4, b_start + 15), np.zeros((m, 4)), np.arange(m))
+    began = time.perf_counter()
+    made = shred._enclosing(tokens, blocks)
+    assert time.perf_counter() - began < 5
+    # every hundredth block reaches to the end of the page, so from the first of them on it is the lowest
+    assert (made == np.minimum(np.arange(n) // 4, 99)).all()
+
+
+def test_quotes_of_both_kinds():
+    rng = random.Random(2)
+    for _ in range(200):
+        rows = [[rng.choice("'\"") for _ in range(rng.randrange(1, 12))] for _ in range(rng.randrange(1, 4))]
+        want = []
+        for quotes in rows:
+            inside = ""
+            for q in quotes:
+                want.append(inside in ("", q))
+                inside = ("" if inside else q) if want[-1] else inside
+        double = np.array([q == '"' for r in rows for q in r])
+        assert shred._string_quotes(double, np.repeat(np.arange(len(rows)), [len(r) for r in rows])).tolist() == want
