@@ -9,11 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folia.session import guard
+
 TOKEN_FIELDS = ["text", "char_start", "char_end", "page", "x0", "y0", "x1", "y1", "page_width", "page_height", "block_id"]
 
 
 def by_document(df: DataFrame) -> DataFrame:
-    """Rows partitioned by document, once: whatever groups, orders or joins by document and more then stays in place."""
+    """Rows partitioned by document, once: whatever groups, orders or joins by document and more then stays in place.
+
+    That takes ``spark.sql.requireAllClusterKeysForCoPartition`` off, which is read when a query is planned and so holds for
+    the session: joins on several keys use a partitioning by some of them wherever there is one.
+    """
+    guard(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     return df.repartition("doc_id")
 

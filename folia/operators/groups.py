@@ -13,14 +13,49 @@ from folia.session import map_arrow
 
 
 def map_groups(df: DataFrame, keys: list[str], order: list[str], work: Callable[[tuple, dict[str, list]], list[tuple]], schema: str) -> DataFrame:
-    """``work(key, columns)`` gets one group's other columns as lists, in order, and returns rows; the result has the keys and the rows' columns.
+    """``work(key, columns)`` gets one group's other columns as lists, in order, and returns rows; the result has the keys and the rows' columns."""
+    names = [c for c in df.columns if c not in keys]
+    n_keys = len(keys)
+    arrow = _out_schema(df, keys, schema)[1]
+
+    def done(table: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+        columns = [c.to_pylist() for c in table.columns]
+        rows: list[tuple] = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(c[a] for c in columns[:n_keys])
+            group = {n: c[a:b] for n, c in zip(names, columns[n_keys:], strict=True)}
+            rows.extend((*key, *r) for r in work(key, group))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    return _over_groups(df, keys, order, names, done, schema)
 
-    Partitions are sorted by key, so a task holds one group and one batch at a time.
-    """
+
+def map_tables(df: DataFrame, keys: list[str], order: list[str], work: Callable[[tuple, pa.Table], list], schema: str) -> DataFrame:
+    """As map_groups, with a group's other columns as an Arrow table; ``work`` returns the columns of the result."""
     names = [c for c in df.columns if c not in keys]
-    key_schema = T.StructType([df.schema[k] for k in keys])
-    out_schema = T.StructType([*key_schema.fields, *T._parse_datatype_string(schema).fields])
-    arrow = to_arrow_schema(out_schema)
+    n_keys = len(keys)
+    arrow = _out_schema(df, keys, schema)[1]
+
+    def done(table: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            group = table.slice(a, b - a)
+            columns = work(tuple(group.column(k)[0].as_py() for k in range(n_keys)), group.select(names))
+            if len(columns[0]):
+                key = [pa.repeat(group.column(k)[0], len(columns[0])) for k in range(n_keys)]
+                made = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*key, *made], arrow, strict=True)], schema=arrow)
+
+    return _over_groups(df, keys, order, names, done, schema)
+
+
+def _out_schema(df: DataFrame, keys: list[str], schema: str) -> tuple[T.StructType, pa.Schema]:
+    out = T.StructType([*(df.schema[k] for k in keys), *T._parse_datatype_string(schema).fields])
+    return out, to_arrow_schema(out)
+
+
+def _over_groups(df: DataFrame, keys: list[str], order: list[str], names: list[str], done: Callable[[pa.Table, list[int]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``done(rows, cuts)`` over stretches of whole groups. Partitions are sorted by key, so a task holds one group and one batch at a time."""
     n_keys = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,27 +66,15 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], work: Callable[
             table = pa.Table.from_batches([batch])
             if carry is not None:
                 table = pa.concat_tables([carry, table])
-            cuts = _cuts(table, n_keys)
-            yield from done(table, cuts[:-1])
-            carry = table.slice(cuts[-2]) if len(cuts) > 1 else table
+            cuts = _cuts(table, n_keys)[:-1]
+            if len(cuts) > 1:
+                yield from done(table.slice(0, cuts[-1]), cuts)
+            carry = table.slice(cuts[-1])
         if carry is not None:
             yield from done(carry, [0, carry.num_rows])
 
-    def done(table: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
-        if len(cuts) < 2:
-            return
-        part = table.slice(0, cuts[-1])
-        columns = [c.to_pylist() for c in part.columns]
-        rows: list[tuple] = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            key = tuple(c[a] for c in columns[:n_keys])
-            group = {n: c[a:b] for n, c in zip(names, columns[n_keys:], strict=True)}
-            rows.extend((*key, *r) for r in work(key, group))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
-
     sorted_rows = df.select(*keys, *names).repartition(*keys).sortWithinPartitions(*keys, *order)
-    return map_arrow(sorted_rows, run, out_schema)
+    return map_arrow(sorted_rows, run, _out_schema(df, keys, schema)[0])
 
 
 def _cuts(table: pa.Table, n_keys: int) -> list[int]:

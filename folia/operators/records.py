@@ -22,11 +22,12 @@ def entity_instances(labelled: DataFrame, strict: bool = False) -> DataFrame:
 def relabel(items: DataFrame, labelled: DataFrame, strict: bool = False) -> DataFrame:
     """Items with ``label`` in the emitted order: I where the token before, over layout items, is of the same entity
     instance, else B. Layout items have none (null; -100 in written records)."""
-    real = items.where("src is not null").join(entity_instances(labelled, strict).withColumnRenamed("tok_idx", "src"), ["doc_id", "src"], "left")
-    same = F.lag("instance").over(Window.partitionBy("doc_id").orderBy("pos")) == F.col("instance")
-    label = F.when(F.col("entity").isNull(), "O").otherwise(S.bio(F.when(same, "I").otherwise("B"), F.col("entity")))
-    layout = items.where("src is null").withColumn("label", F.lit(None).cast("string"))
-    return real.withColumn("label", label).select(*layout.columns).unionByName(layout)
+    rows = items.join(entity_instances(labelled, strict).withColumnRenamed("tok_idx", "src"), ["doc_id", "src"], "left")
+    # 0 stands for tokens without entity, so that the last one before is that of a token, never of a layout item
+    instance = F.when(F.col("src").isNotNull(), F.coalesce("instance", F.lit(0)))
+    before = F.last(instance, ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    label = F.when(F.col("entity").isNull(), "O").otherwise(S.bio(F.when(before == F.col("instance"), "I").otherwise("B"), F.col("entity")))
+    return rows.withColumn("label", F.when(F.col("src").isNotNull(), label)).select(*items.columns, "label")
 
 
 def collapse(items: DataFrame, policy: str = "first_non_o") -> DataFrame:

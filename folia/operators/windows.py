@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folia.functions import scalars as S
-from folia.operators.groups import map_groups
+from folia.operators.groups import map_tables
 from folia.operators.metrics import repair
 
 #: Roles whose marker holds for what follows it, in the order in which a window repeats them.
@@ -59,102 +62,111 @@ def word_windows(items: DataFrame, size: int, stride: int) -> DataFrame:
     return each.groupBy("doc_id", "chunk_index", "n").agg(labelled.alias("n_labelled")).select("doc_id", "chunk_index", start.alias("word_start"), F.least("n", start + size).alias("word_end"), "n_labelled")
 
 
-class _View:
-    """A document under one strategy: for each token its place, the layout items that go with it, and the markers in force."""
+#: Tokens whose pieces are summed up at a time when the end of a window is looked for.
+STEP = 1024
+ROLES = {r: k for k, r in enumerate(LASTING)}
+SUFFIX, OTHER = len(LASTING), len(LASTING) + 1
 
-    def __init__(self, src: list, role: list, pieces: list) -> None:
-        self.pieces = pieces
-        self.place: dict[int, int] = {}
-        self.prefix: dict[int, list[int]] = {}
-        self.suffix: dict[int, list[int]] = {}
-        self.active: dict[int, dict[str, int]] = {}
-        active: dict[str, int] = {}
-        waiting: list[int] = []
-        last = None
-        for k, (s, r) in enumerate(zip(src, role, strict=True)):
-            if s is not None:
-                if s in self.place:
-                    raise ValueError(f"token {s} comes twice")
-                self.place[s], self.prefix[s], self.suffix[s], self.active[s] = k, waiting, [], dict(active)
-                waiting, last = [], s
-            elif r in LASTING:
-                if r == "page":
-                    active = {}
-                elif r in ("block", "column", "xycut_region"):
-                    active.pop("line", None)
-                active[r] = k
-            elif r == "coord_suffix" and last is not None:
-                self.suffix[last].append(k)
-            else:
-                waiting.append(k)
-        if waiting and last is not None:
-            self.suffix[last].extend(waiting)
-
-    def render(self, sources: range) -> list[int]:
-        """Places of a window's items; markers in force are repeated at its begin and where they change."""
-        out: list[int] = []
-        before: dict[str, int] = {}
-        for s in sorted(sources, key=self.place.__getitem__):
-            active = self.active[s]
-            out += [active[r] for r in LASTING if r in active and before.get(r) != active[r]]
-            out += [*self.prefix[s], self.place[s], *self.suffix[s]]
-            before = active
-        return out
 
-    def cost(self, sources: range) -> int:
-        return sum(self.pieces[k] for k in self.render(sources))
+class Emission:
+    """A document under one strategy as arrays.
 
+    A layout item that doesn't last belongs to one token, the next (a suffix to the one before, what comes last to the
+    last). One that lasts, a marker, is in force for a stretch of emitted tokens. So a window takes the pieces of its
+    tokens with their items, and once those of every marker that is in force for any of them.
+    """
 
-def plan_windows(views: dict[str, _View], labels: list[str], usable: int, window: int = 0, stride: int = 0, piece_stride: int = 0) -> list[tuple[int, int]]:
+    def __init__(self, src: np.ndarray, role: np.ndarray, pieces: np.ndarray, n: int) -> None:
+        places = np.flatnonzero(src >= 0)
+        self.pieces = pieces
+        order = src[places]
+        if len(order) != n or (np.bincount(order, minlength=n) != 1).any():
+            raise ValueError("incomplete OCR source coverage")
+        self.emitted = np.empty(n, np.int64)  # token -> when it is emitted
+        self.emitted[order] = np.arange(n)
+        before = np.cumsum(src >= 0)
+        lasts = (src < 0) & (role < SUFFIX)
+        owner = np.where(src >= 0, before - 1, np.where((role == SUFFIX) & (before > 0), before - 1, np.minimum(before, n - 1)))
+        items = np.flatnonzero(~lasts)
+        self.items = items[np.argsort(owner[items], kind="stable")]
+        self.first = np.searchsorted(owner[self.items], np.arange(n + 1))
+        own = np.bincount(owner[items], pieces[items], n).astype(np.int64)
+        # the marker of each role in force: the last one before, unless a page, or for lines any other region, began since
+        at = np.arange(len(src))
+        last = [np.maximum.accumulate(np.where(lasts & (role == k), at, -1))[places] for k in range(len(LASTING))]
+        page, line = ROLES["page"], ROLES["line"]
+        borders = [np.full(n, -1) if k == page else np.maximum.reduce(last[:line]) if k == line else last[page] for k in range(len(LASTING))]
+        self.marker = np.stack([np.where(v > floor, v, -1) for v, floor in zip(last, borders, strict=True)])
+        # in canonical order: pieces of each token, of its markers, and the token before that is under the same marker
+        self.own = own[self.emitted]
+        marker = self.marker[:, self.emitted]
+        self.price = np.where(marker >= 0, pieces[marker], 0)
+        self.since = np.full(marker.shape, -1)
+        for values, since in zip(marker, self.since, strict=True):
+            by = np.argsort(values, kind="stable")
+            same = values[by[1:]] == values[by[:-1]]
+            since[by[1:][same]] = by[:-1][same]
+
+    def window(self, start: int, end: int) -> np.ndarray:
+        """Places of a window's items in emitted order, markers before the first token under them."""
+        when = np.sort(self.emitted[start:end])
+        marker = self.marker[:, when]
+        new = marker >= 0
+        new[:, 1:] &= marker[:, 1:] != marker[:, :-1]
+        role, k = np.nonzero(new)
+        counts = self.first[when + 1] - self.first[when]
+        ends = np.cumsum(counts)
+        own = self.items[np.repeat(self.first[when] - (ends - counts), counts) + np.arange(ends[-1])]
+        rank = np.append(k * (SUFFIX + 1) + role, np.repeat(np.arange(len(when)), counts) * (SUFFIX + 1) + SUFFIX)
+        return np.append(marker[role, k], own)[np.argsort(rank, kind="stable")]
+
+
+def entity_heads(labels: pa.Array) -> np.ndarray:
+    """For each token that goes on an entity, the token with B that begins it; -1 for others and where there is no B."""
+    prefix = pc.utf8_slice_codeunits(labels, 0, 2)
+    inner, begins = (pc.equal(prefix, p).to_numpy(zero_copy_only=False) for p in ("I-", "B-"))
+    entity = pc.utf8_slice_codeunits(labels, 2).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    goes_on = inner.copy()
+    goes_on[:1] = False
+    goes_on[1:] &= (entity[1:] == entity[:-1]) & (inner[:-1] | begins[:-1])
+    head = np.maximum.accumulate(np.where(goes_on, 0, np.arange(len(inner))))
+    return np.where(inner & begins[head], head, -1) if len(inner) else head
+
+
+def plan_windows(views: list[Emission], heads: np.ndarray, usable: int, window: int = 0, stride: int = 0, piece_stride: int = 0) -> list[tuple[int, int]]:
     """(start, end) of windows of tokens that fit ``usable`` pieces under every strategy.
 
     Each is as long as fits, and as ``window`` if that is set; an entity that the end would cut goes to the next
     window if it begins inside this one. Windows overlap by ``stride`` tokens, or by the tokens that take
-    ``piece_stride`` pieces. More tokens never take fewer pieces, so the longest fit is found by bisection.
+    ``piece_stride`` pieces. From a start, a token adds its own pieces and those of markers that no token since the start was
+    under, so running sums of all strategies together give the end.
     """
-    n, start, out = len(labels), 0, []
-    heaviest = sorted(views.values(), key=lambda v: -sum(v.pieces))  # the first to overflow
-    fits = lambda a, b: all(v.cost(range(a, b)) <= usable for v in heaviest)
-    guess = 64
+    n = len(heads)
+    own, price, since = (np.stack([getattr(v, name) for v in views]) for name in ("own", "price", "since"))
+    alone = np.zeros(n + 1, np.int64)
+    np.cumsum((own + price.sum(axis=1)).max(axis=0), out=alone[1:])
+    start, out = 0, []
     while start < n:
         top = min(n, start + window) if window > 0 else n
-        # the longest fit lies near that of the window before: widen from there, then bisect
-        low, high, step = start, top + 1, max(1, guess // 8)
-        at = min(top, start + guess)
-        while low < at < high:
-            if fits(start, at):
-                low = at
-                at = min(top, at + step)
-            else:
-                high = at
-                at = max(start, at - step)
-            step *= 2
-        while high - low > 1:
-            mid = (low + high) // 2
-            if fits(start, mid):
-                low = mid
-            else:
-                high = mid
-        guess = max(1, low - start)
-        end = low
+        end, taken = start, np.zeros((len(views), 1), np.int64)
+        while end < top:
+            part = slice(end, min(top, end + STEP))
+            sums = taken + np.cumsum(own[:, part] + (price[:, :, part] * (since[:, :, part] < start)).sum(axis=1), axis=1)
+            fits = (sums <= usable).all(axis=0)
+            if not fits.all():
+                end += int(fits.argmin())
+                break
+            end, taken = part.stop, sums[:, -1:]
         if end == start:
             raise ValueError(f"token {start} with its layout takes more than {usable} pieces")
-        if end < n and labels[end].startswith("I-"):
-            entity, k = labels[end][2:], end
-            while k > start and labels[k] == f"I-{entity}":
-                k -= 1
-            if k > start and labels[k] == f"B-{entity}":
-                end = k
+        if end < n and heads[end] > start:
+            end = int(heads[end])
         out.append((start, end))
         if end >= n:
             break
         back = stride
         if back <= 0 and piece_stride > 0:
-            taken, k = 0, end
-            while k > start and taken < piece_stride:
-                k -= 1
-                taken += max(v.cost(range(k, k + 1)) for v in views.values())
-            back = end - k
+            back = end - max(start, int(np.searchsorted(alone, alone[end] - piece_stride, "right")) - 1)
         start = max(start + 1, end - back)
     return out
 
@@ -168,27 +180,40 @@ def fair_windows(items: DataFrame, labelled: DataFrame, max_length: int, special
     usable = max_length - specials
     if usable <= 0:
         raise ValueError("max_length leaves no room for content")
-    n_tokens = labelled.groupBy("doc_id").agg(F.count("*").alias("n_tokens"))
-    rows = items.select("doc_id", "strategy", "pos", "src", "role", "pieces").join(labelled.select("doc_id", F.col("tok_idx").alias("src"), "label"), ["doc_id", "src"], "left").join(n_tokens, "doc_id", "left")
-    rows = rows.select("doc_id", "strategy", "pos", "src", "role", "pieces", "label", "n_tokens")
-
-    def work(key: tuple, g: dict[str, list]) -> list[tuple]:
-        by: dict[str, list[int]] = {}
-        for k, s in enumerate(g["strategy"]):
-            by.setdefault(s, []).append(k)
-        views = {s: _View([g["src"][k] for k in ks], [g["role"][k] for k in ks], [g["pieces"][k] for k in ks]) for s, ks in by.items()}
-        labels = {g["src"][k]: g["label"][k] or "O" for k in range(len(g["src"])) if g["src"][k] is not None}
-        n = g["n_tokens"][0] or 0
-        if sorted(labels) != list(range(n)) or any(len(v.place) != n for v in views.values()):
-            raise ValueError(f"document {key[0]}: incomplete OCR source coverage")
-        out = []
-        for chunk, (a, b) in enumerate(plan_windows(views, [labels[k] for k in range(n)], usable, window, stride, piece_stride)):
-            for s, v in views.items():
-                places = v.render(range(a, b))
-                out.append((s, chunk, a, b, sum(v.pieces[k] for k in places), places))
+    codes = F.create_map(*(F.lit(x) for r, k in (*ROLES.items(), ("coord_suffix", SUFFIX)) for x in (r, k)))
+    role = F.coalesce(codes[F.col("role")], F.lit(OTHER))
+    # labels come as one more sequence of the document, before its strategies
+    rows = items.select("doc_id", "strategy", "pos", F.coalesce("src", F.lit(-1)).cast("int").alias("src"), role.cast("int").alias("role"), F.col("pieces").cast("int").alias("pieces"), F.lit(None).cast("string").alias("label"))
+    zero = F.lit(0)
+    rows = rows.unionByName(labelled.select("doc_id", F.lit("").alias("strategy"), F.col("tok_idx").cast("int").alias("pos"), F.col("tok_idx").cast("int").alias("src"), zero.alias("role"), zero.alias("pieces"), F.coalesce("label", F.lit("O")).alias("label")))
+
+    def work(key: tuple, group: pa.Table) -> list:
+        group = group.combine_chunks()
+        out: list[list] = [[] for _ in range(6)]
+        names = group.column("strategy").combine_chunks().dictionary_encode()
+        codes = names.indices.to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+        starts = [names.dictionary[int(codes[a])].as_py() for a in cuts[:-1]]
+        n = cuts[1] if starts[0] == "" else 0
+        if starts == [""]:
+            return out
+        src, role, pieces = (group.column(c).to_numpy().astype(np.int64) for c in ("src", "role", "pieces"))
+        try:
+            if not np.array_equal(src[:n], np.arange(n)):
+                raise ValueError("incomplete OCR source coverage")
+            views = {name: Emission(src[a:b], role[a:b], pieces[a:b], n) for name, a, b in zip(starts, cuts[:-1], cuts[1:], strict=True) if name}
+        except ValueError as e:
+            raise ValueError(f"document {key[0]}: {e}") from None
+        labels = group.column("label").combine_chunks().slice(0, n)
+        plan = plan_windows(list(views.values()), entity_heads(labels), usable, window, stride, piece_stride)
+        for chunk, (a, b) in enumerate(plan):
+            for name, view in views.items():
+                places = view.window(a, b)
+                for column, value in zip(out, (name, chunk, a, b, int(view.pieces[places].sum()), places.tolist()), strict=True):
+                    column.append(value)
         return out
 
-    return map_groups(rows, ["doc_id"], ["strategy", "pos"], work, "strategy string, chunk_index int, word_start int, word_end int, n_pieces int, places array<int>")
+    return map_tables(rows, ["doc_id"], ["strategy", "pos"], work, "strategy string, chunk_index int, word_start int, word_end int, n_pieces int, places array<int>")
 
 
 def examples(windows: DataFrame, items: DataFrame, tokens: DataFrame, hide_layout: tuple[str, ...] = ("plain_text",)) -> DataFrame:

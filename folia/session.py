@@ -53,8 +53,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def guard(spark: SparkSession) -> None:
+    """Unions don't pass on their inputs' partitioning: where adaptive execution has merged partitions of the inputs in
+    different ways, groups above such a union come apart (seen with Spark 4.1.2)."""
+    if spark.conf.get("spark.sql.unionOutputPartitioning", None) != "false":
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data folder."""
+    guard(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
@@ -82,5 +90,6 @@ def ship_package(spark: SparkSession) -> None:
 
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """df.mapInArrow with the package on the executors."""
+    guard(df.sparkSession)
     ship_package(df.sparkSession)
     return df.mapInArrow(work, schema)
