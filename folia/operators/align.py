@@ -92,21 +92,22 @@ def checks(tokens: DataFrame, annotations: DataFrame, least: float = 0.5) -> Dat
     return rows.withColumn("status", status).drop("parts")
 
 
-def spans(labelled: DataFrame, normalize: bool = False) -> DataFrame:
-    """BIO labels as spans, one row each: label, first and last token, text, range, box, and the page if it is one.
+def spans(labelled: DataFrame, normalize: bool = False, source: str = "gold") -> DataFrame:
+    """BIO labels as spans, one row each: label, first and last token, text, range, box, the page if it is one, and source; with
+    ``score`` in labelled, the mean of its tokens'.
 
-    Islands: a token begins a span if it is B, has another entity than the token before, or follows O.
-    A label without hyphen begins one always. Labels with other prefixes belong to none.
+    Islands: a token begins a span if it is B, has another entity than the token before, or follows one without. O, -100
+    and null end a span. A label without hyphen begins one always. Labels with other prefixes belong to none.
     """
     by = Window.partitionBy("doc_id").orderBy("tok_idx")
     label = F.col("label")
-    known = label.rlike("^[BI]-")
     bare = (F.instr(label, "-") == 0) & (label != "O")
-    entity = F.when(known, S.bio_entity_raw(label)).when(bare, label)
-    rows = labelled.where(~label.isin("-100") | label.isNull()).withColumn("entity", entity)
+    entity = F.when(label.rlike("^[BI]-"), S.bio_entity_raw(label)).when(bare, label)
+    rows = labelled.withColumn("entity", entity)
     before = F.lag("entity").over(by)
     begins = F.col("entity").isNotNull() & (bare | F.startswith(label, F.lit("B-")) | before.isNull() | (before != F.col("entity")))
     rows = rows.withColumn("span_no", F.sum(begins.cast("int")).over(by)).where("entity is not null")
+    score = [F.round(F.avg("score"), 6).alias("score")] if "score" in labelled.columns else []
     text = F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "text"))), lambda p: p["text"]), " "))
     out = rows.groupBy("doc_id", "span_no").agg(
         F.first("entity").alias("label"),
@@ -117,6 +118,8 @@ def spans(labelled: DataFrame, normalize: bool = False) -> DataFrame:
         F.max_by("char_end", "tok_idx").alias("char_end"),
         F.when(F.min("page") == F.max("page"), F.min("page")).alias("page"),
         *(f(s).alias(s) for s, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))),
+        *score,
+        F.lit(source).alias("source"),
     )
     return out.withColumn("text", S.extracted_form(F.col("label"), F.col("text"))) if normalize else out
 

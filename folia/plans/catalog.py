@@ -157,7 +157,10 @@ def annotation_checks(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bio_spans(spark: SparkSession, d: str) -> DataFrame:
-    return align.spans(_labelled(spark, d)).drop("span_no")
+    """Spans of labels with tokens to ignore among them, and a score."""
+    rows = _labelled(spark, d)
+    label = F.when((F.col("doc_id") + F.col("tok_idx")) % 23 == 0, "-100").otherwise(F.col("label"))
+    return align.spans(rows.withColumns({"label": label, "score": F.col("tok_idx") % 10 / 10.0}), source="model").drop("span_no")
 
 
 @query
@@ -216,7 +219,10 @@ def _annotated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def common_labels(spark: SparkSession, d: str) -> DataFrame:
-    return quality.common_labels(*_annotated(spark, d))
+    """Labels that every document with at least eight annotations has."""
+    docs, anns = _annotated(spark, d)
+    many = anns.groupBy("doc_id").agg(F.count("*").alias("n")).where("n >= 8").select("doc_id")
+    return quality.common_labels(docs.join(many, "doc_id", "left_semi"), anns.join(many, "doc_id", "left_semi"))
 
 
 @query
@@ -296,8 +302,14 @@ def length_multiplier(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def item_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Items with planted faults: tokens left out, tokens twice, a marker with a label, tokens without one."""
     toks, labelled = _both(spark, d)
-    return records.problems(records.relabel(serialize.line_aware(toks), labelled), toks)
+    items = records.relabel(serialize.page_aware(toks), labelled)
+    k = F.col("doc_id") + F.col("src")
+    rows = items.where(F.col("src").isNull() | (k % 11 != 0))
+    rows = rows.withColumn("copy", F.explode(F.when(k % 13 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("copy")
+    label = F.when(F.col("src").isNull() & (F.col("doc_id") % 5 == 0), "B-agency").when(k % 17 == 0, None).otherwise(F.col("label"))
+    return records.problems(rows.withColumn("label", label), toks)
 
 
 @query
@@ -427,9 +439,10 @@ def bio_repair(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def missing_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens without prediction, where windows leave out some."""
     labelled = _labelled(spark, d)
-    expected = labelled.groupBy("doc_id").agg((F.count("*") + 2).alias("n_tokens")).withColumn("record", F.lit(0))
-    return metrics.missing(metrics.vote(adapters.predictions(labelled)), expected)
+    expected = labelled.groupBy("doc_id").agg(F.count("*").alias("n_tokens")).withColumn("record", F.lit(0))
+    return metrics.missing(metrics.vote(adapters.predictions(labelled).where((F.col("doc_id") * 3 + F.col("src")) % 10 != 0)), expected)
 
 
 @query

@@ -194,7 +194,9 @@ def statements() -> dict[str, str]:
     p["bio_overwrite"] = w("select t.doc_id, t.tok_idx, coalesce(bio, 'O') as label from tok t left join (select * from ranked where down = 1) r on t.doc_id = r.doc_id and t.tok_idx = r.tok_idx", "ranked")
     p["align_issues"] = w("select doc_id, 'no_token_match' as issue_type, ann_idx, null::int as tok_idx from ann a where not exists (select 1 from hit h where h.doc_id = a.doc_id and h.ann_idx = a.ann_idx) union all select doc_id, 'label_conflict', ann_idx, tok_idx from ranked where up > 1", "ranked")
     p["annotation_checks"] = w("select doc_id, ann_idx, n_tokens, token_indices, token_text, strict_match, loose_match, annotation_norm, token_norm, status, page, x0, y0, x1, y1 from ck", "ck")
-    p["bio_spans"] = w("select * from span", "span")
+    ignoring = ", x as (select * exclude (label), case when (doc_id + tok_idx) % 23 = 0 then '-100' else label end as label from bio), e as (select *, case when label not in ('O', '-100') then substr(label, 3) end as entity, label like 'B-%' as b from x), n as (select *, sum((entity is not null and (b or before is distinct from entity))::int) over (partition by doc_id order by tok_idx) as no from (select *, lag(entity) over (partition by doc_id order by tok_idx) as before from e)) "
+    p["bio_spans"] = w("#", "bio").replace(" #", ignoring + """select doc_id, entity as label, trim(string_agg(text, ' ' order by tok_idx)) as text, min(tok_idx) as token_start, max(tok_idx) as token_end, arg_min(char_start, tok_idx) as char_start, arg_max(char_end, tok_idx) as char_end,
+        case when min(page) = max(page) then min(page) end as page, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, round(avg(tok_idx % 10 / 10), 6) as score, 'model' as source from n where entity is not null group by doc_id, entity, no""")
     p["field_values"] = w(f"select doc_id, label, count(*) as n_values, string_agg({extracted('label', 'text')}, '|' order by token_start) as value, count(*) > 1 as is_list from span group by 1, 2", "span")
     p["gold_fields"] = w(f"select doc_id, {key('label')} as label, count(*) as n_values, string_agg({extracted('label', 'text')}, '|' order by char_start, char_end, ann_idx) as value, count(*) > 1 as is_list from ann group by 1, 2", "ann")
 
@@ -206,7 +208,7 @@ def statements() -> dict[str, str]:
     p["label_counts"] = w("select label, count(*) as n_annotations, count(distinct doc_id) as n_documents from ann group by 1", "ann")
     p["labels_of_documents"] = w("select doc_id, string_agg(distinct label, '|' order by label) as labels from ann group by 1", "ann")
     frequency = "select label from (select label, count(distinct doc_id) as n from ann where doc_id in (select doc_id from doc where has_annotations) group by 1), (select count(*) as docs from doc where has_annotations) where "
-    p["common_labels"] = w(frequency + "n = docs", "ann", "doc")
+    p["common_labels"] = w("#", "ann", "doc").replace(" #", ", many as (select doc_id from ann group by 1 having count(*) >= 8 and doc_id in (select doc_id from doc where has_annotations)) select label from (select label, count(distinct doc_id) as n from ann where doc_id in (from many) group by 1), (select count(distinct doc_id) as docs from many) where n = docs")
     p["labels_by_frequency"] = w(frequency + "n >= floor(docs * 0.5 + 0.999999)", "ann", "doc")
     p["bio_label_map"] = w(f"select (row_number() over (order by k, p) - 1)::int as label_id, bio from (select 'O' as bio, '' as k, '' as p union all select p || '-' || k, k, p from (select distinct {key('label')} as k from ann), (values ('B'), ('I')) v(p))", "ann")
     counts = ", ".join(f"count(*) filter (split = '{s}') as {s}_docs, round(avg(n) filter (split = '{s}'), 6) as {s}_mean" for s in ("train", "val", "test"))
@@ -240,7 +242,7 @@ def statements() -> dict[str, str]:
     p["relabelled"] = w("select doc_id, pos, src, case when entity is null then 'O' when lag(inst) over (partition by doc_id order by pos) = inst and lag(entity) over (partition by doc_id order by pos) is not null then 'I-' || entity else 'B-' || entity end as label from (select doc_id, (row_number() over (partition by doc_id order by page, y0, x0, char_start, tok_idx) - 1)::int as pos, tok_idx as src, inst, entity from isl)", "isl")
     p["collapsed"] = w("select doc_id, src as tok_idx, label from pgl where src is not null", "pgl")
     p["length_multiplier"] = w("select doc_id, (sum(fresh::int) + 3 * count(*))::bigint as n_items, count(*) as n_real, (sum(fresh::int) + 2 * count(*))::bigint as n_layout, round((sum(fresh::int) + 3 * count(*)) / count(*), 6) as length_multiplier from bk group by 1", "bk")
-    p["item_problems"] = "select 0::bigint as doc_id, '' as problem, 0::bigint as n where false"
+    p["item_problems"] = w("select doc_id, problem, count(*) as n from (select doc_id, 'missing' as problem from tok where (doc_id + tok_idx) % 11 = 0 union all select doc_id, 'repeated' from tok where (doc_id + tok_idx) % 11 <> 0 and (doc_id + tok_idx) % 13 = 0 union all select doc_id, 'labelled layout' from pg where fresh and doc_id % 5 = 0 union all select doc_id, 'no label' from (select doc_id, unnest(case when (doc_id + tok_idx) % 13 = 0 then [1, 2] else [1] end) from tok where (doc_id + tok_idx) % 11 <> 0 and (doc_id + tok_idx) % 17 = 0)) group by 1, 2", "pg")
     p["assembled"] = w("select i.doc_id as id, dataset_name as dataset, 'page_aware' as serializer, count(src) as original_token_count, count(*)::int as serialized_token_count, string_agg(text, ' ' order by pos) as tokens, string_agg(coalesce(label, '-100'), ' ' order by pos) as labels, string_agg(coalesce(src::varchar, '-'), ' ' order by pos) as sources, string_agg(page::varchar, ' ' order by pos) as pages from (select pgl.*, coalesce(t.page, lead(t.page) over (partition by pgl.doc_id order by pos)) as page from pgl left join tok t on pgl.doc_id = t.doc_id and pgl.src = t.tok_idx) i join doc d on i.doc_id = d.doc_id group by 1, 2", "pgl", "doc")
 
     p["common_documents"] = w("select strategy, doc_id, n::bigint as n from (select 'page_aware' as strategy, doc_id, count(*) + sum(fresh::int) as n from bk group by 1, 2 union all select 'plain_text', doc_id, count(*) from bk group by 1, 2) where doc_id % 3 <> 0 and doc_id % 5 <> 0", "bk")
@@ -264,7 +266,7 @@ def statements() -> dict[str, str]:
     spans = lambda c: f"select doc_id, substr(l, 3) as entity, min(src) as a, max(src) as b from (select *, sum((l like 'B-%')::int) over (partition by doc_id order by src) as no from ({fixed(c)})) where l <> 'O' group by doc_id, substr(l, 3), no"
     em = f", gs as ({spans('gold')}), ps as ({spans('pred')}), by_e as (select coalesce(g.entity, p.entity) as entity, count(g.doc_id) as ng, count(p.doc_id) as np, count(*) filter (g.doc_id is not null and p.doc_id is not null) as nc from gs g full join ps p on g.doc_id = p.doc_id and g.entity = p.entity and g.a = p.a and g.b = p.b group by 1) select "
     p["entity_metrics"] = w("#", "vote").replace(" #", em + three("entity_micro_", "sum(nc)", "sum(np)", "sum(ng)") + ", round(avg(2 * nc / (ng + np)), 6) as entity_macro_f1, sum(ng)::bigint as n_gold_entities, sum(np)::bigint as n_pred_entities, sum(nc)::bigint as n_correct_entities from by_e")
-    p["missing_tokens"] = w("select (2 * count(distinct doc_id))::bigint as n_missing from tok", "tok")
+    p["missing_tokens"] = w("select count(*) as n_missing from tok t where not exists (select 1 from prd p where p.doc_id = t.doc_id and p.src = t.tok_idx and (p.doc_id * 3 + p.src) % 10 <> 0)", "prd")
     p["fold_statistics"] = "select strategy, model_name, round(avg(v), 6) as value_mean, round(stddev_samp(v), 6) as value_std, round(avg(mean_subtokens), 6) as mean_subtokens_mean, round(stddev_samp(mean_subtokens), 6) as mean_subtokens_std, count(*) as n_folds_completed from (select *, n_tokenized_chunks / n_docs as v from tokenization_summary) group by 1, 2"
     p["upserted"] = "select dataset_name, strategy, model_name, n_docs, created_at from (select *, row_number() over (partition by dataset_name, strategy, model_name order by n_docs % 2 desc, n_docs desc nulls last, created_at desc nulls last) as rn from (select lower(trim(dataset_name)) as dataset_name, strategy, model_name, n_docs, created_at from tokenization_summary)) where rn = 1"
     p["dead_letters"] = "select rec_id, error from (select rec_id, concat_ws(',', case when text is null then 'no_text' end, case when dataset_name is null then 'no_dataset' end, case when ingested_at > scanned_at + interval 30 days then 'late' end) as error from canon_docs) where error <> ''"

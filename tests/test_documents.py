@@ -237,3 +237,12 @@ def test_records_round_trip(spark, tmp_path):
     assert back.select(*want.columns).exceptAll(want).count() == 0 and back.count() == 4
     with pytest.raises(ValueError, match="no records"):
         readers.records(spark, str(tmp_path / "out"), ["other"])
+
+
+def test_spans_end_at_ignored_tokens(spark):
+    rows = tokens(spark, [(1, k, t, 5 * k, 0, 0, 1, 1, 0) for k, t in enumerate("abcdefg")])
+    labels = ["B-X", "-100", "I-X", "X", "I-X", "Z-X", "I-X"]
+    rows = rows.withColumn("label", F.element_at(F.array(*map(F.lit, labels)), F.col("tok_idx") + 1)).withColumn("score", F.col("tok_idx") * 1.0)
+    made = align.spans(rows, source="model").orderBy("token_start").collect()
+    assert [(r.token_start, r.token_end, r.text, r.score, r.source) for r in made] == [(0, 0, "a", 0.0, "model"), (2, 2, "c", 2.0, "model"), (3, 4, "d e", 3.5, "model"), (6, 6, "g", 6.0, "model")]
+    assert "score" not in align.spans(rows.drop("score")).columns
