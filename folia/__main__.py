@@ -52,7 +52,8 @@ def main(argv: list[str] | None = None) -> None:
         stratum = splits.strata(docs, items.join(docs, "doc_id", "left_semi"))
         splits.folds(stratum, config.n_folds, config.split_seed, config.validation_fraction).write.mode("overwrite").parquet(f"{args.out}/folds")
         text = windows.training_text(items.join(docs, "doc_id", "left_semi")).withColumn("pieces", windows.piece_count(F.col("text")))
-        labelled = windows.canonical_labels(text.where(F.col("strategy") == text.agg(F.min("strategy")).first()[0]))
+        first = readers.record_folders(spark, args.records, list(config.datasets) or None, list(config.strategies) or None)
+        labelled = windows.canonical_labels(text.where(F.col("strategy") == min(s for _, s, _ in first)))
         fair = windows.fair_windows(text, labelled, config.max_length, 2, config.word_window_size, config.word_window_stride, config.tokenizer_stride)
         fair.write.mode("overwrite").partitionBy("strategy").parquet(f"{args.out}/windows")
 

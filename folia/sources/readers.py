@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, types as T
 from pyspark.sql import functions as F
 
+from folia.session import guard, map_arrow
+
 # Names under which columns may be delivered, in order of preference.
 COLUMNS = {
     "doc_id": ["doc_id", "id", "original_filename", "filename", "file_name", "pdf_name"],
@@ -36,9 +42,8 @@ def first_present(columns: dict[str, str], kind: str, names: dict[str, list[str]
 def csv_split(spark: SparkSession, root: str, dataset: str, folder: str, split: str) -> DataFrame:
     """One CSV file with its data set, folder, split and row numbers from 0. Values stay text; quoted ones may span lines."""
     raw = spark.read.csv(f"{root}/{folder}/{split}.csv", header=True, multiLine=True, escape='"')
-    rows = raw.withColumn("__id", F.monotonically_increasing_id())
-    number = F.row_number().over(Window.orderBy("__id")) - 1
-    return rows.withColumns({"dataset": F.lit(dataset), "source_folder": F.lit(folder), "source_split": F.lit(split), "source_row_index": number}).drop("__id")
+    # values with line breaks make the file one partition, in which the id is the row's number
+    return raw.withColumns({"dataset": F.lit(dataset), "source_folder": F.lit(folder), "source_split": F.lit(split), "source_row_index": F.monotonically_increasing_id()})
 
 
 def csv_splits(spark: SparkSession, root: str, datasets: dict[str, str] | None = None, splits: tuple[str, ...] = ("train", "val", "test")) -> tuple[DataFrame | None, DataFrame]:
@@ -58,65 +63,133 @@ def csv_splits(spark: SparkSession, root: str, datasets: dict[str, str] | None =
     return rows, spark.createDataFrame(status, "dataset string, folder string, source_split string, status string")
 
 
-def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no from 1, value): the lines of text files, gzipped or not, without blank ones. A file is read by
-    one task, as its line numbers need."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("k", "value"))
-    return lines.where(F.trim("value") != "").select("path", (F.col("k") + 1).alias("line_no"), "value")
+def json_lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+    """(path, line_no from 1, value): the lines of text files, gzipped or not, without blank ones.
+
+    Plain files are read in splits by many tasks. A line's number is its place in its split and the lines of the splits before,
+    which are counted first; a gzipped file is one split. ``glob``: names to be read, at any depth below the path.
+    """
+    guard(spark)
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob) if glob else spark.read
+    files = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__start")
+    lines = reader.text(path).select(*files, F.monotonically_increasing_id().alias("__id"), F.regexp_replace("value", "\r$", "").alias("value"))
+    splits = lines.groupBy("path", "__start").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("path").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = lines.join(splits.select("path", "__start", "__first", before.alias("__before")), ["path", "__start"])
+    return rows.where(F.trim("value") != "").select("path", (F.col("__before") + F.col("__id") - F.col("__first") + 1).alias("line_no"), "value")
 
 
 def json_folder(spark: SparkSession, path: str) -> DataFrame:
     """(source_path, source_line_number, value): each record of the JSON files below a folder as text.
 
-    A .json file holds an object (no number) or a list (numbers from 0); .jsonl files hold one on each line (from 1);
-    either may end in .gz. Unreadable content fails the query.
+    A .json file holds an object (no number) or a list (numbers from 0); .jsonl files hold one on each line (from 1), and are
+    read in splits; either may end in .gz. Unreadable content fails the query and tells the file and line.
     """
-    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").text(path, wholetext=True)
-    files = found.select(F.col("_metadata.file_path").alias("source_path"), "value")
-    by_line = F.col("source_path").rlike(r"\.jsonl(\.gz)?$")
-    lines = files.where(by_line).select("source_path", F.posexplode(F.split("value", "\r?\n")).alias("k", "value")).where(F.trim("value") != "").withColumn("k", F.col("k") + 1)
-    whole = files.where(~by_line)
+    lines = json_lines(spark, path, glob="*.{jsonl,jsonl.gz}").select(F.col("path").alias("source_path"), F.col("line_no").alias("k"), "value")
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{json,json.gz}").text(path, wholetext=True)
+    whole = whole.select(F.col("_metadata.file_path").alias("source_path"), "value")
     is_list = F.startswith(F.ltrim("value"), F.lit("["))
     lists = whole.where(is_list).select("source_path", F.posexplode(F.from_json("value", "array<string>", {"mode": "FAILFAST"})).alias("k", "value"))
-    single = whole.where(~is_list).select("source_path", F.lit(None).cast("int").alias("k"), "value")
-    rows = lines.unionByName(lists).unionByName(single)
-    good = F.to_json(F.parse_json("value"))
+    single = whole.where(~is_list).select("source_path", F.lit(None).cast("bigint").alias("k"), "value")
+    rows = lines.unionByName(lists.withColumn("k", F.col("k").cast("bigint"))).unionByName(single)
+    where = F.concat(F.col("source_path"), F.coalesce(F.concat(F.lit(":"), F.col("k").cast("string")), F.lit("")))
+    parsed = F.to_json(F.try_parse_json("value"))
+    good = F.when(parsed.isNull(), F.raise_error(F.concat(F.lit("malformed JSON in "), where)).cast("string")).otherwise(parsed)
     return rows.select("source_path", F.col("k").alias("source_line_number"), good.alias("value"))
 
 
 def json_by_path(rows: DataFrame, path_col: str, root: str) -> DataFrame:
     """Rows with ``payload``, the content of the file that a column names relative to ``root``; gzip is read as such.
-    Rows without path, or whose file isn't there, have null."""
-    spark = rows.sparkSession
-    files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("__path"), F.col("value").alias("payload"))
-    key = F.regexp_replace(F.col("__path"), r"^file:/*", "/")
+
+    Only the files named are opened, by the task that has the row, on any file system that the executors reach.
+    Rows without path, or whose file isn't there, have null.
+    """
+    names = rows.columns
+    at = names.index(path_col)
     base = root.rstrip("/")
-    return rows.withColumn("__want", F.concat(F.lit(f"{base}/"), F.col(path_col))).join(files.withColumn("__want", key).drop("__path"), "__want", "left").drop("__want")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = fs.FileSystem.from_uri(base if "://" in base else f"file://{base}")
+        for batch in batches:
+            out = []
+            for name in batch.column(at).to_pylist():
+                full = f"{folder}/{name}"
+                if name is None or system.get_file_info(full).type != fs.FileType.File:
+                    out.append(None)
+                    continue
+                with system.open_input_stream(full, compression="detect") as file:
+                    out.append(file.read().decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*names, "payload"])
+
+    return map_arrow(rows, run, T.StructType([*rows.schema.fields, T.StructField("payload", T.StringType())]))
 
 
 RECORD_SCHEMA = (
-    "id string, doc_key string, original_token_count int, tokens array<string>, labels array<string>, loss_mask array<boolean>, source_token_indices array<int>, "
-    "layout_roles array<string>, pages array<int>, bboxes array<array<int>>, normalized_bboxes array<array<int>>, offsets array<array<int>>, serialized_token_count int"
+    "id string, doc_key string, metadata map<string,string>, original_token_count int, tokens array<string>, labels array<string>, original_token_labels array<string>, loss_mask array<boolean>, "
+    "source_token_indices array<int>, layout_roles array<string>, item_attrs array<map<string,string>>, pages array<int>, bboxes array<array<int>>, normalized_bboxes array<array<int>>, "
+    "offsets array<array<int>>, serialized_token_count int"
 )
 
 
+def folders(spark: SparkSession, root: str) -> list[str]:
+    """Names of the folders right below a folder, from its listing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in system.listStatus(path) if f.isDirectory()) if system.exists(path) else []
+
+
+def record_folders(spark: SparkSession, root: str, datasets: list[str] | None = None, strategies: list[str] | None = None) -> list[tuple[str, str, str]]:
+    """(data set, strategy, folder) of written records, found by listing: folders ``[dataset=]<name>/[serializer=]<name>``.
+    A data set that isn't there fails, a strategy doesn't."""
+    value = lambda name: name.split("=", 1)[-1]
+    found = {value(d): d for d in folders(spark, root)}
+    if any(d.startswith("serializer=") for d in found.values()):  # written the other way round
+        pairs = [(value(d), value(s), f"{root}/{s}/{d}") for s in found.values() for d in folders(spark, f"{root}/{s}")]
+        found = {d: d for d, _, _ in pairs}
+    else:
+        pairs = [(d, value(s), f"{root}/{name}/{s}") for d, name in found.items() for s in folders(spark, f"{root}/{name}")]
+    lack = set(datasets or ()) - set(found)
+    if lack:
+        raise ValueError(f"no records of {', '.join(sorted(lack))}")
+    return [p for p in pairs if (not datasets or p[0] in datasets) and (not strategies or p[1] in strategies)]
+
+
 def records(spark: SparkSession, root: str, datasets: list[str] | None = None, strategies: list[str] | None = None) -> DataFrame:
-    """Written records of data sets and strategies, all by default; a data set that isn't there fails, a strategy doesn't.
-    Folders are pruned by the filters; a broken line fails the query."""
-    rows = spark.read.schema(f"{RECORD_SCHEMA}, dataset string, serializer string").option("mode", "FAILFAST").json(root)
-    if datasets:
-        lack = set(datasets) - {r[0] for r in rows.select("dataset").distinct().collect()}
-        if lack:
-            raise ValueError(f"no records of {', '.join(sorted(lack))}")
-        rows = rows.where(F.col("dataset").isin(datasets))
-    return rows.where(F.col("serializer").isin(strategies)) if strategies else rows
+    """Written records of data sets and strategies, all by default (see record_folders). Only their folders are read; a broken
+    line fails the query and tells file and line."""
+    found = record_folders(spark, root, datasets, strategies)
+    if not found:
+        return spark.createDataFrame([], f"{RECORD_SCHEMA}, dataset string, serializer string")
+    names = spark.createDataFrame(found, "dataset string, serializer string, __folder string")
+    lines = json_lines(spark, [f for _, _, f in found])
+    read = F.from_json("value", f"{RECORD_SCHEMA}, __broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__broken"}).alias("r")
+    rows = lines.select("path", "line_no", read)
+    message = F.concat(F.lit("malformed record in "), F.col("path"), F.lit(":"), F.col("line_no").cast("string"))
+    rows = rows.withColumn("r", F.when(F.col("r.__broken").isNotNull(), F.raise_error(message).cast(rows.schema["r"].dataType)).otherwise(F.col("r")))
+    # a file is known by the last two folders that it is in
+    last = lambda c, skip: F.array_join(F.slice(F.split(c, "/"), -2 - skip, 2), "/")
+    rows = rows.withColumn("__at", last("path", 1)).join(names.select("dataset", "serializer", last("__folder", 0).alias("__at")), "__at")
+    return rows.select("r.*", "dataset", "serializer").drop("__broken")
 
 
 def items_of(rows: DataFrame) -> DataFrame:
-    """Written records as items again: (doc_id, strategy, pos, text, src, role, label); label null for layout items."""
+    """Written records as items again: (doc_id, strategy, pos, text, src, role, label); label null for layout items.
+
+    Records of older form may lack sources or roles, or have others than items: then items with a label are tokens, numbered in
+    order, and the others layout. As many labels as tokens are needed, else the query fails.
+    """
+    n = F.size("tokens")
+    missing = lambda x: x.isNull() | (x == "-100")
+    short = F.when(F.coalesce(F.size("labels"), n) != n, F.raise_error(F.concat(F.lit("record has other numbers of tokens and labels: "), F.coalesce("doc_key", "id", F.lit("?")))))
+    real = F.transform("labels", lambda x: F.when(missing(x), 0).otherwise(1))
+    counted = F.transform(F.sequence(F.lit(1), n), lambda k: F.when(F.element_at(real, k) == 1, F.aggregate(F.slice(real, F.lit(1), k), F.lit(-1), lambda a, b: a + b)))
+    known = lambda c: F.coalesce(F.size(c) == n, F.lit(False))
+    sources = F.when(known("source_token_indices"), F.col("source_token_indices")).when(n > 0, counted)
+    rows = rows.withColumn("source_token_indices", sources).withColumn("labels", F.when(F.lit(True) & short.isNull(), F.col("labels")))
     columns = {"tokens": "text", "source_token_indices": "src", "layout_roles": "role", "labels": "label"}
     zipped = F.arrays_zip(*(F.coalesce(c, F.array()).alias(c) for c in columns))
-    each = rows.select(F.coalesce("doc_key", "id").alias("doc_id"), F.col("serializer").alias("strategy"), F.posexplode(zipped).alias("pos", "i"))
-    label = F.when(F.col("i.labels") != "-100", F.col("i.labels"))
-    return each.select("doc_id", "strategy", "pos", F.col("i.tokens").alias("text"), F.col("i.source_token_indices").alias("src"), F.col("i.layout_roles").alias("role"), label.alias("label"))
+    each = rows.select(F.coalesce("doc_key", "id").alias("doc_id"), F.col("serializer").alias("strategy"), known("layout_roles").alias("roles"), F.posexplode(zipped).alias("pos", "i"))
+    src = F.col("i.source_token_indices")
+    role = F.coalesce(F.when(F.col("roles"), F.nullif(F.col("i.layout_roles"), F.lit(""))), F.when(src.isNull(), "layout").otherwise("ocr_token"))
+    label = F.when(~missing(F.col("i.labels")), F.col("i.labels"))
+    return each.select("doc_id", "strategy", "pos", F.col("i.tokens").alias("text"), src.alias("src"), role.alias("role"), label.alias("label"))
