@@ -21,6 +21,23 @@ def squash(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, BLANKS, " "))
 
 
+def title_label(label: Column) -> Column:
+    """A label with blanks for underscores and every run of letters capitalised."""
+    parts = F.regexp_extract_all(F.replace(F.trim(label), F.lit("_"), F.lit(" ")), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 20)))), "")
+
+
+def json_marker(value: Column) -> Column:
+    """A JSON text with sorted keys, so that equal values are equal texts; what isn't JSON is its own marker."""
+    return F.coalesce(F.to_json(F.try_parse_json(value)), value)
+
+
+def unique_values(values: Column) -> Column:
+    """An array of JSON texts without those that are equal to an earlier one, in order."""
+    markers = F.transform(values, json_marker)
+    return F.filter(values, lambda v, k: (k == 0) | ~F.array_contains(F.slice(markers, F.lit(1), F.greatest(k, F.lit(1))), F.coalesce(json_marker(v), F.lit(""))))
+
+
 def label_key(c: Column) -> Column:
     """A label as a lower-case key of letters, digits and single underscores; ``&`` reads ``and``."""
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(squash(c), "&", " and "), "[^0-9A-Za-z]+", "_"), F.lit("_")))

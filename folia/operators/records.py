@@ -66,9 +66,48 @@ def problems(items: DataFrame, tokens: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "problem").agg(F.count("*").alias("n"))
 
 
-def assemble(items: DataFrame, tokens: DataFrame, docs: DataFrame, strategy: str) -> DataFrame:
+def label_ids(items: DataFrame, label_map: DataFrame) -> DataFrame:
+    """Items with ``label_id`` by label_map (label_id, bio): -100 for layout items and those without a label. A label that the map
+    lacks fails the query."""
+    known = label_map.select(F.col("bio").alias("label"), F.col("label_id").alias("__id"))
+    rows = items.join(known, "label", "left")
+    lack = F.raise_error(F.concat(F.lit("no id for label "), F.col("label"))).cast("int")
+    plain = F.col("label").isNull() | (F.col("label") == str(IGNORED)) | F.col("src").isNull()
+    return rows.withColumn("label_id", F.when(plain, IGNORED).when(F.col("__id").isNull(), lack).otherwise(F.col("__id")).cast("int")).select(*items.columns, "label_id")
+
+
+def record_key(rows: DataFrame) -> Column:
+    """The key of a written record's document: the first of its keys, its ids and those of its metadata that isn't empty, else file and line."""
+    have = lambda c: [F.col(c)] if c in rows.columns else []
+    meta = [F.col("metadata")[k] for k in ("doc_key", "id", "doc_id", "original_filename")] if "metadata" in rows.columns else []
+    candidates = [*(c for name in ("doc_key", "id", "doc_id") for c in have(name)), *meta]
+    if "source_path" in rows.columns:
+        candidates.append(F.concat(F.col("source_path"), F.lit("::fallback::"), F.col("source_line_number").cast("string")))
+    return F.coalesce(*(F.nullif(c, F.lit("")) for c in candidates))
+
+
+def with_slots(rows: DataFrame, order: tuple[str, ...] = ("source_path", "source_line_number")) -> DataFrame:
+    """Written records with doc_key (see record_key) and ``occurrence``, from 0: which of the records of its data set and strategy under that key it is."""
+    rows = rows.withColumn("doc_key", record_key(rows))
+    by = Window.partitionBy("dataset", "serializer", "doc_key").orderBy(*order)
+    return rows.withColumn("occurrence", F.row_number().over(by) - 1)
+
+
+def with_sources(made: DataFrame, facts: DataFrame, seed: int = 42) -> DataFrame:
+    """Records with split, source_split, source_folder, source_row_index and doc_key of their documents, the splits in their metadata as
+    well; facts (id, dataset, split and as many of the others as there are)."""
+    names = [c for c in ("source_split", "source_folder", "source_row_index", "doc_key") if c in facts.columns]
+    rows = made.drop(*names, "split").join(facts.select("id", "dataset", "split", *names), ["id", "dataset"], "left")
+    added = {"new_seeded_split": F.col("split"), "split_seed": F.lit(str(seed))} | ({"source_split": F.col("source_split")} if "source_split" in names else {})
+    added = F.map_filter(F.create_map(*(x for k, v in added.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull())
+    own = F.map_filter("metadata", lambda k, v: ~k.isin("new_seeded_split", "split_seed", "source_split")) if "metadata" in rows.columns else F.create_map().cast("map<string,string>")
+    return rows.withColumn("metadata", F.map_concat(F.coalesce(own, F.create_map().cast("map<string,string>")), added))
+
+
+def assemble(items: DataFrame, tokens: DataFrame, docs: DataFrame, strategy: str, labelled: DataFrame | None = None) -> DataFrame:
     """One record per document with parallel arrays, as it is written: id, dataset, serializer, tokens, labels (if items have
-    any), loss_mask, source_token_indices, layout_roles, pages, bboxes, normalized_bboxes, offsets and counts."""
+    any), loss_mask, source_token_indices, layout_roles, item_attrs, pages, bboxes, normalized_bboxes, offsets and counts;
+    doc_key and metadata if docs have them, and original_token_labels of ``labelled`` (doc_id, tok_idx, label)."""
     box = S.normal_box()
     norm = F.when(box["x0"].isNotNull() & box["y0"].isNotNull(), F.array(*box.values()))
     facts = tokens.select("doc_id", F.col("tok_idx").alias("src"), "page", F.array("x0", "y0", "x1", "y1").alias("bbox"), norm.alias("norm"), F.array("char_start", "char_end").alias("offset"))
@@ -77,9 +116,11 @@ def assemble(items: DataFrame, tokens: DataFrame, docs: DataFrame, strategy: str
     last = F.last("page", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
     coming = F.first("page", ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
     rows = rows.withColumn("page", F.when(F.col("role") == "coord_suffix", last).otherwise(F.coalesce(coming, last)))
+    attrs = F.col("attrs") if "attrs" in items.columns else F.when(F.col("src").isNull(), F.create_map(F.lit("page"), F.col("page").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
     labels = ["label"] if "label" in items.columns else []
     parts = F.array_sort(F.collect_list(F.struct("pos", "text", "src", "role", "page", "bbox", "norm", "offset", *labels)))
-    made = rows.groupBy("doc_id").agg(parts.alias("p"))
+    at = F.map_from_entries(F.collect_list(F.struct("pos", attrs.alias("a"))))
+    made = rows.groupBy("doc_id").agg(parts.alias("p"), at.alias("attrs"))
     counts = tokens.groupBy("doc_id").agg(F.count("*").alias("original_token_count"))
     take = lambda f: F.transform("p", lambda x: x[f])
     columns: dict[str, Column] = {"tokens": take("text")}
@@ -89,11 +130,17 @@ def assemble(items: DataFrame, tokens: DataFrame, docs: DataFrame, strategy: str
         "loss_mask": F.transform("p", lambda x: x["src"].isNotNull()),
         "source_token_indices": take("src"),
         "layout_roles": take("role"),
+        "item_attrs": F.transform("p", lambda x: F.element_at("attrs", x["pos"])),
         "pages": take("page"),
         "bboxes": take("bbox"),
         "normalized_bboxes": take("norm"),
         "offsets": take("offset"),
         "serialized_token_count": F.size("p"),
     }
-    out = docs.select("doc_id", "dataset_name").join(made, "doc_id").join(counts, "doc_id")
-    return out.select(F.col("doc_id").alias("id"), F.col("dataset_name").alias("dataset"), F.lit(strategy).alias("serializer"), "original_token_count", *(c.alias(k) for k, c in columns.items()))
+    more = [c for c in ("doc_key", "metadata") if c in docs.columns]
+    out = docs.select("doc_id", "dataset_name", *more).join(made, "doc_id").join(counts, "doc_id")
+    if labelled is not None:
+        own = F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "label"))), lambda x: x["label"])
+        out = out.join(labelled.groupBy("doc_id").agg(own.alias("own_labels")), "doc_id", "left")
+        columns["original_token_labels"] = F.col("own_labels")
+    return out.select(F.col("doc_id").alias("id"), F.col("dataset_name").alias("dataset"), F.lit(strategy).alias("serializer"), *more, "original_token_count", *(c.alias(k) for k, c in columns.items()))

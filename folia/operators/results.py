@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,5 +32,15 @@ def write_records(records: DataFrame, path: str, by: tuple[str, ...] = ("dataset
     rows.write.mode(mode).partitionBy(*by).option("ignoreNullFields", "false").option("compression", compression).json(path)
 
 
+def timed(frames: dict[str, DataFrame]) -> DataFrame:
+    """(strategy, seconds): how long each takes to be made in full."""
+    seconds = []
+    for name, frame in frames.items():
+        began = time.perf_counter()
+        frame.write.format("noop").mode("overwrite").save()
+        seconds.append((name, time.perf_counter() - began))
+    return next(iter(frames.values())).sparkSession.createDataFrame(seconds, "strategy string, seconds double")
+
+
 def best_first(summary: DataFrame, value: str = "test_non_o_micro_f1_mean") -> DataFrame:
     return summary.orderBy(F.desc_nulls_last(value))

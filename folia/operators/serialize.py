@@ -140,13 +140,18 @@ _MARKS = {"page": ("[PAGE_{}]", None), "line": ("[LINE_{}]", "a"), "column": ("[
 _SIDES = ["x0", "y0", "x1", "y1", "char_start", "text", "page_width"]
 
 
-def _by_page(tokens: DataFrame, work: Callable[[layout.Page], tuple[list[layout.Item], int, int]], marks: dict | None = None) -> DataFrame:
-    """Items of a strategy that works page by page; numbers that run through a document are made so afterwards, by prefix sums."""
+#: Names of a role's number in the attributes of items.
+_ATTRS = {"line": "line_id", "column": "column_id", "xycut_region": "region_id", "field": "pair_id", "key": "pair_id", "value": "pair_id"}
+
+
+def _by_page(tokens: DataFrame, work: Callable[[layout.Page], tuple[list[layout.Item], int, int]], marks: dict | None = None, attrs: bool = False) -> DataFrame:
+    """Items of a strategy that works page by page; numbers that run through a document are made so afterwards, by prefix sums.
+    ``attrs``: with a map of page, number and, of fields, orientation."""
 
     def run(key: tuple, group: dict[str, list]) -> list[tuple]:
         sides = [group[c] for c in _SIDES]
         items, a, b = work(layout.Page(*sides))
-        return [(k, role, number, group["tok_idx"][t] if t >= 0 else None, group["text"][t] if t >= 0 else None, a, b) for k, (role, number, t) in enumerate(items)]
+        return [(k, role, number, group["tok_idx"][t] if t >= 0 else t, group["text"][t] if t >= 0 else None, a, b) for k, (role, number, t) in enumerate(items)]
 
     rows = map_groups(tokens.select("doc_id", "page", "tok_idx", *_SIDES), ["doc_id", "page"], ["tok_idx"], run, "k int, role string, number int, src int, token string, a int, b int")
     by = Window.partitionBy("doc_id").orderBy("page", "k")
@@ -157,37 +162,47 @@ def _by_page(tokens: DataFrame, work: Callable[[layout.Page], tuple[list[layout.
     for role, (template, counter) in (_MARKS | (marks or {})).items():
         number = F.col("page") if role == "page" else F.col("number") + (F.col(f"before_{counter}") if counter else F.lit(0))
         text = F.when(F.col("role") == role, _mark(template, number) if "{}" in template else F.lit(template)).otherwise(text)
-    return rows.select("doc_id", "pos", text.alias("text"), "src", "role")
-
-
-def line_aware(tokens: DataFrame, blocks: DataFrame | None = None, y_threshold: float | None = None) -> DataFrame:
+    if attrs:
+        counter = F.lit(None).cast("string")
+        for role, name in _ATTRS.items():
+            run_on = (_MARKS | (marks or {})).get(role, ("", None))[1] or ("b" if name == "pair_id" else None)
+            number = (F.col("number") + (F.col(f"before_{run_on}") if run_on else F.lit(0))).cast("string")
+            counter = F.when(F.col("role") == role, F.concat(F.lit(f"{name}="), number)).otherwise(counter)
+        side = F.when(F.col("role") == "field", F.when(F.col("src") == layout.BELOW, "orientation=below").otherwise("orientation=right"))
+        entries = F.concat_ws(",", F.when(F.col("role") != OCR, F.concat(F.lit("page="), F.col("page").cast("string"))), counter, side)
+        made = F.when(entries != "", F.str_to_map(entries, F.lit(","), F.lit("="))).otherwise(F.create_map().cast("map<string,string>"))
+        return rows.select("doc_id", "pos", text.alias("text"), F.when(F.col("src") >= 0, F.col("src")).alias("src"), "role", made.alias("attrs"))
+    return rows.select("doc_id", "pos", text.alias("text"), F.when(F.col("src") >= 0, F.col("src")).alias("src"), "role")
+
+
+def line_aware(tokens: DataFrame, blocks: DataFrame | None = None, y_threshold: float | None = None, attrs: bool = False) -> DataFrame:
     """Visual lines from top to bottom, a marker before each, numbered through the document."""
-    return _by_page(tokens, partial(layout.line_items, threshold=y_threshold))
+    return _by_page(tokens, partial(layout.line_items, threshold=y_threshold), attrs=attrs)
 
 
-def column_aware(tokens: DataFrame, blocks: DataFrame | None = None, **options: float) -> DataFrame:
+def column_aware(tokens: DataFrame, blocks: DataFrame | None = None, attrs: bool = False, **options: float) -> DataFrame:
     """Columns from left to right, a marker before each, numbered on each page; lines within them."""
-    return _by_page(tokens, partial(layout.column_items, **options))
+    return _by_page(tokens, partial(layout.column_items, **options), attrs=attrs)
 
 
-def xycut_aware(tokens: DataFrame, blocks: DataFrame | None = None, **options: float) -> DataFrame:
+def xycut_aware(tokens: DataFrame, blocks: DataFrame | None = None, attrs: bool = False, **options: float) -> DataFrame:
     """Regions of a recursive XY-cut, a marker before each, numbered through the document; lines within them."""
-    return _by_page(tokens, partial(layout.region_items, **options))
+    return _by_page(tokens, partial(layout.region_items, **options), attrs=attrs)
 
 
-def precedence_graph_order(tokens: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+def precedence_graph_order(tokens: DataFrame, blocks: DataFrame | None = None, attrs: bool = False) -> DataFrame:
     """Lines in the order of a graph of what lies above or left of what."""
-    return _by_page(tokens, layout.precedence_items, {"line": ("[ORDER_LINE_{}]", "a")})
+    return _by_page(tokens, layout.precedence_items, {"line": ("[ORDER_LINE_{}]", "a")}, attrs)
 
 
-def key_value_row_pairs(tokens: DataFrame, blocks: DataFrame | None = None, **options: float) -> DataFrame:
+def key_value_row_pairs(tokens: DataFrame, blocks: DataFrame | None = None, attrs: bool = False, **options: float) -> DataFrame:
     """Lines with a wide gap as key and value."""
-    return _by_page(tokens, partial(layout.key_row_items, **options))
+    return _by_page(tokens, partial(layout.key_row_items, **options), attrs=attrs)
 
 
-def key_value_anchor_pairs(tokens: DataFrame, blocks: DataFrame | None = None, **options: float) -> DataFrame:
+def key_value_anchor_pairs(tokens: DataFrame, blocks: DataFrame | None = None, attrs: bool = False, **options: float) -> DataFrame:
     """Keys that end with a colon or equals sign, with their value to the right or below."""
-    return _by_page(tokens, partial(layout.key_anchor_items, **options))
+    return _by_page(tokens, partial(layout.key_anchor_items, **options), attrs=attrs)
 
 
 STRATEGIES: dict[str, Strategy] = {

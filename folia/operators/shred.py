@@ -31,6 +31,7 @@ FIELDS = [
     "tokens", "blocks", "pages", "lines", "paragraphs", "ocr_boxes", "doc_offset", "start", "end", "position", "page_num", "page_id",
     "segments", "segment", "bbox", "text", "points", "size", "dimension", "width", "height",
     "left", "bbLeft", "x0", "top", "bbTop", "y0", "right", "bbRight", "x1", "bottom", "bbBot", "y1",
+    "page", "pageNumber", "page_index", "dimensions", "page_width", "page_height", "text_offset", "offset", "bounding_box", "boundingBox", "x", "y",
 ]
 SIDES = [["left", "bbLeft", "x0"], ["top", "bbTop", "y0"], ["right", "bbRight", "x1"], ["bottom", "bbBot", "y1"]]
 _ID = {name: k for k, name in enumerate(FIELDS)}
@@ -397,8 +398,8 @@ def _whole_or(values: np.ndarray, default: np.ndarray | int) -> np.ndarray:
     return np.where(values == np.floor(values), values, default)
 
 
-def _offsets(ix: Index, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    doc = ix.only(ix.get(at, "doc_offset"), OBJECT)
+def _offsets(ix: Index, at: np.ndarray, names: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    doc = ix.only(ix.first_of(at, names or ["doc_offset"]), OBJECT)
     return ix.numbers(ix.get(doc, "start")), ix.numbers(ix.get(doc, "end"))
 
 
@@ -411,15 +412,33 @@ def _unit_entries(ix: Index, units: np.ndarray, field: str) -> Entries:
     return _entries(ix, at, page, *_offsets(ix, at), box)
 
 
-def _form_pages(ix: Index, forms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(page object, its page_no) of form payloads."""
+def _form_pages(ix: Index, forms: np.ndarray, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(page object, its page_no) of form payloads. ``wide``: under any of the names that deliveries use; one that isn't a whole number is passed over."""
     _, at, place = ix.elements(ix.get(forms, "pages"))
     keep = ix.kind[at] == OBJECT
     at, place = at[keep], place[keep]
-    return at, _whole_or(ix.numbers(ix.first_of(at, ["page_id", "page_num"])), place)
-
-
-def _form_entries(ix: Index, pages: np.ndarray, page_no: np.ndarray, fields: list[str]) -> Entries:
+    if not wide:
+        return at, _whole_or(ix.numbers(ix.first_of(at, ["page_id", "page_num"])), place)
+    number = place.astype(np.float64)
+    for name in ("page_index", "pageNumber", "page", "page_num", "page_id"):
+        number = _whole_or(ix.numbers(ix.get(at, name)), number)
+    return at, number
+
+
+def _wide_box(ix: Index, at: np.ndarray) -> np.ndarray:
+    """Boxes under any of their names: a list of four sides, or of five after the page, or an object with sides or with a size."""
+    value = ix.first_of(at, ["bbox", "position", "bounding_box", "boundingBox"])
+    n = ix.count(value)
+    listed = np.stack([np.where(n == 5, ix.numbers(ix.element(value, k + 1)), ix.numbers(ix.element(value, k))) for k in range(4)], axis=1)
+    named = ix.only(value, OBJECT)
+    number = lambda *names: ix.numbers(ix.first_of(named, list(names)))
+    left, top, right, bottom = number("left", "x0", "x"), number("top", "y0", "y"), number("right", "x1"), number("bottom", "y1")
+    right = np.where(np.isnan(right), left + number("width"), right)
+    bottom = np.where(np.isnan(bottom), top + number("height"), bottom)
+    return np.where((named >= 0)[:, None], np.stack([left, top, right, bottom], axis=1), np.where((n >= 4)[:, None], listed, np.nan))
+
+
+def _form_entries(ix: Index, pages: np.ndarray, page_no: np.ndarray, fields: list[str], wide: bool = False) -> Entries:
     parts = []
     for k, field in enumerate(fields):
         owner, at, _ = ix.elements(ix.get(pages, field))
@@ -430,13 +449,12 @@ def _form_entries(ix: Index, pages: np.ndarray, page_no: np.ndarray, fields: lis
     pair = np.where(ix.count(pair) == 2, pair, -1)
     alone = ix.get(at, "segment")
     pair = np.where(pair >= 0, pair, np.where(ix.count(alone) == 2, alone, -1))
-    from_doc = _offsets(ix, at)
+    from_doc = _offsets(ix, at, ["doc_offset", "text_offset", "offset"] if wide else ["doc_offset"])
     start, end = (np.where(pair >= 0, ix.numbers(ix.element(pair, k)), from_doc[k]) for k in (0, 1))
     bbox = ix.get(at, "bbox")
     n = ix.count(bbox)
-    skip = np.where(n == 5, 1, 0)
     sides = [[ix.numbers(ix.element(bbox, k + s)) for s in (0, 1)] for k in range(4)]
-    box = np.stack([np.where((n == 4) | (n == 5), np.where(skip == 1, five, four), np.nan) for four, five in sides], axis=1)
+    box = _wide_box(ix, at) if wide else np.stack([np.where((n == 4) | (n == 5), np.where(n == 5, five, four), np.nan) for four, five in sides], axis=1)
     page = page_no[owner] if len(owner) else np.zeros(0)
     return _entries(ix, at, page, start, end, box, (rank, pages[owner] if len(owner) else owner))
 
@@ -532,7 +550,7 @@ def _join(parts: list[Entries]) -> tuple[Entries, np.ndarray]:
     return Entries(*(f[order] for f in fields)), order
 
 
-def shred_chunk(flat: np.ndarray, offs: np.ndarray, plain: bool = False) -> Shredded:
+def shred_chunk(flat: np.ndarray, offs: np.ndarray, plain: bool = False, wide: bool = False) -> Shredded:
     ix = structural_index(flat, offs, plain)
     root = ix.root[ix.root >= 0]
     lists = root[ix.kind[root] == ARRAY]
@@ -542,23 +560,29 @@ def shred_chunk(flat: np.ndarray, offs: np.ndarray, plain: bool = False) -> Shre
     form = objects[~boxed & ~unit]
     _, inner, _ = ix.elements(lists)
     units = np.concatenate([objects[unit], inner[ix.kind[inner] == OBJECT]])
-    pages, page_no = _form_pages(ix, form)
+    pages, page_no = _form_pages(ix, form, wide)
     boxes = _box_entries(ix, objects[boxed])
-    tokens, order = _join([_unit_entries(ix, units, "tokens"), _form_entries(ix, pages, page_no, ["tokens"]), boxes])
-    blocks, _ = _join([_unit_entries(ix, units, "blocks"), _form_entries(ix, pages, page_no, ["lines", "paragraphs"]), boxes])
+    tokens, order = _join([_unit_entries(ix, units, "tokens"), _form_entries(ix, pages, page_no, ["tokens"], wide), boxes])
+    blocks, _ = _join([_unit_entries(ix, units, "blocks"), _form_entries(ix, pages, page_no, ["lines", "paragraphs"], wide), boxes])
     block_of = _enclosing(tokens, blocks)
     of_box = order >= len(order) - len(boxes.row)
     block_of[of_box] = tokens.number()[of_box]
-    return Shredded(ix, tokens, block_of, blocks, _pages(ix, units, pages, page_no, boxes))
+    return Shredded(ix, tokens, block_of, blocks, _pages(ix, units, pages, page_no, boxes, wide))
 
 
-def _pages(ix: Index, units: np.ndarray, pages: np.ndarray, page_no: np.ndarray, boxes: Entries) -> list[np.ndarray]:
+def _pages(ix: Index, units: np.ndarray, pages: np.ndarray, page_no: np.ndarray, boxes: Entries, wide: bool = False) -> list[np.ndarray]:
     """row, page_no, width and height of the pages that payloads list; a box payload has one page around its boxes."""
     _, at, place = ix.elements(ix.get(units, "pages"))
     keep = ix.kind[at] == OBJECT
     at, place = at[keep], place[keep]
     parts = [(ix.row[at], _whole_or(ix.numbers(ix.get(at, "page_num")), place), *(ix.numbers(ix.get(ix.only(ix.get(at, "size"), OBJECT), d)) for d in ("width", "height")), at)]
-    parts.append((ix.row[pages], page_no, *(ix.numbers(ix.get(ix.only(ix.get(pages, "dimension"), OBJECT), d)) for d in ("width", "height")), pages))
+    size = ix.only(ix.first_of(pages, ["dimension", "dimensions", "size"]) if wide else ix.get(pages, "dimension"), OBJECT)
+    sides = [ix.numbers(ix.get(size, d)) for d in ("width", "height")]
+    if wide:  # a side of 0 is none, the page's own come next
+        for k, d in enumerate(("width", "height")):
+            for own in (d, f"page_{d}"):
+                sides[k] = np.where(np.nan_to_num(sides[k]) != 0, sides[k], ix.numbers(ix.get(pages, own)))
+    parts.append((ix.row[pages], page_no, *sides, pages))
     rows, head = np.unique(boxes.row, return_index=True)
     if len(rows):
         parts.append((rows, np.zeros(len(rows)), *(np.fmax.reduceat(boxes.box[:, k], head) for k in (2, 3)), np.full(len(rows), -1)))
@@ -598,7 +622,7 @@ def _readable(text: str) -> str | None:
     return None
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Shredded]]:
+def _parts(batches: Iterator[pa.RecordBatch], wide: bool = False) -> Iterator[tuple[pa.Array, Shredded]]:
     """(raw_id column, tables) of chunks; odd payloads are made plain JSON and indexed again."""
     for batch in batches:
         ids, texts = batch.columns
@@ -609,14 +633,14 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Shredd
         while lo < len(texts):
             hi = min(len(texts), max(lo + 1, int(np.searchsorted(offs, offs[lo] + CHUNK_BYTES, "right")) - 1))
             part, part_ids = texts.slice(lo, hi - lo), ids.slice(lo, hi - lo)
-            made = shred_chunk(*_payload_bytes(part))
+            made = shred_chunk(*_payload_bytes(part), wide=wide)
             yield part_ids, made
             again = np.flatnonzero(made.index.odd)
             if len(again):
                 fixed = [(k, t) for k in again.tolist() if (t := _readable(part[k].as_py())) is not None]
                 if fixed:
                     rows = pa.array([k for k, _ in fixed])
-                    yield part_ids.take(rows), shred_chunk(*_payload_bytes(pa.array([t for _, t in fixed], pa.string())), plain=True)
+                    yield part_ids.take(rows), shred_chunk(*_payload_bytes(pa.array([t for _, t in fixed], pa.string())), plain=True, wide=wide)
             lo = hi
 
 
@@ -651,11 +675,12 @@ def _schema(exports: DataFrame, rest: str) -> str:
     return f"raw_id {exports.schema['raw_id'].dataType.simpleString()}, {rest}"
 
 
-def token_table(exports: DataFrame) -> DataFrame:
-    """token_links with text, range and box; a box entry has no range. Text is null where it is neither a string nor a number."""
+def token_table(exports: DataFrame, wide: bool = False) -> DataFrame:
+    """token_links with text, range and box; a box entry has no range. Text is null where it is neither a string nor a number.
+    ``wide``: pages, ranges and boxes of form payloads may have any of the names that deliveries use."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, made in _parts(batches):
+        for ids, made in _parts(batches, wide):
             t = made.tokens
             yield _rows(ids, t.row, ["tok_no", "page_no", "block_id", *_ENTRY], [t.number(), t.page, made.block_of, *_entry_columns(made.index, t)])
 
@@ -671,24 +696,42 @@ def _entry_columns(ix: Index, e: Entries) -> list:
     return [ix.strings(at), e.start, e.end, *(e.box[:, k] for k in range(4))]
 
 
-def block_table(exports: DataFrame) -> DataFrame:
+def block_table(exports: DataFrame, wide: bool = False) -> DataFrame:
     """(raw_id, block_id, page_no, text, range, box): a row for each valid block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, made in _parts(batches):
+        for ids, made in _parts(batches, wide):
             b = made.blocks
             yield _rows(ids, b.row, ["block_id", "page_no", *_ENTRY], [b.number(), b.page, *_entry_columns(made.index, b)])
 
     return map_arrow(_payloads(exports), run, _schema(exports, f"block_id bigint, page_no bigint, {_ENTRY_SCHEMA}"))
 
 
-def page_table(exports: DataFrame) -> DataFrame:
+def page_table(exports: DataFrame, wide: bool = False) -> DataFrame:
     """(raw_id, page_no, page_width, page_height, text): a row for each page that a payload lists; sizes and text may be null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, made in _parts(batches):
+        for ids, made in _parts(batches, wide):
             row, no, width, height, node = made.pages
             at = made.index.only(made.index.get(node, "text"), STRING)
             yield _rows(ids, row, ["page_no", "page_width", "page_height", "text"], [no, width, height, made.index.strings(at)])
 
     return map_arrow(_payloads(exports), run, _schema(exports, "page_no bigint, page_width double, page_height double, text string"))
+
+
+def payload_table(exports: DataFrame, wide: bool = False) -> DataFrame:
+    """(raw_id, shape, text, n_pages, n_tokens, n_blocks): a row for each readable payload: unit, form, box or other, its own text if it
+    has one, and how many pages it lists and valid tokens and blocks it holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, made in _parts(batches, wide):
+            ix, n = made.index, len(ids)
+            row = np.flatnonzero(ix.root >= 0)
+            root = ix.root[row]
+            have = lambda name: ix.get(ix.only(root, OBJECT), name) >= 0
+            unit = (ix.kind[root] == ARRAY) | have("tokens") | have("blocks")
+            shape = np.where(have("ocr_boxes"), "box", np.where(unit, "unit", np.where(have("pages"), "form", "other")))
+            counts = [np.bincount(x, minlength=n)[row] for x in (made.pages[0], made.tokens.row, made.blocks.row)]
+            yield _rows(ids, row, ["shape", "text", "n_pages", "n_tokens", "n_blocks"], [pa.array(shape.tolist(), pa.string()), ix.strings(ix.only(ix.get(ix.only(root, OBJECT), "text"), STRING)), *counts])
+
+    return map_arrow(_payloads(exports), run, _schema(exports, "shape string, text string, n_pages bigint, n_tokens bigint, n_blocks bigint"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, types as T
 from pyspark.sql import functions as F
 
 from folia.functions import scalars as S
 from folia.operators.groups import map_tables
 from folia.operators.metrics import repair
+from folia.session import map_arrow
 
 #: Roles whose marker holds for what follows it, in the order in which a window repeats them.
 LASTING = ("page", "block", "column", "xycut_region", "line")
@@ -237,6 +240,34 @@ def examples(windows: DataFrame, items: DataFrame, tokens: DataFrame, hide_layou
     return rows.withColumn("src", F.coalesce("src", F.lit(-1)))
 
 
+def layout_features(made: DataFrame) -> DataFrame:
+    """Examples with what a layout model reads: sides from 0 to 1 (0 where they are masked) and the page as (page + 1) / 256, 0 without one."""
+    sides = {f"f_{s}": F.greatest(F.lit(0), F.least(F.lit(1000), F.col(f"n_{s}"))) / 1000.0 * F.col("box_mask") for s in ("x0", "y0", "x1", "y1")}
+    page = F.when(F.col("page") >= 0, (F.least(F.lit(255), F.col("page")) + 1) / 256.0).otherwise(0.0)
+    return made.withColumns(sides | {"f_page": page})
+
+
+def tokenizer_pieces(items: DataFrame, path: str) -> DataFrame:
+    """Items with ``pieces``: into how many tokens a tokenizer's JSON file cuts each text, one at least. The file goes to all as a
+    broadcast; equal texts of a batch are cut once."""
+    with open(path, "rb") as file:
+        shipped = items.sparkSession.sparkContext.broadcast(file.read())
+    names = items.columns
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tokenizers import Tokenizer
+
+        cut = Tokenizer.from_buffer(shipped.value)
+        for batch in batches:
+            coded = batch.column(at).fill_null("").dictionary_encode()
+            counts = np.array([max(1, len(e.ids)) for e in cut.encode_batch(coded.dictionary.to_pylist(), add_special_tokens=False)], np.int32)
+            pieces = counts[coded.indices.to_numpy(zero_copy_only=False)] if len(counts) else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces)], [*names, "pieces"])
+
+    return map_arrow(items, run, T.StructType([*items.schema.fields, T.StructField("pieces", T.IntegerType())]))
+
+
 def chunk_summary(windows: DataFrame) -> DataFrame:
     """One row: chunks, documents, and the mean and largest number of words of a chunk."""
     words = F.col("word_end") - F.col("word_start")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -10,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, types as T
 from pyspark.sql import functions as F
 
+from folia.operators.records import with_slots
 from folia.session import guard, map_arrow
 
 # Names under which columns may be delivered, in order of preference.
@@ -21,8 +23,9 @@ COLUMNS = {
     "ocr_path": ["ocr", "ocr_path", "ocr_file", "ocr_filename"],
     "image_files": ["image_files", "images", "page_images"],
 }
-# Data sets and their folders.
+# Data sets and their folders; those without one can be loaded but aren't read by default.
 DATASETS = {"fcc_invoices": "fcc_invoices", "ndas": "nda", "charity_reports": "charities"}
+LOADABLE = [*DATASETS, "resource_contracts", "sec_s1"]
 # Label spellings of single data sets that stand for another, besides those of all.
 LABEL_MAPS: dict[str, dict[str, str]] = {}
 
@@ -125,7 +128,7 @@ def json_by_path(rows: DataFrame, path_col: str, root: str) -> DataFrame:
 
 
 RECORD_SCHEMA = (
-    "id string, doc_key string, metadata map<string,string>, original_token_count int, tokens array<string>, labels array<string>, original_token_labels array<string>, loss_mask array<boolean>, "
+    "id string, doc_id string, doc_key string, metadata map<string,string>, original_token_count int, tokens array<string>, labels array<string>, original_token_labels array<string>, loss_mask array<boolean>, "
     "source_token_indices array<int>, layout_roles array<string>, item_attrs array<map<string,string>>, pages array<int>, bboxes array<array<int>>, normalized_bboxes array<array<int>>, "
     "offsets array<array<int>>, serialized_token_count int"
 )
@@ -141,7 +144,7 @@ def folders(spark: SparkSession, root: str) -> list[str]:
 def record_folders(spark: SparkSession, root: str, datasets: list[str] | None = None, strategies: list[str] | None = None) -> list[tuple[str, str, str]]:
     """(data set, strategy, folder) of written records, found by listing: folders ``[dataset=]<name>/[serializer=]<name>``.
     A data set that isn't there fails, a strategy doesn't."""
-    value = lambda name: name.split("=", 1)[-1]
+    value = lambda name: unquote(name.split("=", 1)[-1])
     found = {value(d): d for d in folders(spark, root)}
     if any(d.startswith("serializer=") for d in found.values()):  # written the other way round
         pairs = [(value(d), value(s), f"{root}/{s}/{d}") for s in found.values() for d in folders(spark, f"{root}/{s}")]
@@ -159,7 +162,7 @@ def records(spark: SparkSession, root: str, datasets: list[str] | None = None, s
     line fails the query and tells file and line."""
     found = record_folders(spark, root, datasets, strategies)
     if not found:
-        return spark.createDataFrame([], f"{RECORD_SCHEMA}, dataset string, serializer string")
+        return spark.createDataFrame([], f"{RECORD_SCHEMA}, dataset string, serializer string, source_path string, source_line_number bigint")
     names = spark.createDataFrame(found, "dataset string, serializer string, __folder string")
     lines = json_lines(spark, [f for _, _, f in found])
     read = F.from_json("value", f"{RECORD_SCHEMA}, __broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__broken"}).alias("r")
@@ -168,19 +171,23 @@ def records(spark: SparkSession, root: str, datasets: list[str] | None = None, s
     rows = rows.withColumn("r", F.when(F.col("r.__broken").isNotNull(), F.raise_error(message).cast(rows.schema["r"].dataType)).otherwise(F.col("r")))
     # a file is known by the last two folders that it is in
     last = lambda c, skip: F.array_join(F.slice(F.split(c, "/"), -2 - skip, 2), "/")
-    rows = rows.withColumn("__at", last("path", 1)).join(names.select("dataset", "serializer", last("__folder", 0).alias("__at")), "__at")
-    return rows.select("r.*", "dataset", "serializer").drop("__broken")
+    plain = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    rows = rows.withColumn("__at", last(plain, 1)).join(names.select("dataset", "serializer", last("__folder", 0).alias("__at")), "__at")
+    return rows.select("r.*", "dataset", "serializer", F.col("path").alias("source_path"), F.col("line_no").alias("source_line_number")).drop("__broken")
 
 
 def items_of(rows: DataFrame) -> DataFrame:
     """Written records as items again: (doc_id, strategy, pos, text, src, role, label); label null for layout items.
 
     Records of older form may lack sources or roles, or have others than items: then items with a label are tokens, numbered in
-    order, and the others layout. As many labels as tokens are needed, else the query fails.
+    order, and the others layout. As many labels as tokens are needed, else the query fails. Of several records of one key, those after
+    the first have their number at its end.
     """
+    rows = with_slots(rows)
+    rows = rows.withColumn("doc_key", F.when(F.col("occurrence") == 0, F.col("doc_key")).otherwise(F.concat("doc_key", F.lit("#"), "occurrence")))
     n = F.size("tokens")
     missing = lambda x: x.isNull() | (x == "-100")
-    short = F.when(F.coalesce(F.size("labels"), n) != n, F.raise_error(F.concat(F.lit("record has other numbers of tokens and labels: "), F.coalesce("doc_key", "id", F.lit("?")))))
+    short = F.when(F.coalesce(F.size("labels"), n) != n, F.raise_error(F.concat(F.lit("record has other numbers of tokens and labels: "), F.col("doc_key"))))
     real = F.transform("labels", lambda x: F.when(missing(x), 0).otherwise(1))
     counted = F.transform(F.sequence(F.lit(1), n), lambda k: F.when(F.element_at(real, k) == 1, F.aggregate(F.slice(real, F.lit(1), k), F.lit(-1), lambda a, b: a + b)))
     known = lambda c: F.coalesce(F.size(c) == n, F.lit(False))
@@ -188,7 +195,7 @@ def items_of(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("source_token_indices", sources).withColumn("labels", F.when(F.lit(True) & short.isNull(), F.col("labels")))
     columns = {"tokens": "text", "source_token_indices": "src", "layout_roles": "role", "labels": "label"}
     zipped = F.arrays_zip(*(F.coalesce(c, F.array()).alias(c) for c in columns))
-    each = rows.select(F.coalesce("doc_key", "id").alias("doc_id"), F.col("serializer").alias("strategy"), known("layout_roles").alias("roles"), F.posexplode(zipped).alias("pos", "i"))
+    each = rows.select(F.col("doc_key").alias("doc_id"), F.col("serializer").alias("strategy"), known("layout_roles").alias("roles"), F.posexplode(zipped).alias("pos", "i"))
     src = F.col("i.source_token_indices")
     role = F.coalesce(F.when(F.col("roles"), F.nullif(F.col("i.layout_roles"), F.lit(""))), F.when(src.isNull(), "layout").otherwise("ocr_token"))
     label = F.when(~missing(F.col("i.labels")), F.col("i.labels"))
