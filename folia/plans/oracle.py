@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from folia.plans import layout_sql
 from folia.functions.scalars import DATE_PARTS, LABEL_ALIASES, MONEY_PARTS
 from folia.plans.adapters import LABELS
 
@@ -139,17 +140,17 @@ _NEEDS = {
 
 def with_parts(body: str, *needed: str) -> str:
     """A statement with all parts that it needs before it."""
-    parts, order = _cte(), []
+    parts, order = _cte() | layout_sql.parts(), []
 
     def add(part: str) -> None:
-        for p in _NEEDS.get(part, []):
+        for p in (_NEEDS | layout_sql.NEEDS).get(part, []):
             add(p)
         if part not in order:
             order.append(part)
 
     for part in needed:
         add(part)
-    return "with " + ", ".join(f"{p} as ({parts[p]})" for p in order) + " " + body
+    return "with recursive " + ", ".join(f"{p} as ({parts[p]})" if f"from {p} " in parts[p] or f"from {p}r " in parts[p] else f"{p} as materialized ({parts[p]})" for p in order) + " " + body
 
 
 def _items(before: list[tuple[str, str, str]], after: list[tuple[str, str, str]], source: str) -> tuple[str, ...]:
@@ -269,6 +270,8 @@ def statements() -> dict[str, str]:
     p["missing_tokens"] = w("select count(*) as n_missing from tok t where not exists (select 1 from prd p where p.doc_id = t.doc_id and p.src = t.tok_idx and (p.doc_id * 3 + p.src) % 10 <> 0)", "prd")
     p["fold_statistics"] = "select strategy, model_name, round(avg(v), 6) as value_mean, round(stddev_samp(v), 6) as value_std, round(avg(mean_subtokens), 6) as mean_subtokens_mean, round(stddev_samp(mean_subtokens), 6) as mean_subtokens_std, count(*) as n_folds_completed from (select *, n_tokenized_chunks / n_docs as v from tokenization_summary) group by 1, 2"
     p["upserted"] = "select dataset_name, strategy, model_name, n_docs, created_at from (select *, row_number() over (partition by dataset_name, strategy, model_name order by n_docs % 2 desc, n_docs desc nulls last, created_at desc nulls last) as rn from (select lower(trim(dataset_name)) as dataset_name, strategy, model_name, n_docs, created_at from tokenization_summary)) where rn = 1"
+    for made, (body, needed) in layout_sql.statements().items():
+        p[made] = w(body, *needed)
     p["dead_letters"] = "select rec_id, error from (select rec_id, concat_ws(',', case when text is null then 'no_text' end, case when dataset_name is null then 'no_dataset' end, case when ingested_at > scanned_at + interval 30 days then 'late' end) as error from canon_docs) where error <> ''"
     p["export_labels"] = f"with {_LABELS} select doc_id, ann_idx::int as ann_idx, label, raw_label, char_start, char_end, text from spans"
     p["export_label_report"] = f"with {_LABELS} select raw_label, label, case when {squash('raw_label')} = label then 'kept' else 'remapped' end as status, count(*) as n from spans group by 1, 2, 3"
