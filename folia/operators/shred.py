@@ -720,13 +720,13 @@ def page_table(exports: DataFrame, wide: bool = False) -> DataFrame:
 
 
 def payload_table(exports: DataFrame, wide: bool = False) -> DataFrame:
-    """(raw_id, shape, text, n_pages, n_tokens, n_blocks): a row for each readable payload: unit, form, box or other, its own text if it
+    """(raw_id, shape, text, n_pages, n_tokens, n_blocks): a row for each readable payload, object or list: unit, form, box or other, its own text if it
     has one, and how many pages it lists and valid tokens and blocks it holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, made in _parts(batches, wide):
             ix, n = made.index, len(ids)
-            row = np.flatnonzero(ix.root >= 0)
+            row = np.flatnonzero((ix.root >= 0) & np.isin(ix.kind[ix.root], (OBJECT, ARRAY))) if len(ix.kind) else np.zeros(0, np.int64)
             root = ix.root[row]
             have = lambda name: ix.get(ix.only(root, OBJECT), name) >= 0
             unit = (ix.kind[root] == ARRAY) | have("tokens") | have("blocks")

@@ -510,6 +510,12 @@ def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
     return shred.block_table(table(spark, d, "raw_exports"))
 
 
+@query
+def p3_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """What each payload is and holds."""
+    return shred.payload_table(table(spark, d, "raw_exports"))
+
+
 @query
 def p3_pages(spark: SparkSession, d: str) -> DataFrame:
     return shred.page_table(table(spark, d, "raw_exports"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folia.plans import layout_sql
+from folia.plans import layout_sql, payload_sql
 from folia.functions.scalars import DATE_PARTS, LABEL_ALIASES, MONEY_PARTS
 from folia.plans.adapters import LABELS
 
@@ -138,12 +138,13 @@ _NEEDS = {
 }
 
 
-def with_parts(body: str, *needed: str) -> str:
-    """A statement with all parts that it needs before it."""
-    parts, order = _cte() | layout_sql.parts(), []
+def with_parts(body: str, *needed: str, other: dict[str, tuple[str, list[str]]] | None = None) -> str:
+    """A statement with all parts that it needs before it; ``other`` parts, with what they need, stand for those of the same name."""
+    other = other or {}
+    parts, order = _cte() | layout_sql.parts() | payload_sql.parts() | {k: v for k, (v, _) in other.items()}, []
 
     def add(part: str) -> None:
-        for p in (_NEEDS | layout_sql.NEEDS).get(part, []):
+        for p in (_NEEDS | layout_sql.NEEDS | payload_sql.NEEDS | {k: v for k, (_, v) in other.items()}).get(part, []):
             add(p)
         if part not in order:
             order.append(part)
@@ -163,8 +164,9 @@ def _items(before: list[tuple[str, str, str]], after: list[tuple[str, str, str]]
 
 
 #: Labels of exports as rows; the Python literals of this table are JSON but for their quotes.
-_LABELS = f"""item as (select raw_id, unnest(from_json(case when contains(labels, '{{' || chr(39)) then replace(labels, chr(39), '"') else labels end, '[{{"label":"VARCHAR","start":"BIGINT","end":"BIGINT","text":"VARCHAR"}}]')) as i from raw_exports where labels is not null and labels <> ''),
-    spans as (select raw_id as doc_id, row_number() over (partition by raw_id order by i.start, i."end", trim(i.label)) - 1 as ann_idx, {name("trim(i.label)")} as label, trim(i.label) as raw_label, i.start as char_start, i."end" as char_end, coalesce(i.text, '') as text from item)"""
+_ITEM = """select raw_id, unnest(from_json(case when contains(labels, '{' || chr(39)) then replace(labels, chr(39), '"') else labels end, '[{"label":"VARCHAR","start":"BIGINT","end":"BIGINT","text":"VARCHAR"}]')) as i from raw_exports where labels is not null and labels <> ''"""
+_SPANS = f"""select raw_id as doc_id, row_number() over (partition by raw_id order by i.start, i."end", trim(i.label)) - 1 as ann_idx, {name("trim(i.label)")} as label, trim(i.label) as raw_label, i.start as char_start, i."end" as char_end, coalesce(i.text, '') as text from item"""
+_LABELS = f"item as ({_ITEM}), spans as ({_SPANS})"
 
 
 def statements() -> dict[str, str]:
@@ -270,15 +272,17 @@ def statements() -> dict[str, str]:
     p["missing_tokens"] = w("select count(*) as n_missing from tok t where not exists (select 1 from prd p where p.doc_id = t.doc_id and p.src = t.tok_idx and (p.doc_id * 3 + p.src) % 10 <> 0)", "prd")
     p["fold_statistics"] = "select strategy, model_name, round(avg(v), 6) as value_mean, round(stddev_samp(v), 6) as value_std, round(avg(mean_subtokens), 6) as mean_subtokens_mean, round(stddev_samp(mean_subtokens), 6) as mean_subtokens_std, count(*) as n_folds_completed from (select *, n_tokenized_chunks / n_docs as v from tokenization_summary) group by 1, 2"
     p["upserted"] = "select dataset_name, strategy, model_name, n_docs, created_at from (select *, row_number() over (partition by dataset_name, strategy, model_name order by n_docs % 2 desc, n_docs desc nulls last, created_at desc nulls last) as rn from (select lower(trim(dataset_name)) as dataset_name, strategy, model_name, n_docs, created_at from tokenization_summary)) where rn = 1"
-    for made, (body, needed) in layout_sql.statements().items():
+    for made, (body, needed) in (layout_sql.statements() | payload_sql.statements()).items():
         p[made] = w(body, *needed)
     p["dead_letters"] = "select rec_id, error from (select rec_id, concat_ws(',', case when text is null then 'no_text' end, case when dataset_name is null then 'no_dataset' end, case when ingested_at > scanned_at + interval 30 days then 'late' end) as error from canon_docs) where error <> ''"
     p["export_labels"] = f"with {_LABELS} select doc_id, ann_idx::int as ann_idx, label, raw_label, char_start, char_end, text from spans"
     p["export_label_report"] = f"with {_LABELS} select raw_label, label, case when {squash('raw_label')} = label then 'kept' else 'remapped' end as status, count(*) as n from spans group by 1, 2, 3"
+    exported = {"item": (_ITEM, []), "ann": (_SPANS, ["item", "tok"]), "tok": ("select raw_id as doc_id, tok_no as tok_idx, coalesce(text, '') as text, char_start, char_end, page_no as page, x0, y0, x1, y1 from ptoks", ["ptoks"])}
+    p["export_alignment"] = w(f"select label, count(*) as n, {rates} from ck group by 1", "ck", other=exported)
     p["found_entities"] = r"""with word as (select rec_id, text, regexp_extract(text, '^\S+\s+(\S+\s+\S+)', 1) as v from canon_docs where text is not null),
         val as (select rec_id, text, unnest(['words', 'spaced', 'none', 'empty']) as raw_label, unnest([v, regexp_replace(v, '\s+', '   ', 'g'), 'no such value here', '']) as raw_value from word),
         pat as (select *, regexp_extract(text, array_to_string(list_transform(list_filter(string_split_regex(raw_value, '\s+'), lambda x: x <> ''), lambda x: regexp_escape(x)), '\s+')) as found from val),
         hit as (select *, case when raw_value = '' then 'empty_value' when strpos(text, raw_value) > 0 then 'exact' when found <> '' then 'whitespace_normalized' else 'not_found' end as match_status from pat),
         put as (select *, (case match_status when 'exact' then strpos(text, raw_value) - 1 when 'whitespace_normalized' then strpos(text, found) - 1 end)::int as char_start from hit)
-        select rec_id as doc_id, raw_label, raw_value, char_start, (char_start + length(case match_status when 'exact' then raw_value else found end))::int as char_end, match_status, coalesce(case match_status when 'exact' then raw_value when 'whitespace_normalized' then found end, raw_value) as text from put"""
+        select rec_id as doc_id, upper(raw_label[1]) || raw_label[2:] as label, raw_label, raw_value, char_start, (char_start + length(case match_status when 'exact' then raw_value else found end))::int as char_end, match_status, coalesce(case match_status when 'exact' then raw_value when 'whitespace_normalized' then found end, raw_value) as text from put"""
     return p
