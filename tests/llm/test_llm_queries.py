@@ -20,6 +20,6 @@ def test_query(spark, data, name):
     assert sorted(map(tuple, made.select(*columns).collect()), key=str) == sorted(want.fetchall(), key=str)
 
 
-@pytest.mark.parametrize("name", ["p5_budget", "p5_beside_summary", "p7_items", "p8_text"])
+@pytest.mark.parametrize("name", ["p5_subtokens", "p5_budget", "p5_beside_summary", "p6_ids"])
 def test_query_without_statement(spark, data, name):
     assert queries.queries()[name](spark, data).count() > 0
