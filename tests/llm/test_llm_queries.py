@@ -3,9 +3,9 @@ import os
 import duckdb
 import pytest
 
-from folia.llm import queries
+from folia.llm import bpe_sql, queries
 
-SQL = queries.oracle_sql()
+SQL = queries.oracle_sql() | {"p6_ids": bpe_sql.ids()}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -20,6 +20,5 @@ def test_query(spark, data, name):
     assert sorted(map(tuple, made.select(*columns).collect()), key=str) == sorted(want.fetchall(), key=str)
 
 
-@pytest.mark.parametrize("name", ["p5_subtokens", "p5_budget", "p5_beside_summary", "p6_ids"])
-def test_query_without_statement(spark, data, name):
-    assert queries.queries()[name](spark, data).count() > 0
+def test_every_query_has_its_statement():
+    assert set(SQL) == set(queries.queries())
