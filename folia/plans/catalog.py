@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -333,9 +334,10 @@ def _several(toks: DataFrame, names: tuple[str, ...]) -> DataFrame:
 
 @query
 def common_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Of a strategy that takes tokens with a page size and one that takes tokens of blocks, the documents that both have."""
     toks = adapters.tokens(spark, d)
-    few = serialize.page_aware(toks.where("doc_id % 3 <> 0")).withColumn("strategy", F.lit("page_aware"))
-    both = few.unionByName(serialize.plain_text(toks.where("doc_id % 5 <> 0")).withColumn("strategy", F.lit("plain_text")))
+    sized = serialize.page_aware(toks.where("page_width is not null")).withColumn("strategy", F.lit("page_aware"))
+    both = sized.unionByName(serialize.plain_text(toks.where("block_id is not null")).withColumn("strategy", F.lit("plain_text")))
     return windows.common_documents(both).groupBy("strategy", "doc_id").agg(F.count("*").alias("n"))
 
 
@@ -350,8 +352,12 @@ def word_windows(spark: SparkSession, d: str) -> DataFrame:
     return windows.word_windows(records.relabel(serialize.page_aware(toks), labelled), 64, 16)
 
 
+#: Strategies whose windows are to be the same: a choice of the experiment, of which any number may be given.
+FAIR = ("plain_text", "page_aware", "rowcol_bucket", "line_aware")
+
+
 def _fair(toks: DataFrame, labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
-    items = windows.training_text(_several(toks, ("plain_text", "page_aware", "rowcol_bucket", "line_aware")))
+    items = windows.training_text(_several(toks, FAIR))
     items = items.withColumn("pieces", windows.piece_count(F.col("text")))
     return items, windows.fair_windows(items, labelled, 512, piece_stride=32)
 
@@ -365,8 +371,8 @@ def fair_windows(spark: SparkSession, d: str) -> DataFrame:
 def window_examples(spark: SparkSession, d: str) -> DataFrame:
     toks, labelled = _both(spark, d)
     items, made = _fair(toks, labelled)
-    parts = [records.relabel(items.where(F.col("strategy") == s).drop("strategy", "pieces"), labelled).withColumn("strategy", F.lit(s)) for s in ("plain_text", "page_aware")]
-    rows = windows.examples(made.where(F.col("strategy").isin("plain_text", "page_aware")), parts[0].unionByName(parts[1]), toks)
+    parts = [records.relabel(items.where(F.col("strategy") == s).drop("strategy", "pieces"), labelled).withColumn("strategy", F.lit(s)) for s in FAIR]
+    rows = windows.examples(made, reduce(DataFrame.unionByName, parts), toks)
     return rows.groupBy("doc_id", "strategy", "chunk_index").agg(F.count("*").alias("n"), F.count("label").alias("n_labelled"), F.sum("box_mask").alias("n_boxes"), F.sum("page").alias("pages"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folia.plans import layout_sql, payload_sql
+from folia.plans import layout_sql, payload_sql, window_sql
 from folia.functions.scalars import DATE_PARTS, LABEL_ALIASES, MONEY_PARTS
 from folia.plans.adapters import LABELS
 
@@ -141,10 +141,10 @@ _NEEDS = {
 def with_parts(body: str, *needed: str, other: dict[str, tuple[str, list[str]]] | None = None) -> str:
     """A statement with all parts that it needs before it; ``other`` parts, with what they need, stand for those of the same name."""
     other = other or {}
-    parts, order = _cte() | layout_sql.parts() | payload_sql.parts() | {k: v for k, (v, _) in other.items()}, []
+    parts, order = _cte() | layout_sql.parts() | payload_sql.parts() | window_sql.parts() | {k: v for k, (v, _) in other.items()}, []
 
     def add(part: str) -> None:
-        for p in (_NEEDS | layout_sql.NEEDS | payload_sql.NEEDS | {k: v for k, (_, v) in other.items()}).get(part, []):
+        for p in (_NEEDS | layout_sql.NEEDS | payload_sql.NEEDS | window_sql.NEEDS | {k: v for k, (_, v) in other.items()}).get(part, []):
             add(p)
         if part not in order:
             order.append(part)
@@ -248,7 +248,7 @@ def statements() -> dict[str, str]:
     p["item_problems"] = w("select doc_id, problem, count(*) as n from (select doc_id, 'missing' as problem from tok where (doc_id + tok_idx) % 11 = 0 union all select doc_id, 'repeated' from tok where (doc_id + tok_idx) % 11 <> 0 and (doc_id + tok_idx) % 13 = 0 union all select doc_id, 'labelled layout' from pg where fresh and doc_id % 5 = 0 union all select doc_id, 'no label' from (select doc_id, unnest(case when (doc_id + tok_idx) % 13 = 0 then [1, 2] else [1] end) from tok where (doc_id + tok_idx) % 11 <> 0 and (doc_id + tok_idx) % 17 = 0)) group by 1, 2", "pg")
     p["assembled"] = w("select i.doc_id as id, dataset_name as dataset, 'page_aware' as serializer, count(src) as original_token_count, count(*)::int as serialized_token_count, string_agg(text, ' ' order by pos) as tokens, string_agg(coalesce(label, '-100'), ' ' order by pos) as labels, string_agg(coalesce(src::varchar, '-'), ' ' order by pos) as sources, string_agg(page::varchar, ' ' order by pos) as pages from (select pgl.*, coalesce(t.page, lead(t.page) over (partition by pgl.doc_id order by pos)) as page from pgl left join tok t on pgl.doc_id = t.doc_id and pgl.src = t.tok_idx) i join doc d on i.doc_id = d.doc_id group by 1, 2", "pgl", "doc")
 
-    p["common_documents"] = w("select strategy, doc_id, n::bigint as n from (select 'page_aware' as strategy, doc_id, count(*) + sum(fresh::int) as n from bk group by 1, 2 union all select 'plain_text', doc_id, count(*) from bk group by 1, 2) where doc_id % 3 <> 0 and doc_id % 5 <> 0", "bk")
+    p["common_documents"] = w("select strategy, doc_id, n::bigint as n from (select 'page_aware' as strategy, doc_id, count(*) + sum(fresh::int) as n from bk where page_width is not null group by 1, 2 union all select 'plain_text', doc_id, count(*) from bk where block_id is not null group by 1, 2) where doc_id in (select doc_id from bk where page_width is not null) and doc_id in (select doc_id from bk where block_id is not null)", "bk")
     p["training_text"] = w("select doc_id, pos::int as pos, case when src is null then '[LAYOUT_PAGE] ' || text when trim(text) = '' then '<EMPTY_OCR>' else text end as text from pgl", "pgl")
     p["word_windows"] = w("select doc_id, c::int as chunk_index, (c * 48)::int as word_start, least(n, c * 48 + 64)::int as word_end, (select count(label) from pgl l where l.doc_id = x.doc_id and l.pos >= x.c * 48 and l.pos < x.c * 48 + 64) as n_labelled from (select doc_id, n, unnest(generate_series(0, greatest(0, ceil((n - 64) / 48)::int))) as c from (select doc_id, count(*) as n from pgl group by 1)) x", "pgl")
 
@@ -272,7 +272,7 @@ def statements() -> dict[str, str]:
     p["missing_tokens"] = w("select count(*) as n_missing from tok t where not exists (select 1 from prd p where p.doc_id = t.doc_id and p.src = t.tok_idx and (p.doc_id * 3 + p.src) % 10 <> 0)", "prd")
     p["fold_statistics"] = "select strategy, model_name, round(avg(v), 6) as value_mean, round(stddev_samp(v), 6) as value_std, round(avg(mean_subtokens), 6) as mean_subtokens_mean, round(stddev_samp(mean_subtokens), 6) as mean_subtokens_std, count(*) as n_folds_completed from (select *, n_tokenized_chunks / n_docs as v from tokenization_summary) group by 1, 2"
     p["upserted"] = "select dataset_name, strategy, model_name, n_docs, created_at from (select *, row_number() over (partition by dataset_name, strategy, model_name order by n_docs % 2 desc, n_docs desc nulls last, created_at desc nulls last) as rn from (select lower(trim(dataset_name)) as dataset_name, strategy, model_name, n_docs, created_at from tokenization_summary)) where rn = 1"
-    for made, (body, needed) in (layout_sql.statements() | payload_sql.statements()).items():
+    for made, (body, needed) in (layout_sql.statements() | payload_sql.statements() | window_sql.statements()).items():
         p[made] = w(body, *needed)
     p["dead_letters"] = "select rec_id, error from (select rec_id, concat_ws(',', case when text is null then 'no_text' end, case when dataset_name is null then 'no_dataset' end, case when ingested_at > scanned_at + interval 30 days then 'late' end) as error from canon_docs) where error <> ''"
     p["export_labels"] = f"with {_LABELS} select doc_id, ann_idx::int as ann_idx, label, raw_label, char_start, char_end, text from spans"
