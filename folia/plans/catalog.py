@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folia.functions import scalars as S
 from folia.operators import align, documents, lineitems, metrics, quality, records, results, serialize, shred, splits, windows
-from folia.plans import adapters, oracle
+from folia.plans import adapters, delivered, oracle
 from folia.session import table
 from folia.sources import annotations as sources
 
@@ -528,11 +528,11 @@ def p3_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | delivered.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in oracle.statements().items() if k in QUERIES}
+    return {k: v for k, v in oracle.statements().items() if k in queries()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folia.plans import layout_sql, payload_sql, window_sql
+from folia.plans import delivered_sql, layout_sql, payload_sql, window_sql
 from folia.functions.scalars import DATE_PARTS, LABEL_ALIASES, MONEY_PARTS
 from folia.plans.adapters import LABELS
 
@@ -141,10 +141,10 @@ _NEEDS = {
 def with_parts(body: str, *needed: str, other: dict[str, tuple[str, list[str]]] | None = None) -> str:
     """A statement with all parts that it needs before it; ``other`` parts, with what they need, stand for those of the same name."""
     other = other or {}
-    parts, order = _cte() | layout_sql.parts() | payload_sql.parts() | window_sql.parts() | {k: v for k, (v, _) in other.items()}, []
+    parts, order = _cte() | layout_sql.parts() | payload_sql.parts() | window_sql.parts() | delivered_sql.parts() | {k: v for k, (v, _) in other.items()}, []
 
     def add(part: str) -> None:
-        for p in (_NEEDS | layout_sql.NEEDS | payload_sql.NEEDS | window_sql.NEEDS | {k: v for k, (_, v) in other.items()}).get(part, []):
+        for p in (_NEEDS | layout_sql.NEEDS | payload_sql.NEEDS | window_sql.NEEDS | delivered_sql.NEEDS | {k: v for k, (_, v) in other.items()}).get(part, []):
             add(p)
         if part not in order:
             order.append(part)
@@ -277,6 +277,9 @@ def statements() -> dict[str, str]:
     p["dead_letters"] = "select rec_id, error from (select rec_id, concat_ws(',', case when text is null then 'no_text' end, case when dataset_name is null then 'no_dataset' end, case when ingested_at > scanned_at + interval 30 days then 'late' end) as error from canon_docs) where error <> ''"
     p["export_labels"] = f"with {_LABELS} select doc_id, ann_idx::int as ann_idx, label, raw_label, char_start, char_end, text from spans"
     p["export_label_report"] = f"with {_LABELS} select raw_label, label, case when {squash('raw_label')} = label then 'kept' else 'remapped' end as status, count(*) as n from spans group by 1, 2, 3"
+    spans = {"item": (_ITEM, []), "spans": (_SPANS, ["item"])}
+    for made, (body, needed) in delivered_sql.statements(key, squash, money, extracted, plain).items():
+        p[made] = w(body, *needed, other=spans)
     exported = {"item": (_ITEM, []), "ann": (_SPANS, ["item", "tok"]), "tok": ("select raw_id as doc_id, tok_no as tok_idx, coalesce(text, '') as text, char_start, char_end, page_no as page, x0, y0, x1, y1 from ptoks", ["ptoks"])}
     p["export_alignment"] = w(f"select label, count(*) as n, {rates} from ck group by 1", "ck", other=exported)
     p["found_entities"] = r"""with word as (select rec_id, text, regexp_extract(text, '^\S+\s+(\S+\s+\S+)', 1) as v from canon_docs where text is not null),

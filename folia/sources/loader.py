@@ -91,7 +91,8 @@ def entity_documents(exports: DataFrame, entities: DataFrame) -> Documents:
 def box_documents(exports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(docs, tokens) of box payloads: boxes in order of top and left, their texts as the lines of one text with running offsets;
     each box is a token and a block. Sides are rounded half to even; the page ends where the boxes do."""
-    boxes = shred.token_table(exports).where("tok_no = block_id and char_start = 0 and char_end = 0")
+    shaped = shred.payload_table(exports).where("shape = 'box'").select("raw_id")
+    boxes = shred.token_table(exports).join(shaped, "raw_id", "left_semi")
     boxes = boxes.select(F.col("raw_id").alias("doc_id"), F.col("tok_no").alias("box_no"), F.trim("text").alias("text"), *(F.rint(s).cast("int").alias(s) for s in ("x0", "y0", "x1", "y1")))
     rows = documents.with_running_offsets(boxes)
     by = Window.partitionBy("doc_id")

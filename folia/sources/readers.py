@@ -112,7 +112,7 @@ def json_by_path(rows: DataFrame, path_col: str, root: str) -> DataFrame:
     base = root.rstrip("/")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, folder = fs.FileSystem.from_uri(base if "://" in base else f"file://{base}")
+        system, folder = fs.FileSystem.from_uri(base if ":/" in base else f"file://{base}")
         for batch in batches:
             out = []
             for name in batch.column(at).to_pylist():
@@ -127,6 +127,23 @@ def json_by_path(rows: DataFrame, path_col: str, root: str) -> DataFrame:
     return map_arrow(rows, run, T.StructType([*rows.schema.fields, T.StructField("payload", T.StringType())]))
 
 
+def write_texts(rows: DataFrame, root: str) -> int:
+    """Write rows (path, content) as files below ``root``, gzipped where the path ends in .gz; each task writes its own. The number of files."""
+    base = root.rstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = fs.FileSystem.from_uri(base if ":/" in base else f"file://{base}")
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                full = f"{folder}/{name}"
+                system.create_dir(full.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(full, compression="gzip" if name.endswith(".gz") else None) as file:
+                    file.write((content or "").encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["path"])
+
+    return map_arrow(rows.select("path", "content"), run, "path string").count()
+
+
 RECORD_SCHEMA = (
     "id string, doc_id string, doc_key string, metadata map<string,string>, original_token_count int, tokens array<string>, labels array<string>, original_token_labels array<string>, loss_mask array<boolean>, "
     "source_token_indices array<int>, layout_roles array<string>, item_attrs array<map<string,string>>, pages array<int>, bboxes array<array<int>>, normalized_bboxes array<array<int>>, "
