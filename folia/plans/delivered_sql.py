@@ -78,7 +78,7 @@ def statements(key: Callable, squash: Callable, money: Callable, extracted: Call
         ),
         "best_labels": (f"select doc_id, tok_idx, case when p >= q and p >= r then 'O' when q >= r then 'B-a' else 'I-a' end as label, round(-0.75::double * pow(1 - x, 2) * ln(x), 6) as loss from (select *, (p * 100 + 1) / 102 as x from (select doc_id, tok_idx, {score(7, 13)} as p, {score(11, 5)} as q, {score(3, 29)} as r from tok))", ["tok"]),
         "item_label_ids": (
-            f"""select doc_id, pos, coalesce(id, -100)::int as label_id from pgl left join (select row_number() over (order by k, p) - 1 as id, bio from (select 'O' as bio, '' as k, '' as p union all select p || '-' || k, k, p from (select distinct {key('label')} as k from ann), (values ('B'), ('I')) v(p))) m on pgl.label = m.bio""",
+            f"""select doc_id, pos::int as pos, coalesce(id, -100)::int as label_id from pgl left join (select row_number() over (order by k, p) - 1 as id, bio from (select 'O' as bio, '' as k, '' as p union all select p || '-' || k, k, p from (select distinct {key('label')} as k from ann), (values ('B'), ('I')) v(p))) m on pgl.label = m.bio""",
             ["pgl", "ann"],
         ),
         "positions": ("select doc_id, sum(least(n, 127 - base))::bigint as n, max(least(base + n, 127) - 1)::int as last, count(label) as n_labelled, count(src) as n_first from piece where base < 127 group by 1", ["piece"]),
