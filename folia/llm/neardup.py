@@ -85,24 +85,27 @@ def compare(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
 
 def _number_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, rep) -> (key, rep, run) without rows that are alone with their key. One row is carried from batch to batch."""
-    key, rep, no = (np.zeros(0, np.int64) for _ in range(3))
-    names = ["key", "rep", "run"]
+    """Sorted (key, n, rep) -> (key, n, rep, run) without rows that are alone with their key. One row is carried from batch to batch."""
+    carried: list[np.ndarray] = [np.zeros(0, np.int64)] * 4  # key, n, rep and the row's number within its key
+
+    def rows(columns: list[np.ndarray], no: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array((no // RUN).astype(np.int32))], ["key", "n", "rep", "run"])
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, rep = (np.append(x, batch.column(k).to_numpy(zero_copy_only=False)) for k, x in enumerate((key, rep)))
+        columns = [np.append(x, c.to_numpy(zero_copy_only=False)) for x, c in zip(carried, batch.columns, strict=False)]
+        key = columns[0]
         place = np.arange(len(key))
-        begins = np.ones(len(key), bool)
-        begins[1:] = key[1:] != key[:-1]
-        before = no[0] if len(no) else 0
+        begins = np.append(True, key[1:] != key[:-1])
         no = place - np.maximum.accumulate(np.where(begins, place, 0))
-        no[np.cumsum(begins) == 1] += before
+        if len(carried[3]):
+            no[np.cumsum(begins) == 1] += carried[3][0]
         out = np.flatnonzero((no[:-1] > 0) | ~begins[1:])
-        yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(rep[out]), pa.array((no[out] // RUN).astype(np.int32))], names)
-        key, rep, no = key[-1:], rep[-1:], no[-1:]
-    if len(no) and no[0] > 0:
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rep), pa.array((no // RUN).astype(np.int32))], names)
+        yield rows([c[out] for c in columns], no[out])
+        carried = [c[-1:] for c in (*columns, no)]
+    if len(carried[3]) and carried[3][0] > 0:
+        yield rows(carried[:3], carried[3])
 
 
 class NearDuplicates:
@@ -127,24 +130,27 @@ class NearDuplicates:
     def candidates(self) -> DataFrame:
         """(a, b), a < b: classes that share a table key.
 
-        The rows of a key are sorted once; rows alone with their key, which most are, end there. The others are cut into
-        runs of ``RUN`` rows, and each pair of runs is a key of its own for pairing: what a hot key has is spread over
-        as many tasks as it has pairs of runs, and no task pairs more than two runs.
+        The rows of a key are sorted once, by the size of their sets; rows alone with their key, which most are, end there. The
+        others are cut into runs of ``RUN`` rows, and each pair of runs is a key of its own for pairing: what a hot key has is
+        spread over as many tasks as it has pairs of runs, and no task pairs more than two runs. Sets of which the
+        smaller has less than ``threshold`` of the other's size can't be similar enough and aren't paired.
         """
         first = [i for i in range(self.collections) for _ in range(i + 1, self.collections)]
         other = [j for i in range(self.collections) for j in range(i + 1, self.collections)]
         at = lambda places, t: F.element_at(F.array(*map(F.lit, places)), t)
         # the table's number above 41 bits of hash: zero bytes above them cost nothing in a shuffle
         key = lambda t: F.shiftleft(t.cast("bigint"), 41).bitwiseOR(F.shiftrightunsigned(F.xxhash64("part", F.element_at("groups", at(first, t) + 1), F.element_at("groups", at(other, t) + 1)), 23))
-        tables = self.classes.select("rep", F.explode(F.transform(F.sequence(F.lit(1), F.lit(len(first))), key)).alias("key"))
-        runs = cut_lineage(map_arrow(tables.select("key", "rep").repartition("key").sortWithinPartitions("key", "rep"), _number_runs, "key bigint, rep bigint, run int"))
+        tables = self.classes.select("n", "rep", F.explode(F.transform(F.sequence(F.lit(1), F.lit(len(first))), key)).alias("key"))
+        rows = tables.select("key", "n", "rep").repartition("key").sortWithinPartitions("key", "n", "rep")
+        runs = cut_lineage(map_arrow(rows, _number_runs, "key bigint, n bigint, rep bigint, run int"))
         several = runs.groupBy("key").agg(F.max("run").alias("last")).where("last > 0")
-        blocks = runs.join(several, "key", "left").select("key", "rep", "run", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("to"))
-        blocks = blocks.select("key", "rep", "run", F.least("run", "to").alias("lo"), F.greatest("run", "to").alias("hi"))
-        left = blocks.where("run = lo").select("key", "lo", "hi", F.col("rep").alias("x"))
-        right = blocks.where("run = hi").select("key", "lo", "hi", F.col("rep").alias("y"))
-        # within a key rows are sorted by representative, so a lower run has lower ones
-        return left.join(right, ["key", "lo", "hi"]).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        blocks = runs.join(several, "key", "left").select("key", "n", "rep", "run", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("to"))
+        blocks = blocks.select("key", "n", "rep", "run", F.least("run", "to").alias("lo"), F.greatest("run", "to").alias("hi"))
+        left = blocks.where("run = lo").select("key", "lo", "hi", F.col("n").alias("n_x"), F.col("rep").alias("x"))
+        right = blocks.where("run = hi").select("key", "lo", "hi", F.col("n").alias("n_y"), F.col("rep").alias("y"))
+        near = F.col("n_x") >= F.col("n_y") * F.lit(self.threshold) - 1e-9
+        both = left.join(right, ["key", "lo", "hi"]).where("n_x < n_y or (n_x = n_y and x < y)").where(near)
+        return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def links(self) -> DataFrame:
         """(a, b), a < b: verified pairs of class representatives (the least id of each class)."""

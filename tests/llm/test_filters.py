@@ -40,10 +40,11 @@ def test_counters_keep_the_order(spark):
 def test_runs_over_batches():
     keys = np.repeat([1, 2, 5, 5, 9, 9, 11], [1, 2500, 1, 1, 3, 2, 1])
     rep = np.arange(len(keys))
-    rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rep)], ["key", "rep"])
+    rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rep % 7), pa.array(rep)], ["key", "n", "rep"])
     for step in (1, 7, 1000, 5000):
         batches = [rows.slice(k, step) for k in range(0, len(keys), step)]
         made = pa.Table.from_batches(neardup._number_runs(iter(batches))).to_pydict()
+        assert made["n"] == [k % 7 for k in made["rep"]]
         assert made["rep"] == [k for k in range(len(keys)) if keys[k] in (2, 5, 9)]
         assert made["run"] == [(k - 1) // neardup.RUN if keys[k] == 2 else 0 for k in made["rep"]]
     assert list(neardup._number_runs(iter([]))) == []
