@@ -51,11 +51,15 @@ def main(argv: list[str] | None = None) -> None:
             docs = windows.sample_documents(docs, config.sample_docs, config.split_seed)
         stratum = splits.strata(docs, items.join(docs, "doc_id", "left_semi"))
         splits.folds(stratum, config.n_folds, config.split_seed, config.validation_fraction).write.mode("overwrite").parquet(f"{args.out}/folds")
-        text = windows.training_text(items.join(docs, "doc_id", "left_semi")).withColumn("pieces", windows.piece_count(F.col("text")))
+        text = windows.training_text(items.join(docs, "doc_id", "left_semi"))
+        text = windows.tokenizer_pieces(text, config.tokenizer) if config.tokenizer else text.withColumn("pieces", windows.piece_count(F.col("text")))
         first = readers.record_folders(spark, args.records, list(config.datasets) or None, list(config.strategies) or None)
         labelled = windows.canonical_labels(text.where(F.col("strategy") == min(s for _, s, _ in first)))
         fair = windows.fair_windows(text, labelled, config.max_length, 2, config.word_window_size, config.word_window_stride, config.tokenizer_stride)
         fair.write.mode("overwrite").partitionBy("strategy").parquet(f"{args.out}/windows")
+        sets = rows.select(F.coalesce("doc_key", "id").alias("doc_id"), F.col("dataset").alias("dataset_name")).distinct()
+        made = windows.tokenization_summary(spark.read.parquet(f"{args.out}/windows"), sets, config.tokenizer or "four letters", config.max_length, 2, config.tokenizer_stride)
+        made.write.mode("overwrite").parquet(f"{args.out}/tokenization_summary")
 
 
 if __name__ == "__main__":

@@ -6,6 +6,11 @@ import json
 from dataclasses import dataclass, field, fields, replace
 
 
+# Other names of settings, and the text that stands for all of a list.
+OTHER_NAMES = {"datasets_to_run": "datasets", "strategies_to_run": "strategies", "validation_fraction_of_train": "validation_fraction", "sampling": "sample_docs"}
+ALL = "all"
+
+
 @dataclass(frozen=True)
 class ExperimentConfig:
     datasets: tuple[str, ...] = ()  # empty: all
@@ -18,6 +23,7 @@ class ExperimentConfig:
     word_window_stride: int = 0
     tokenizer_stride: int = 0
     sample_docs: int = 0  # 0: all
+    tokenizer: str = ""  # a tokenizer's JSON file; empty: a piece for every four characters
     focal_gamma: float = 2.0
     focal_alpha: float = 0.75
     extra: dict[str, object] = field(default_factory=dict)
@@ -29,7 +35,8 @@ class ExperimentConfig:
             raise ValueError("word_window_stride must be below word_window_size")
 
     def with_settings(self, settings: list[str]) -> ExperimentConfig:
-        """``key=value`` texts; names in any case, values as JSON, else text; names that aren't fields go to extra."""
+        """``key=value`` texts; names in any case and older ones too, values as JSON, else text, lists with commas as well and ``all``
+        for everything; names that aren't fields go to extra."""
         names = {f.name for f in fields(self)} - {"extra"}
         known, extra = {}, dict(self.extra)
         for s in settings:
@@ -39,6 +46,9 @@ class ExperimentConfig:
             except ValueError:
                 value = raw
             key = key.strip().lower().replace("-", "_")
+            key = OTHER_NAMES.get(key, key)
+            if key in ("datasets", "strategies") and isinstance(value, str):
+                value = [] if value.strip().lower() == ALL else [v.strip() for v in value.split(",") if v.strip()]
             value = tuple(value) if isinstance(value, list) else value
             (known if key in names else extra)[key] = value
         return replace(self, **known, extra=extra)

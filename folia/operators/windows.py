@@ -183,6 +183,8 @@ def fair_windows(items: DataFrame, labelled: DataFrame, max_length: int, special
     usable = max_length - specials
     if usable <= 0:
         raise ValueError("max_length leaves no room for content")
+    if piece_stride >= usable:
+        raise ValueError(f"piece_stride must be below the {usable} pieces that a window has room for")
     codes = F.create_map(*(F.lit(x) for r, k in (*ROLES.items(), ("coord_suffix", SUFFIX)) for x in (r, k)))
     role = F.coalesce(codes[F.col("role")], F.lit(OTHER))
     # labels come as one more sequence of the document, before its strategies
@@ -274,6 +276,23 @@ def chunk_summary(windows: DataFrame) -> DataFrame:
     return windows.agg(F.count("*").alias("n_base_word_chunks"), F.countDistinct("doc_id").alias("n_docs"), F.round(F.coalesce(F.avg(words), F.lit(0.0)), 6).alias("mean_base_chunk_words"), F.coalesce(F.max(words), F.lit(0)).alias("max_base_chunk_words"))
 
 
+def effective_length(max_length: int, limit: int | None) -> int:
+    """The length of a model's input: as set, or as its tokenizer limits it; a limit above a million is none."""
+    return max_length if limit is None or limit > 1_000_000 else min(max_length, limit)
+
+
+def tokenization_summary(made: DataFrame, docs: DataFrame, model: str, max_length: int, specials: int = 2, piece_stride: int = 0) -> DataFrame:
+    """One row for each data set and strategy of fair windows: chunks, documents, mean and largest number of subtokens with the
+    special ones, and what padding to ``max_length`` comes to. docs (doc_id, dataset_name)."""
+    rows = made.join(docs.select("doc_id", "dataset_name"), "doc_id")
+    n = F.col("n_pieces") + specials
+    total = rows.groupBy("dataset_name", "strategy").agg(F.count("*").alias("n_base_word_chunks"), F.countDistinct("doc_id").alias("n_docs"), F.round(F.avg(n), 6).alias("mean_subtokens"), F.max(n).alias("max_subtokens"))
+    return total.select(
+        "dataset_name", "strategy", F.lit(model).alias("model_name"), F.lit(max_length).alias("effective_max_length"), F.lit(piece_stride).alias("tokenizer_stride"), "n_base_word_chunks",
+        F.col("n_base_word_chunks").alias("n_tokenized_chunks"), "n_docs", "mean_subtokens", "max_subtokens", (F.col("n_base_word_chunks") * max_length).alias("total_padded_subtokens"),
+    )
+
+
 def with_pieces(rows: DataFrame, keys: list[str], max_length: int, specials_before: int = 1, specials_after: int = 1) -> DataFrame:
     """Words as a model's positions: rows (keys, k, pieces, label, src, ...) -> a row for each piece with ``position`` from
     ``specials_before`` on. The first piece carries label and src, the rest null and -1; what doesn't fit ``max_length`` is cut."""

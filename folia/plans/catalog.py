@@ -367,6 +367,12 @@ def fair_windows(spark: SparkSession, d: str) -> DataFrame:
     return _fair(*_both(spark, d))[1].select("doc_id", "strategy", "chunk_index", "word_start", "word_end", "n_pieces")
 
 
+@query
+def tokenized_runs(spark: SparkSession, d: str) -> DataFrame:
+    made = _fair(*_both(spark, d))[1]
+    return windows.tokenization_summary(made, adapters.docs(spark, d), "four letters", windows.effective_length(512, None), piece_stride=32)
+
+
 @query
 def window_examples(spark: SparkSession, d: str) -> DataFrame:
     toks, labelled = _both(spark, d)

@@ -40,6 +40,11 @@ def statements() -> dict[str, tuple[str, list[str]]]:
     """Name -> (statement, the parts that it needs)."""
     return {
         "fair_windows": ("select doc_id, strategy, chunk_index::int as chunk_index, word_start::int as word_start, word_end::int as word_end, n_pieces::int as n_pieces from fout", ["fout"]),
+        "tokenized_runs": (
+            """select dataset_name, strategy, 'four letters' as model_name, 512 as effective_max_length, 32 as tokenizer_stride, count(*) as n_base_word_chunks, count(*) as n_tokenized_chunks, count(distinct f.doc_id) as n_docs,
+            round(avg(n_pieces + 2), 6) as mean_subtokens, max(n_pieces + 2)::int as max_subtokens, count(*) * 512 as total_padded_subtokens from fout f join doc d on f.doc_id = d.doc_id group by 1, 2""",
+            ["fout", "doc"],
+        ),
         "window_examples": (
             """select f.doc_id, strategy, chunk_index::int as chunk_index, any_value(tokens + marks)::bigint as n, any_value(tokens)::bigint as n_labelled, case strategy when 'plain_text' then 0 else count(nx0) end::bigint as n_boxes,
             case strategy when 'plain_text' then -any_value(tokens) else sum(page) - any_value(marks) end::bigint as pages from fout f join nb t on f.doc_id = t.doc_id and t.tok_idx >= word_start and t.tok_idx < word_end group by f.doc_id, strategy, chunk_index""",

@@ -57,6 +57,9 @@ def test_config():
     assert made.n_folds == 3 and made.strategies == ("a",) and made.extra == {"mode": "x"}
     with pytest.raises(ValueError):
         ExperimentConfig(n_folds=1)
+    old = ExperimentConfig().with_settings(["DATASETS_TO_RUN=all", "STRATEGIES_TO_RUN=plain_text, page_aware", "SAMPLING=5", "VALIDATION_FRACTION_OF_TRAIN=0.2"])
+    assert old.datasets == () and old.strategies == ("plain_text", "page_aware") and old.sample_docs == 5 and old.validation_fraction == 0.2
+    assert windows.effective_length(512, None) == windows.effective_length(512, 10**30) == 512 and windows.effective_length(512, 128) == 128
 
 
 def test_command_line(spark, data, tmp_path, capsys):
@@ -68,4 +71,5 @@ def test_command_line(spark, data, tmp_path, capsys):
     main(["plan", "--records", str(tmp_path / "r"), "--out", str(tmp_path / "p"), "--set", "n_folds=2"])
     assert spark.read.parquet(str(tmp_path / "p" / "folds")).groupBy("fold").count().count() == 2
     plan = spark.read.parquet(str(tmp_path / "p" / "windows"))
+    assert spark.read.parquet(str(tmp_path / "p" / "tokenization_summary")).agg(F.sum("n_docs")).first()[0] > 0
     assert plan.groupBy("strategy").agg(F.count("*").alias("n")).select("n").distinct().count() == 1
