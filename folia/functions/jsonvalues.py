@@ -10,28 +10,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folia.functions.scalars import DATE_PARTS, MONEY_PARTS
+from folia.functions import scalars as S
 from folia.session import map_arrow
 
-_NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?"
+_BLANKS = re.compile(S.BLANKS)
 
 
 def extracted(key: str | None, value: object) -> str:
-    """As scalars.extracted_form, for one value under a key; without a key it is plain text."""
+    """As scalars.extracted_form, by the same patterns, for one value under a key; without a key it is plain text."""
     if value is None:
         return ""
-    text = " ".join(str(value).split())
+    text = re.sub(_BLANKS, " ", str(value)).strip(" ")
     name = re.sub("[^0-9a-z]+", "_", (key or "").lower().replace("&", " and ")).strip("_")
-    if any(p in name for p in MONEY_PARTS):
-        text = re.sub(r"(?i)p\d+$", "", re.sub(r"(?i)p-\d+$", "", text)).strip()
-        if m := re.search(rf"\(\s*\$?\s*{_NUMBER}\s*\)", text):
+    if any(p in name for p in S.MONEY_PARTS):
+        for left in S.LEFT_BEHIND:
+            text = re.sub(left, "", text)
+        text = text.strip(" ")
+        if m := re.search(S.IN_PARENTHESES, text):
             return "-" + re.sub(r"[()$\s,]", "", m[0])
-        if m := re.search(rf"[-+]?\$?\s*{_NUMBER}", text):
+        if m := re.search(S.SIGNED, text):
             return re.sub(r"[+$\s,]", "", m[0])
-        return re.sub(r"[$,]", "", text).strip()
-    if any(p in name for p in DATE_PARTS):
+        return re.sub(r"[$,]", "", text).strip(" ")
+    if any(p in name for p in S.DATE_PARTS):
         return text.replace(" ", "")
-    return text.translate(str.maketrans("‹›–—", "<>--")).strip()
+    return text.translate(str.maketrans(S.SIGNS, S.PLAIN_SIGNS)).strip(" ")
 
 
 def normal_values(value: object, key: str | None = None) -> object:

@@ -12,6 +12,11 @@ MONEY_PARTS = ["amount", "balance", "commission", "cost", "fee", "gross", "net",
 DATE_PARTS = ["date", "start_date", "end_date", "effective_date", "expiration_date"]
 # Label spellings that stand for another.
 LABEL_ALIASES = {"Line Item - Start Data": "Line Item - Start Date", "line item - start data": "Line Item - Start Date"}
+# What a number looks like, what tables leave behind one, and signs that are written as others.
+NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?"
+IN_PARENTHESES, SIGNED = rf"\(\s*\$?\s*{NUMBER}\s*\)", rf"[-+]?\$?\s*{NUMBER}"
+LEFT_BEHIND = (r"(?i)p-\d+$", r"(?i)p\d+$")
+SIGNS, PLAIN_SIGNS = "‹›–—", "<>--"
 # White space of Unicode and the four separators that count as such.
 BLANKS = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
@@ -106,21 +111,20 @@ def is_date(label: Column) -> Column:
 
 def without_ocr_suffix(c: Column) -> Column:
     """Without the marks that tables leave behind numbers: ``$150.00P-2`` is ``$150.00``."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"(?i)p-\d+$", ""), r"(?i)p\d+$", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), LEFT_BEHIND[0], ""), LEFT_BEHIND[1], ""))
 
 
 def first_number(c: Column) -> Column:
     """The first thing like a number; in parentheses it is negative, and such come first. Null if none."""
-    digits = r"[0-9][0-9,]*(?:\.[0-9]+)?"
     bare = lambda pattern, drop: F.nullif(F.regexp_replace(F.regexp_extract(c, pattern, 0), drop, ""), F.lit(""))
-    paren = bare(r"\(\s*\$?\s*" + digits + r"\s*\)", r"[()$\s]")
-    return F.coalesce(F.concat(F.lit("-"), paren), bare(r"[-+]?\$?\s*" + digits, r"[+$\s]"))
+    paren = bare(IN_PARENTHESES, r"[()$\s]")
+    return F.coalesce(F.concat(F.lit("-"), paren), bare(SIGNED, r"[+$\s]"))
 
 
 def money(c: Column, keep_commas: bool = False) -> Column:
     """A value of money as plain digits; a value without a number loses ``$`` and commas only."""
     text = without_ocr_suffix(squash(c))
-    value = F.coalesce(first_number(text), F.trim(F.regexp_replace(F.replace(text, F.lit("$"), F.lit("")), r"(?i)p-\d+$", "")))
+    value = F.coalesce(first_number(text), F.trim(F.regexp_replace(F.replace(text, F.lit("$"), F.lit("")), LEFT_BEHIND[0], "")))
     return value if keep_commas else F.replace(value, F.lit(","), F.lit(""))
 
 
@@ -138,12 +142,17 @@ def date_text(c: Column) -> Column:
 
 def plain_text(c: Column) -> Column:
     """White space squashed, angle quotes and long dashes in ASCII."""
-    return F.trim(F.translate(squash(c), "‹›–—", "<>--"))
+    return F.trim(F.translate(squash(c), SIGNS, PLAIN_SIGNS))
 
 
 def matching_form(label: Column, value: Column) -> Column:
     """What gold and token text are compared by; money comes before date; null is empty."""
-    form = F.when(is_money(label), money(value)).when(is_date(label), compact(date_text(value))).otherwise(compact(plain_text(value)))
+    return form_by_kind(is_money(label), is_date(label), value)
+
+
+def form_by_kind(of_money: Column, of_date: Column, value: Column) -> Column:
+    """matching_form where the label's kind is known."""
+    form = F.when(of_money, money(value)).when(of_date, compact(date_text(value))).otherwise(compact(plain_text(value)))
     return F.when(value.isNull(), "").otherwise(form)
 
 

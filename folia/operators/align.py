@@ -86,10 +86,12 @@ def checks(tokens: DataFrame, annotations: DataFrame, least: float = 0.5) -> Dat
     token_text = F.trim(F.array_join(F.transform(F.coalesce("parts", F.array().cast("array<struct<tok_idx:int,text:string>>")), lambda p: p["text"]), " "))
     rows = rows.withColumn("token_text", token_text).withColumn("token_indices", F.array_join(F.transform("parts", lambda p: p["tok_idx"]), ","))
     label, gold, token = F.col("label"), F.col("text"), F.col("token_text")
-    rows = rows.withColumns({"n_tokens": F.coalesce("n_tokens", F.lit(0)), "token_indices": F.coalesce("token_indices", F.lit("")), "strict_match": S.squash(token) == S.squash(gold), "annotation_norm": S.matching_form(label, gold), "token_norm": S.matching_form(label, token)})
+    rows = rows.withColumns({"__money": S.is_money(label), "__date": S.is_date(label)})
+    kind = F.col("__money"), F.col("__date")
+    rows = rows.withColumns({"n_tokens": F.coalesce("n_tokens", F.lit(0)), "token_indices": F.coalesce("token_indices", F.lit("")), "strict_match": S.squash(token) == S.squash(gold), "annotation_norm": S.form_by_kind(*kind, gold), "token_norm": S.form_by_kind(*kind, token)})
     rows = rows.withColumn("loose_match", S.forms_match(F.col("annotation_norm"), F.col("token_norm")))
     status = F.when(F.col("n_tokens") == 0, "unavailable").when(F.col("loose_match"), "ok").otherwise("loose_mismatch")
-    return rows.withColumn("status", status).drop("parts")
+    return rows.withColumn("status", status).drop("parts", "__money", "__date")
 
 
 def spans(labelled: DataFrame, normalize: bool = False, source: str = "gold") -> DataFrame:
