@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folia.llm import words as W
-from folia.llm.columns import code_points, mix64, raw_bytes, string_array
+from folia.llm.columns import chunks, code_points, mix64, string_array
 from folia.llm.filters import filter_of, passing
 from folia.session import cut_lineage, map_arrow
 
@@ -52,16 +52,27 @@ def signatures(docs: DataFrame, width: int, collections: int, each: int) -> Data
     return map_arrow(docs, run, "id bigint, part string, c1 bigint, c2 bigint, n bigint, groups array<bigint>")
 
 
-def both_chunks(left: pa.Array, right: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes of text on both sides together; a larger pair is a range of its own."""
-    ends = raw_bytes(left)[1] + raw_bytes(right)[1]
-    lo, n = 0, len(left)
+#: Shingles of both sides that are counted at a time.
+COUNTED = 1 << 18
+
+
+def pair_chunks(sizes: np.ndarray, limit: int = COUNTED) -> Iterator[tuple[int, int]]:
+    """Ranges of pairs with at most ``limit`` shingles on both sides together; a larger pair is a range of its own."""
+    ends = np.append(0, np.cumsum(sizes))
+    lo, n = 0, len(sizes)
     while lo < n:
         hi = min(n, max(lo + 1, int(np.searchsorted(ends, ends[lo] + limit, "right")) - 1))
         yield lo, hi
         lo = hi
 
 
+def _sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets) of the distinct shingles of texts, made chunk by chunk."""
+    parts = [W.distinct_shingles(*code_points(texts.slice(lo, hi - lo))[:2], width) for lo, hi in chunks(texts)]
+    offs = np.append(0, np.cumsum(np.concatenate([np.diff(o) for _, o in parts])))
+    return np.concatenate([h for h, _ in parts]), offs
+
+
 def compare(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """pairs (a, b) with texts (id, text) -> (a, b, common, n_a, n_b), counted over distinct shingles of the whole texts.
 
@@ -73,11 +84,16 @@ def compare(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (string_array(batch.column(k)) for k in (2, 3))
-            for lo, hi in both_chunks(left, right):
-                a, b = (W.distinct_shingles(*code_points(x.slice(lo, hi - lo))[:2], width) for x in (left, right))
-                columns = [W.common_counts(a, b), np.diff(a[1]), np.diff(b[1])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *map(pa.array, columns)], ["a", "b", "common", "n_a", "n_b"])
+            if not batch.num_rows:
+                continue
+            # a text that comes in many pairs of a batch is cut into shingles once
+            coded = pa.concat_arrays([string_array(batch.column(k)) for k in (2, 3)]).dictionary_encode()
+            hashes, offs = _sets(coded.dictionary, width)
+            at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            a, b = at[: batch.num_rows], at[batch.num_rows :]
+            n = np.diff(offs)
+            common = [W.common_counts(W.sets_at(hashes, offs, a[lo:hi]), W.sets_at(hashes, offs, b[lo:hi])) for lo, hi in pair_chunks(n[a] + n[b])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *map(pa.array, (np.concatenate(common), n[a], n[b]))], ["a", "b", "common", "n_a", "n_b"])
 
     sides = [some.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")

@@ -116,12 +116,21 @@ def set_digests(hashes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
+def sets_at(hashes: np.ndarray, offs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets) of the sets at these places, one after another; a place may come again and again."""
+    taken, _ = take_sets(hashes, offs, at)
+    ends = np.zeros(len(at) + 1, np.int64)
+    np.cumsum(offs[at + 1] - offs[at], out=ends[1:])
+    return taken, ends
+
+
 def common_counts(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Size of the intersection of the k-th sets of two columns of distinct shingles."""
     n = len(left[1]) - 1
     hashes = np.concatenate([left[0], right[0]])
     row = np.concatenate([np.repeat(np.arange(n), np.diff(x[1])) for x in (left, right)])
-    order = np.lexsort((hashes, row))
+    order = np.argsort(hashes)
+    order = order[by_group(row[order], n)]
     hashes, row = hashes[order], row[order]
     twice = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])
     return np.bincount(row[1:][twice], minlength=n)

@@ -59,9 +59,18 @@ def test_hot_key_in_several_runs(spark, monkeypatch):
     assert {tuple(r) for r in found.pairs().collect()} == want
 
 
-def test_pairs_are_cut_by_the_bytes_of_both_sides():
-    left = pa.array(["a" * 10] * 20)
-    right = pa.array(["b" * 1000] * 20)
-    made = list(neardup.both_chunks(left, right, 5000))
+def test_pairs_are_cut_by_the_shingles_of_both_sides():
+    sizes = np.array([1010] * 20)
+    made = list(neardup.pair_chunks(sizes, 5000))
     assert made[0] == (0, 4) and made[-1][1] == 20 and all(b - a <= 5 for a, b in made)
-    assert list(neardup.both_chunks(left, right, 10)) == [(k, k + 1) for k in range(20)]
+    assert list(neardup.pair_chunks(sizes, 10)) == [(k, k + 1) for k in range(20)]
+    assert list(neardup.pair_chunks(np.zeros(0, np.int64))) == []
+
+
+def test_a_text_in_many_pairs(spark):
+    texts = ["a b c d e", "a b c d f", "a b c", "x y", "", "a b c d e"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    pairs = spark.createDataFrame([(a, b) for a in range(6) for b in range(6) if a != b], "a bigint, b bigint")
+    sets = [{tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for t in texts]
+    made = {(r.a, r.b): (r.common, r.n_a, r.n_b) for r in neardup.compare(pairs, docs, 3).collect()}
+    assert made == {(a, b): (len(sets[a] & sets[b]), len(sets[a]), len(sets[b])) for a in range(6) for b in range(6) if a != b}
