@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,28 +100,60 @@ def compare(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return map_arrow(both, run, "a bigint, b bigint, common bigint, n_a bigint, n_b bigint")
 
 
-def _number_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, n, rep) -> (key, n, rep, run) without rows that are alone with their key. One row is carried from batch to batch."""
-    carried: list[np.ndarray] = [np.zeros(0, np.int64)] * 4  # key, n, rep and the row's number within its key
+def _pairs_of_runs(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sorted (key, n, rep) -> (key, n, run, a, b): the pairs a < b of each run, and, with b null, the rows of keys with several runs.
 
-    def rows(columns: list[np.ndarray], no: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array((no // RUN).astype(np.int32))], ["key", "n", "rep", "run"])
+    Rows alone with their key end here. Only the last run, of RUN rows at most, is carried from batch to batch.
+    """
+    names = ["key", "n", "run", "a", "b"]
+
+    def pairs(group: np.ndarray, n: np.ndarray, rep: np.ndarray) -> pa.RecordBatch | None:
+        found, step = [], 1
+        at = np.arange(len(group) - 1)
+        while len(at):  # pairs of neighbours, of second neighbours and so on, as far as groups reach
+            at = at[at + step < len(group)]
+            at = at[group[at] == group[at + step]]
+            near = at[n[at] >= n[at + step] * threshold - 1e-9]
+            found.append(np.stack([np.minimum(rep[near], rep[near + step]), np.maximum(rep[near], rep[near + step])], axis=1))
+            step += 1
+        made = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        if not len(made):
+            return None
+        none = pa.nulls(len(made), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none.cast(pa.int32()), pa.array(made[:, 0]), pa.array(made[:, 1])], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = [np.zeros(0, np.int64)] * 3  # key, n, rep of the last run, and which run of its key it is
+        number = 0
+
+        def done(key: np.ndarray, n: np.ndarray, rep: np.ndarray, of_key: np.ndarray, more: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Whole runs; ``more``: rows of keys with several."""
+            group = np.cumsum(np.append(True, (key[1:] != key[:-1]) | (of_key[1:] != of_key[:-1])))
+            if len(key) and (made := pairs(group, n, rep)) is not None:
+                yield made
+            out = np.flatnonzero(more)
+            if len(out):
+                yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(n[out]), pa.array(of_key[out].astype(np.int32)), pa.array(rep[out]), pa.nulls(len(out), pa.int64())], names)
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [np.append(x, c.to_numpy(zero_copy_only=False)) for x, c in zip(carried, batch.columns, strict=False)]
-        key = columns[0]
-        place = np.arange(len(key))
-        begins = np.append(True, key[1:] != key[:-1])
-        no = place - np.maximum.accumulate(np.where(begins, place, 0))
-        if len(carried[3]):
-            no[np.cumsum(begins) == 1] += carried[3][0]
-        out = np.flatnonzero((no[:-1] > 0) | ~begins[1:])
-        yield rows([c[out] for c in columns], no[out])
-        carried = [c[-1:] for c in (*columns, no)]
-    if len(carried[3]) and carried[3][0] > 0:
-        yield rows(carried[:3], carried[3])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, n, rep = (np.append(x, c.to_numpy(zero_copy_only=False)) for x, c in zip(carried, batch.columns, strict=True))
+            place = np.arange(len(key))
+            begins = np.append(True, key[1:] != key[:-1])
+            first = np.maximum.accumulate(np.where(begins, place, 0))
+            of_key = (place - first) // RUN + np.where(first == 0, number, 0)
+            last = len(key) - 1 - int(np.argmax((key[::-1] != key[-1]) | (of_key[::-1] != of_key[-1]))) if (key[0] != key[-1] or of_key[0] != of_key[-1]) else -1
+            # a key has several runs if any row of it is in a later one
+            several = np.maximum.reduceat(of_key, np.flatnonzero(begins)) > 0
+            more = several[np.cumsum(begins) - 1]
+            whole = slice(0, last + 1)
+            yield from done(key[whole], n[whole], rep[whole], of_key[whole], more[whole])
+            carried, number = [key[last + 1 :], n[last + 1 :], rep[last + 1 :]], int(of_key[-1])
+        if len(carried[0]):
+            yield from done(*carried, np.full(len(carried[0]), number), np.full(len(carried[0]), number > 0))
+
+    return run
 
 
 class NearDuplicates:
@@ -147,8 +179,8 @@ class NearDuplicates:
         """(a, b), a < b: classes that share a table key.
 
         The rows of a key are sorted once, by the size of their sets; rows alone with their key, which most are, end there. The
-        others are cut into runs of ``RUN`` rows, and each pair of runs is a key of its own for pairing: what a hot key has is
-        spread over as many tasks as it has pairs of runs, and no task pairs more than two runs. Sets of which the
+        others are cut into runs of ``RUN`` rows, which are paired where they are sorted; of keys with several, each two runs are
+        a key of their own for pairing: what a hot key has is spread over as many tasks as it has pairs of runs. Sets of which the
         smaller has less than ``threshold`` of the other's size can't be similar enough and aren't paired.
         """
         first = [i for i in range(self.collections) for _ in range(i + 1, self.collections)]
@@ -158,15 +190,15 @@ class NearDuplicates:
         key = lambda t: F.shiftleft(t.cast("bigint"), 41).bitwiseOR(F.shiftrightunsigned(F.xxhash64("part", F.element_at("groups", at(first, t) + 1), F.element_at("groups", at(other, t) + 1)), 23))
         tables = self.classes.select("n", "rep", F.explode(F.transform(F.sequence(F.lit(1), F.lit(len(first))), key)).alias("key"))
         rows = tables.select("key", "n", "rep").repartition("key").sortWithinPartitions("key", "n", "rep")
-        runs = cut_lineage(map_arrow(rows, _number_runs, "key bigint, n bigint, rep bigint, run int"))
-        several = runs.groupBy("key").agg(F.max("run").alias("last")).where("last > 0")
-        blocks = runs.join(several, "key", "left").select("key", "n", "rep", "run", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("to"))
-        blocks = blocks.select("key", "n", "rep", "run", F.least("run", "to").alias("lo"), F.greatest("run", "to").alias("hi"))
-        left = blocks.where("run = lo").select("key", "lo", "hi", F.col("n").alias("n_x"), F.col("rep").alias("x"))
-        right = blocks.where("run = hi").select("key", "lo", "hi", F.col("n").alias("n_y"), F.col("rep").alias("y"))
-        near = F.col("n_x") >= F.col("n_y") * F.lit(self.threshold) - 1e-9
-        both = left.join(right, ["key", "lo", "hi"]).where("n_x < n_y or (n_x = n_y and x < y)").where(near)
-        return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        made = cut_lineage(map_arrow(rows, _pairs_of_runs(self.threshold), "key bigint, n bigint, run int, a bigint, b bigint"))
+        runs = made.where("b is null").select("key", "n", "run", F.col("a").alias("rep"))
+        last = runs.groupBy("key").agg(F.max("run").alias("last"))
+        blocks = runs.join(last, "key").select("key", "n", "rep", "run", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("to")).where("run <> to")
+        left = blocks.where("run < to").select("key", F.col("run").alias("lo"), F.col("to").alias("hi"), F.col("n").alias("n_x"), F.col("rep").alias("x"))
+        right = blocks.where("run > to").select("key", F.col("to").alias("lo"), F.col("run").alias("hi"), F.col("n").alias("n_y"), F.col("rep").alias("y"))
+        # sorted by size, so a lower run has none larger
+        across = left.join(right, ["key", "lo", "hi"]).where(F.col("n_x") >= F.col("n_y") * F.lit(self.threshold) - 1e-9).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        return made.where("b is not null").select("a", "b").unionByName(across).distinct()
 
     def links(self) -> DataFrame:
         """(a, b), a < b: verified pairs of class representatives (the least id of each class)."""

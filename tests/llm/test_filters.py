@@ -37,17 +37,26 @@ def test_counters_keep_the_order(spark):
     assert made[at[0]] > made[at[1]] > made[at[2]] == 0
 
 
-def test_runs_over_batches():
-    keys = np.repeat([1, 2, 5, 5, 9, 9, 11], [1, 2500, 1, 1, 3, 2, 1])
-    rep = np.arange(len(keys))
-    rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rep % 7), pa.array(rep)], ["key", "n", "rep"])
-    for step in (1, 7, 1000, 5000):
-        batches = [rows.slice(k, step) for k in range(0, len(keys), step)]
-        made = pa.Table.from_batches(neardup._number_runs(iter(batches))).to_pydict()
-        assert made["n"] == [k % 7 for k in made["rep"]]
-        assert made["rep"] == [k for k in range(len(keys)) if keys[k] in (2, 5, 9)]
-        assert made["run"] == [(k - 1) // neardup.RUN if keys[k] == 2 else 0 for k in made["rep"]]
-    assert list(neardup._number_runs(iter([]))) == []
+def test_runs_over_batches(monkeypatch):
+    """Pairs within runs and rows for pairing across them, wherever batches end."""
+    monkeypatch.setattr(neardup, "RUN", 8)
+    rng = np.random.default_rng(7)
+    sizes = [1, 25, 1, 1, 8, 2, 1, 16, 9, 1, 3]
+    key = np.repeat(np.arange(len(sizes)) * 3, sizes)
+    n = np.concatenate([np.sort(rng.integers(1, 12, k)) for k in sizes])
+    rep = rng.permutation(len(key))
+    rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(rep)], ["key", "n", "rep"])
+    place = np.concatenate([np.arange(k) for k in sizes])
+    size = np.repeat(sizes, sizes)
+    want = {(min(rep[i], rep[j]), max(rep[i], rep[j])) for i in range(len(key)) for j in range(i) if key[i] == key[j] and place[i] // 8 == place[j] // 8 and n[j] >= 0.5 * n[i]}
+    across = {(int(key[i]), int(n[i]), int(place[i] // 8), int(rep[i])) for i in range(len(key)) if size[i] > 8}
+    for step in (1, 2, 5, 7, 8, 9, 1000):
+        batches = [rows.slice(k, step) for k in range(0, len(key), step)]
+        made = pa.Table.from_batches(neardup._pairs_of_runs(0.5)(iter(batches))).to_pylist()
+        assert {(r["a"], r["b"]) for r in made if r["b"] is not None} == want
+        single = [(r["key"], r["n"], r["run"], r["a"]) for r in made if r["b"] is None]
+        assert len(single) == len(set(single)) and set(single) == across, step
+    assert list(neardup._pairs_of_runs(0.5)(iter([]))) == []
 
 
 def test_hot_key_in_several_runs(spark, monkeypatch):
